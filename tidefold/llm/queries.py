@@ -14,7 +14,8 @@ from .common import table
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, whose texts hold control strings, formatted and read back."""
     hard = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(hard).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.chat_digest(chat.format_chat(turns))
 
