@@ -21,6 +21,8 @@ THRESHOLD = 2
 #: free). The code is perfect with radius 3, so each fingerprint has one nearest anchor, at a distance of 6 or less.
 LENGTH, GENERATOR, RADIUS = 23, 0b101011100011, 3
 REACH = 2 * RADIUS + THRESHOLD
+#: Fingerprints that a task sends to their anchors: some 8 million rows.
+DEALT = 100_000
 #: What reaches an anchor that is nearest to more fingerprints than this is compared by midpoints, not pair by pair.
 CROWD = 4
 
@@ -130,7 +132,8 @@ def links(fps: DataFrame) -> DataFrame:
     some = Window.partitionBy("anchor").orderBy("fp")
     nearest = _at_anchors(fps, reach=False).withColumn("n", F.row_number().over(some)).where(F.col("n") <= CROWD + 1)
     nearest = nearest.groupBy("anchor").agg(F.collect_list("fp").alias("centres"))  # CROWD + 1 at most
-    met = cut(_at_anchors(fps, reach=True).join(nearest, "anchor").select("fp", "centres"), "met")
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // DEALT))
+    met = cut(_at_anchors(fps.select("fp").repartition(parts, "fp"), reach=True).join(nearest, "anchor").select("fp", "centres"), "met")
     pairs = met.where(F.size("centres") <= CROWD).select(F.col("fp").alias("a"), F.explode("centres").alias("b"))
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD))
     crowd = met.where(F.size("centres") > CROWD).select("fp").distinct()
