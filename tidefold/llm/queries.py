@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, simhash, tokencounts, tokenfiles
-from .common import table
+from . import chat, decontaminate, langid, mixing, quality, simhash, tokencounts, tokenfiles
+from .common import crc32_mod, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a model of the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, crc32_mod("doc_id", 3) != 1)
+    held = (crc32_mod("doc_id", 3) == 1).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files."""
     return tokencounts.document_token_counts(table(spark, sf_dir, "documents"))
@@ -43,12 +51,23 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a model of the labels that aren't held out."""
+    learn = crc32_mod("doc_id", 4) != 2
+    found = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    return found.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to compressed files and read back."""
     return tokenfiles.encode_and_read(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op5_token_counts, op6_simhash, op7_mix_sources, op9_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_chat_format, op2_decontaminate, op3_language_id, op5_token_counts, op6_simhash, op7_mix_sources, op8_quality, op9_token_files,
+    )
+}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
