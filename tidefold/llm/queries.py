@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, quality, simhash, tokencounts, tokenfiles
+from . import chat, decontaminate, langid, mixing, quality, simhash, tokencounts, tokenfiles, winnow
 from .common import crc32_mod, table
 
 
@@ -35,6 +35,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are."""
+    rows = winnow.with_next(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", winnow.edited(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "packed", winnow.winnow(F.col("edited")).alias("of_edited"), "next_packed")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", winnow.to_string(F.col("packed")).alias("fingerprint"), winnow.to_string(F.col("of_edited")).alias("edited_fingerprint"),
+        winnow.likeness(F.col("packed"), F.col("of_edited")).alias("near_edited"), winnow.likeness(F.col("packed"), F.col("next_packed")).alias("near_next"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files."""
     return tokencounts.document_token_counts(table(spark, sf_dir, "documents"))
@@ -65,7 +76,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_chat_format, op2_decontaminate, op3_language_id, op5_token_counts, op6_simhash, op7_mix_sources, op8_quality, op9_token_files,
+        op1_chat_format, op2_decontaminate, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_mix_sources, op8_quality, op9_token_files,
     )
 }
 
