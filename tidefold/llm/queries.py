@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, quality, simhash, tokencounts, tokenfiles, winnow
+from . import chat, decontaminate, html, langid, mixing, quality, simhash, tokencounts, tokenfiles, winnow
 from .common import crc32_mod, table
 
 
@@ -74,9 +74,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_chat_format, op2_decontaminate, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_mix_sources, op8_quality, op9_token_files,
+        op1_chat_format, op2_decontaminate, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_mix_sources, op8_quality, op9_token_files, op10_html_text,
     )
 }
 
