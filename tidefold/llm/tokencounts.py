@@ -88,4 +88,4 @@ def count_tokens(files: DataFrame, end_id: int = 49407, width: int = 2, block: i
 def document_token_counts(docs: DataFrame, end_id: int = 49407, tokenizer: str = "word_bpe_49k.json", width: int = 2, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens) of every document, counted in flat files that are written for it."""
     files, listed = write_flat_files(docs, end_id, tokenizer, width)
-    return listed.join(count_tokens(files, end_id, width, block), ["path", "nth"]).select("doc_id", "n_tokens")
+    return listed.join(count_tokens(files, end_id, width, block).hint("merge"), ["path", "nth"]).select("doc_id", "n_tokens")
