@@ -156,4 +156,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     joined = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return own.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id; all columns unchanged.
+
+    Of rows that repeat an id the one with the least text stays. Rows without an id can't be told apart and stay.
+    """
+    found = cut(near_duplicates(docs, doc_id, text), "classes")
+    out = docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti").select(*docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(text))
+        out = out.withColumn("_nth", nth).where(F.col(doc_id).isNull() | (F.col("_nth") == 1)).drop("_nth")
+    return out
