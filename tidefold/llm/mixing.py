@@ -103,3 +103,13 @@ def _last_copy(copies: DataFrame, plan: DataFrame, share: float) -> dict:
     inside = copies.where((F.col("_step") == step["_step"]) & (F.col("size") > 0))
     row = inside.withColumn("_upto", F.sum("size").over(order) + (step["_upto"] - step["_words"])).where(F.col("_upto") >= budget).orderBy("_at", "_none", "_source").first()
     return {"at": row["_at"], "none": row["_none"], "source": row["_source"], "left": row["size"] - (row["_upto"] - budget)}
+
+
+def draw(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each document as many times as mix_sources() draws it, whole, all columns unchanged.
+
+    Rows of one id (or of none) are drawn alike, as often as the most drawn of them.
+    """
+    times = mix_sources(docs, weights, share, passes, doc_id, text, source).groupBy("doc_id").agg(F.max("draws").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
+    drawn = docs.join(times, F.col(doc_id).eqNullSafe(F.col("_id")))
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
