@@ -1 +1,51 @@
-STAGES = []
+"""A corpus from raw documents: known languages, one of each near-duplicate, no benchmark text, mixed, as token files.
+
+Each stage works on all that the one before kept, which is written and read again between them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidefold.llm import decontaminate, langid, mixing, simhash, tokenfiles
+from tidefold.llm.common import crc32_mod, shared_dir, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model doesn't reject: it learns from the rows that aren't held out."""
+    return langid.keep_identified(docs, langid.fit(docs, crc32_mod("doc_id", 3) != 1))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources draws them."""
+    return mixing.draw(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files hold: doc_id, start, n_tokens, ids_crc32."""
+    return tokenfiles.encode_and_read(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("mixture", mixture), ("token_files", token_files)]
+
+#: Language models, fingerprints' components and token ids can't be expressed in SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
