@@ -415,8 +415,8 @@ def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimates on noise of known exponent; tested for bias."""
     made = fluctuation.mfdfa(synthetic.replicates(spark), geometric_scales(1024), (1.0, 2.0, 5.0))
-    rows = made.select("family", "hurst", "n", "truth", F.col("hq")[1].alias("alpha"), (F.col("hq")[1] - F.col("truth")).alias("e"), (F.col("hq")[0] - F.col("hq")[2]).alias("spread"))
-    return inference.replicate_summary(rows.withColumnRenamed("truth", "t"), ("family", "hurst", "n"), "t", "alpha", "e", "spread")
+    rows = made.select("family", "exponent", "n", "truth", F.col("hq")[1].alias("alpha"), (F.col("hq")[1] - F.col("truth")).alias("e"), (F.col("hq")[0] - F.col("hq")[2]).alias("spread"))
+    return inference.replicate_summary(rows.withColumnRenamed("truth", "t"), ("family", "exponent", "n"), "t", "alpha", "e", "spread")
 
 
 # Time grids and nested data

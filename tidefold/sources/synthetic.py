@@ -22,20 +22,20 @@ def fgn(n: int, hurst: float, seed: int) -> np.ndarray:
 
 
 def replicates(spark: SparkSession, hursts: Sequence[float] = (0.3, 0.5, 0.7, 0.9), lengths: Sequence[int] = (1024, 2048), reps: int = 30) -> DataFrame:
-    """family, hurst, n, rep, seed, truth, samples; seeds follow from the cell alone."""
+    """family, exponent, n, rep, seed, truth, samples; seeds follow from the cell alone."""
     array = lambda xs: F.array(*[F.lit(x) for x in xs])
     cells = (
         spark.range(reps).select(F.col("id").cast("int").alias("rep"))
         .withColumn("family", F.explode(array(["fgn", "fbm"])))
-        .withColumn("hurst", F.explode(array([float(h) for h in hursts])))
+        .withColumn("exponent", F.explode(array([float(h) for h in hursts])))
         .withColumn("n", F.explode(array(list(lengths))))
     )
     brownian = (F.col("family") == "fbm").cast("int")
-    cells = cells.withColumn("seed", brownian * 1_000_000 + F.floor(F.round(F.col("hurst") * 10)).cast("int") * 10_000 + F.col("n") * 10 + F.col("rep")).withColumn("truth", F.col("hurst") + brownian)
+    cells = cells.withColumn("seed", brownian * 1_000_000 + F.floor(F.round(F.col("exponent") * 10)).cast("int") * 10_000 + F.col("n") * 10 + F.col("rep")).withColumn("truth", F.col("exponent") + brownian)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
-            steps = [fgn(int(n), float(h), int(s)) for n, h, s in zip(some["n"], some["hurst"], some["seed"], strict=True)]
+            steps = [fgn(int(n), float(h), int(s)) for n, h, s in zip(some["n"], some["exponent"], some["seed"], strict=True)]
             yield some.assign(samples=[np.cumsum(x) if f == "fbm" else x for x, f in zip(steps, some["family"], strict=True)])
 
     return cells.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, cells.select("*", F.lit(None).cast("array<double>").alias("samples")).schema)
