@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Units of text are what white space parts; in texts of scripts written without it, their characters go one by one.
 BARE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _SPACE = " \t\n\x0b\f\r"
@@ -12,8 +16,8 @@ _SPACE = " \t\n\x0b\f\r"
 GRAM, WINDOW = 5, 4
 #: A gram is packed as 32 bits of hash, then 31 of its place counted down: the least of a window is its rightmost least.
 _PLACES = (1 << 31) - 1
-#: Ranges of ids, about, that neighbours are found in.
-ROWS_A_RANGE = 20_000
+#: Rows, about, of a range of ids that neighbours are found in; ranges at most; ids of a range that its cuts come from.
+ROWS_A_RANGE, RANGES, IDS_A_RANGE = 20_000, 10_000, 100
 
 
 def units(text: Column) -> Column:
@@ -93,33 +97,39 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """(doc_id, text, packed, next_text, next_packed): each row, its fingerprint as winnow() gives it, and those of the
     next row by descending doc_id; after the last, of the first. A null text is empty.
 
-    Rows of one id follow each other by text; a null id is the last. A single row is its own next. Ids are cut at
-    quantiles into ranges of some ROWS_A_RANGE rows, a task each, whatever ids look like; the first rows of a range
-    are also sent to the range before, as its last row's next. Texts are shuffled once.
+    Rows of one id follow each other by text; a null id is the last. A single row is its own next; no row gives none.
+    Ids are cut at about their quantiles into ranges of some ROWS_A_RANGE rows, RANGES at most, whatever ids look like.
+    A range is sorted apart. Where the cuts lie changes no result, so they are taken from a bounded sample of ids, as
+    range partitioning does. Texts are shuffled once.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = max(1, -(-rows.count() // ROWS_A_RANGE), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # range r holds ids above cuts[r - 1] up to cuts[r]; ids come to the driver for the largest of each range alone
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    ranged = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place)
-    tops = rows.select("doc_id", ranged.alias("r")).groupBy("r").agg(F.max("doc_id").alias("top")).orderBy("r").collect()
-    guests = {t["r"]: tops[(i + 1) % len(tops)]["r"] for i, t in enumerate(tops)}  # the range before in descending order
-    rows = rows.withColumn("r", ranged)
-    if not guests:
-        return rows.select("doc_id", "text", winnow(F.col("text")).alias("packed"), F.col("text").alias("next_text"), winnow(F.col("text")).alias("next_packed"))
-    pairs = [v for t in tops for v in (F.lit(t["r"]), F.lit(t["top"]))]
-    hosts = [v for a, b in guests.items() for v in (F.lit(a), F.lit(b))]
-    is_top = F.col("doc_id").eqNullSafe(F.element_at(F.create_map(*pairs), F.col("r")))
-    own = F.struct(F.col("r"), F.lit(False).alias("guest"))
-    other = F.struct(F.element_at(F.create_map(*hosts), F.col("r")).alias("r"), F.lit(True).alias("guest"))
-    dealt = rows.select("doc_id", "text", winnow(F.col("text")).alias("packed"), F.explode(F.when(is_top, F.array(own, other)).otherwise(F.array(own))).alias("at"))
+    size = rows.count()
+    n = min(RANGES, max(1, -(-size // ROWS_A_RANGE), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, size // (IDS_A_RANGE * n)))) == 0)  # for the cuts alone
+    rows = rows.withColumn("r", _range("doc_id", some.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0], rows.schema["doc_id"].dataType.simpleString()))
+    # the first row of a range by descending id is also sent to the range above, the very first to the last: n + 1 rows
+    everything = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tops = rows.groupBy("r").agg(F.max("doc_id").alias("top")).withColumn("host", F.coalesce(F.lead("r").over(Window.orderBy("r")), F.first("r").over(everything)))
+    own, other = F.struct("r", F.lit(False).alias("guest")), F.struct(F.col("host").alias("r"), F.lit(True).alias("guest"))
+    placed = rows.join(F.broadcast(cut(tops, "tops")), "r").withColumn("at", F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, other)).otherwise(F.array(own)))
+    dealt = placed.select("doc_id", "text", winnow(F.col("text")).alias("packed"), F.explode("at").alias("at"))
     order = Window.partitionBy("at.r").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
     following = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "packed")})
     return following.where("not at.guest").select("doc_id", "text", "packed", "next_text", "next_packed")
 
 
+def _range(column: str, cuts: list | None, kind: str) -> Column:
+    """How many of the cuts lie below a value, -1 for null; found in two steps, so a row looks at few of many cuts."""
+    cuts = sorted(set(cuts or []))
+    width = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    array = lambda values, of: F.from_json(F.lit(json.dumps(values)), of)
+    below = lambda values: F.size(F.filter(values, lambda c: c < F.col(column)))
+    coarse = below(array([p[-1] for p in parts], f"array<{kind}>"))
+    fine = F.coalesce(below(F.get(array(parts, f"array<array<{kind}>>"), coarse)), F.lit(0))
+    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.least(coarse * width, F.lit(len(cuts))) + F.greatest(fine, F.lit(0)))
+
+
 def edited(text: Column, other: Column) -> Column:
     """A text whose last half of code points, rounded down, gives way to as many (or all) of another's first."""
     half = F.floor(F.length(text) / 2).cast("int")
