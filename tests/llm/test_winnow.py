@@ -58,8 +58,8 @@ def brute_next(rows):
     return [(a[0], a[1] or "", b[1] or "") for a, b in zip(order, order[1:] + order[:1], strict=True)]
 
 
-@pytest.mark.parametrize("size", [1, 2, 5, 60])
-@pytest.mark.parametrize("rows_a_range", [1, 7, 1000])
+@pytest.mark.parametrize("size", [1, 5, 60])
+@pytest.mark.parametrize("rows_a_range", [1, 1000])
 def test_next_follows_descending_ids(spark, monkeypatch, size, rows_a_range):
     monkeypatch.setattr(winnow, "ROWS_A_RANGE", rows_a_range)
     rng = random.Random(size)

@@ -80,7 +80,9 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     for a, b in spans:
         out.append(text[at : places[a][0]])
         at = places[b - 1][1]
-    return " ".join([x.strip() if k else x for k, x in enumerate([*out, text[at:]])]) if spans else text
+    if not spans:
+        return text
+    return " ".join([out[0].rstrip(), *(x.strip() for x in out[1:]), text[at:].lstrip()])
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[list[tuple]]:

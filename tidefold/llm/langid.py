@@ -92,8 +92,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.3, seed: int = 7) -> Model:
     """Fits on rows of average subword counts x; rows `held` calibrate.
 
-    The temperature is the one of a grid with the least log loss on the held rows. The floor is the score below which
-    REJECTED of them lie, or half at most: a text is rejected just if it looks like no language more than nearly all do.
+    The temperature is the one of a grid with the least log loss on the held rows. The floor lies halfway from chance to
+    the score below which REJECTED of them lie (half at most): held rows are few, so their tail alone would reject some
+    texts of known languages. A text is rejected just if it's nearer to a guess than the oddest known text.
     """
     rng = np.random.default_rng(seed)
     k = len(languages)
@@ -126,7 +127,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray,
             losses.append((-np.log(np.maximum(1e-12, p[np.arange(len(z)), y[held]])).mean(), t))
         model.temperature = float(min(losses)[1])
         p = _softmax(z / model.temperature).max(axis=1)
-        model.floor = float(min(0.5, np.quantile(p, REJECTED)))
+        model.floor = float((1 / k + min(0.5, np.quantile(p, REJECTED))) / 2)
     return model
 
 
