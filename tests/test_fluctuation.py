@@ -24,15 +24,32 @@ def test_published_scales():
     assert geometric_scales(2048, largest=512) == [8, 12, 17, 25, 36, 53, 77, 113, 165, 240, 351, 512]
 
 
+def brute_hurst(x):
+    """Slope of the RMS that straight lines leave, one segment at a time."""
+    y, f = np.cumsum(x - np.mean(x)), []
+    for s in SCALES:
+        t, rms = np.arange(s), []
+        for k in range(len(x) // s):
+            part = y[k * s : (k + 1) * s]
+            rms.append(np.sqrt(np.mean((part - np.polyval(np.polyfit(t, part, 1), t)) ** 2)))
+        f.append(np.sqrt(np.mean(np.maximum(rms, 1e-3 * np.median(rms)) ** 2)))
+    return np.polyfit(np.log2(SCALES), np.log2(f), 1)[0]
+
+
 def test_expressions_equal_polynomial_fits(spark):
     rng = np.random.default_rng(5)
     xs = [*rng.standard_normal((4, 512)).cumsum(axis=1), *rng.standard_normal((4, 512)), 1e-5 * fgn(512, 0.6, 1)]
-    got = fluctuation.mfdfa(frame(spark, xs), SCALES, Q_ALL).orderBy("window").collect()
+    got = fluctuation.mfdfa_expressions(frame(spark, xs), SCALES, Q_ALL).orderBy("window").collect()
     want = fluctuation.exponents(np.array(xs), SCALES, Q_ALL, 1)
+    line = [brute_hurst(x) for x in xs]
+    assert np.abs(want[:, Q_ALL.index(2.0)] - line).max() < 1e-9
     assert np.abs(np.array([r.hq for r in got]) - want).max() < 1e-9
     assert np.abs(np.array([r.hurst for r in got]) - want[:, Q_ALL.index(2.0)]).max() < 1e-9
-    other = fluctuation.hq_of_order(frame(spark, xs), SCALES, Q_ALL, 1).orderBy("window").collect()
-    assert np.abs(np.array([r.hq for r in other]) - want).max() < 1e-12
+    other = fluctuation.mfdfa(frame(spark, [*xs, xs[0][:300], []]), SCALES, Q_ALL).orderBy("window").collect()
+    assert np.abs(np.array([r.hq for r in other[:-2]]) - want).max() < 1e-12
+    for a, b in zip(got, other, strict=False):
+        assert np.abs(np.array(a.fluct_q) - np.array(b.fluct_q)).max() < 1e-9 and np.abs(np.array(a.fluct) - np.array(b.fluct)).max() < 1e-9
+    assert other[-1].hq == [None] * len(Q_ALL) and other[-2].hurst is not None
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
