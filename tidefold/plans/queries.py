@@ -440,7 +440,7 @@ def bin_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT a.event_type, k, count(*) AS n, corr(a.v, b.v) AS r, stddev_pop(a.v) AS sa, stddev_pop(b.v) AS sb FROM s a, (SELECT unnest(range(1, 101)) AS k) z, s b
   WHERE b.event_type = a.event_type AND b.bin = a.bin + z.k AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL),
 x AS (SELECT event_type, k, CASE WHEN n < 20 OR sa = 0 OR sb = 0 THEN 'NaN'::DOUBLE WHEN r < 1 / exp(1.0::DOUBLE) THEN k::DOUBLE END AS e FROM l)
-SELECT event_type, coalesce(arg_min(e, k) FILTER (WHERE e IS NOT NULL), 100.0::DOUBLE) AS tau FROM x GROUP BY event_type""")
+SELECT event_type, CASE WHEN NOT isnan(tau) THEN tau END AS tau FROM (SELECT event_type, coalesce(arg_min(e, k) FILTER (WHERE e IS NOT NULL), 100.0::DOUBLE) AS tau FROM x GROUP BY event_type) y""")
 def acf_timescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     smooth = F.avg("value").over(Window.partitionBy("event_type").orderBy("bin").rowsBetween(-11, 0))
     return timescale.acf_timescale(_hourly(spark, sf_dir).withColumn("value", smooth), ["event_type"], cap=100)
