@@ -17,10 +17,12 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def library():
-    def encode(text, special=True):
-        t = Tokenizer.from_file(tokens.vocabulary())
+    known = {special: Tokenizer.from_file(tokens.vocabulary()) for special in (True, False)}
+    for special, t in known.items():
         t.encode_special_tokens = not special
-        return t.encode(text or "", add_special_tokens=False).ids
+
+    def encode(text, special=True):
+        return known[special].encode(text or "", add_special_tokens=False).ids
 
     return encode
 
