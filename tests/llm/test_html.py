@@ -27,6 +27,18 @@ def test_template_goes_where_no_container_is(spark):
     assert run(spark, rows) == {i: f"text {i}" for i in range(5)}
 
 
+def test_copies_of_pages_without_container_keep_their_text(spark):
+    page = "<html><body>" + "".join(f"<div>Passage number {i} of the text</div>" for i in range(10)) + "<div>{}</div></body></html>"
+    whole = " ".join(f"Passage number {i} of the text" for i in range(10))
+    copies = [(i, "http://h.example/x", page.format("end")) for i in range(4)]
+    assert run(spark, copies) == {i: f"{whole} end" for i in range(4)}
+    near = [(i, "http://h.example/x", page.format(f"end {i}")) for i in range(4)]  # half of the host's pages
+    other = [(i, "http://h.example/x", f"<html><body><p>Page {i}</p></body></html>") for i in range(4, 8)]
+    assert run(spark, near + other) == {i: f"{whole} end {i}" for i in range(4)} | {i: f"Page {i}" for i in range(4, 8)}
+    two = [(i, "http://h.example/x", f"<html><body><div>A common passage</div><p>Text {i} of its own page</p></body></html>") for i in range(2)]
+    assert run(spark, two) == {i: f"A common passage Text {i} of its own page" for i in range(2)}
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain &lt;b&gt; text", "plain <b> text"), ("<p>open <b>bold", "open bold"), ("<article><p>a</p><!-- <p>no</p> --><p>b", "a b"),
     ("<div><p>x &#233; &nbsp; y</p><script>1<2", "x é y"), ("<form><input>q</form><p>z", "z"), ("a < b and c > d", "a < b and c > d"),

@@ -17,6 +17,9 @@ from .common import cut, small_batches
 
 #: A class of tokens is part of a host's template if it has so many tokens and occurs on so many of the host's pages.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 2, 0.5
+#: Its texts are, if they also occur on so many pages and leave the slots of its pages a share of the text: copies and
+#: near copies of a page, or two pages with a common passage, make classes too, whose texts are articles.
+LEAST_TEXT_PAGES, MOST_TEXT = 3, 0.9
 #: Template tokens of all hosts that are broadcast, some 100 MB; beyond, templates are joined by host and salt.
 MOST_BROADCAST = 1_000_000
 SALTS = 64
@@ -205,60 +208,63 @@ def host_of(url: Column) -> Column:
 
 
 def occurrences(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, token, kind, n, place, mark) for each page and distinct token of it.
+    """(host, page, found) for each page: found holds (token, kind, n, place, share) of each distinct token of it.
 
     Tokens are elements by path ("tag"), texts outside article containers by path ("text"), and paths of elements that
-    hold one ("wrapper"). n is how often the token occurs, mark a hash of page and n.
+    hold one ("wrapper"). n is how often the token occurs, share its part of the page's characters of text, page a hash
+    of the html.
     """
-    rows = small_batches(pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(url, html).alias("page"), F.col(html).alias("html")))
+    rows = small_batches(pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html")))
+    token = pa.struct([("token", pa.int64()), ("kind", pa.string()), ("n", pa.int64()), ("place", pa.int64()), ("share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, tokens, kinds, counts, places, marks = [], [], [], [], [], []
-            for host, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out = []
+            for text in batch.column(2).to_pylist():
                 page = Page(text)
                 around = page.around_article()
-                found = {p: ["wrapper" if p in around else "tag", e[1], e[2]] for p, e in page.elements.items()}
+                found = {p: [p, "wrapper" if p in around else "tag", e[1], e[2], 0.0] for p, e in page.elements.items()}
+                size = sum(len(t) for t, *_ in page.blocks)
                 for t, p, ranks, _ in page.blocks:
                     if not ranks:
                         k = _hash(p, "=" + t)
-                        found.setdefault(k, ["text", 0, len(page.elements)])[1] += 1
-                hosts += [host] * len(found)
-                tokens += found
-                kinds += [v[0] for v in found.values()]
-                counts += [v[1] for v in found.values()]
-                places += [v[2] for v in found.values()]
-                marks += [xxhash.xxh64_intdigest(f"{key}:{v[1]}") >> 1 for v in found.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(kinds, pa.string()), pa.array(counts, pa.int64()), pa.array(places, pa.int64()), pa.array(marks, pa.int64())],
-                ["host", "token", "kind", "n", "place", "mark"],
-            )
+                        one = found.setdefault(k, [k, "text", 0, len(page.elements), 0.0])
+                        one[2] += 1
+                        one[4] += len(t) / size
+                out.append([dict(zip(("token", "kind", "n", "place", "share"), v, strict=True)) for v in found.values()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(token))], ["host", "page", "found"])
 
-    return rows.mapInArrow(run, "host string, token long, kind string, n long, place long, mark long")
+    return rows.mapInArrow(run, "host string, page long, found array<struct<token:long,kind:string,n:long,place:long,share:double>>")
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, tokens, wrappers): the template of each host that has one.
 
     A token's occurrence vector, how often it is on each page of its host, is kept as the number of its pages and two
-    sums of hashes of page and count: equal vectors have equal sums, and no page is gathered with another. Tokens of
+    sums of hashes of page and count: equal vectors have equal sums, and no page is gathered with another. Pages of one
+    host with equal html count once. Tokens of
     one vector are a class. Classes of LEAST_TOKENS or more on at least LEAST_PAGES pages and LEAST_SHARE of the host's
     are valid if ordered: by mean place no two of their element tokens fall together. Element tokens are paths, so a class nests
-    in the one that holds the parents of its paths; the template of a host is all its valid classes.
+    in the one that holds the parents of its paths; the template of a host is all its valid classes. Texts of a class
+    are left out of it if they lie on fewer than LEAST_TEXT_PAGES pages or hold over MOST_TEXT of their pages' text:
+    without slots that vary between pages nothing tells a template from a repeated article.
     """
-    found = occurrences(pages, url, html)
+    once = cut(occurrences(pages, url, html).dropDuplicates(["host", "page"]), "occurrences")
+    found = once.select("host", "page", F.inline("found")).withColumn("mark", F.xxhash64("page", "n"))
     low = F.col("mark").bitwiseAND(F.lit((1 << 31) - 1))
     vectors = found.groupBy("host", "token").agg(
-        F.max("kind").alias("kind"), F.count("*").alias("pages"), F.sum(low).alias("v"), F.sum(F.shiftright("mark", 31)).alias("w"), F.avg("place").alias("place")
+        F.max("kind").alias("kind"), F.count("*").alias("pages"), F.sum(low).alias("v"), F.sum(F.shiftrightunsigned("mark", 31)).alias("w"), F.avg("place").alias("place"), F.avg("share").alias("share")
     )
-    sizes = pages.select(host_of(F.col(url)).alias("host")).groupBy("host").agg(F.count("*").alias("of"))
+    sizes = once.groupBy("host").agg(F.count("*").alias("of"))
     often = vectors.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= F.col("of") * LEAST_SHARE)
+    is_text = F.col("kind") == "text"
     classes = often.groupBy("host", "pages", "v", "w").agg(
-        F.collect_list("token").alias("t"), F.collect_list(F.when(F.col("kind") == "wrapper", F.col("token"))).alias("x"),
-        F.count(F.when(F.col("kind") != "text", 1)).alias("elements"), F.countDistinct(F.when(F.col("kind") != "text", F.col("place"))).alias("places"),
+        F.collect_list(F.when(~is_text, F.col("token"))).alias("t"), F.collect_list(F.when(is_text, F.col("token"))).alias("texts"), F.sum(F.when(is_text, F.col("share"))).alias("held"),
+        F.collect_list(F.when(F.col("kind") == "wrapper", F.col("token"))).alias("x"), F.countDistinct(F.when(~is_text, F.col("place"))).alias("places"),
     )
-    valid = classes.where((F.size("t") >= LEAST_TOKENS) & (F.col("places") == F.col("elements")))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("t")).alias("tokens"), F.flatten(F.collect_list("x")).alias("wrappers"))
+    valid = classes.where((F.size("t") + F.size("texts") >= LEAST_TOKENS) & (F.col("places") == F.size("t")))
+    known = F.when((F.col("pages") >= LEAST_TEXT_PAGES) & (F.col("held") <= MOST_TEXT), F.concat("t", "texts")).otherwise(F.col("t"))
+    return valid.groupBy("host").agg(F.flatten(F.collect_list(known)).alias("tokens"), F.flatten(F.collect_list("x")).alias("wrappers"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -270,7 +276,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     without a container, texts of the template go and the other slots stay. Character references are decoded, white
     space in a block is one space, scripts, styles and comments are no text. Null and empty pages have empty text; a
     null or odd url is a host of its own name, ''. Hosts of one page have no template: names decide alone. Repeated rows
-    get equal results, an empty table gives none, extra columns are not read.
+    get equal results, and count once in a template, an empty table gives none, extra columns are not read.
     """
     found = cut(templates(pages, url, html), "templates")
     size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
