@@ -39,6 +39,15 @@ def test_copies_of_pages_without_container_keep_their_text(spark):
     assert run(spark, two) == {i: f"A common passage Text {i} of its own page" for i in range(2)}
 
 
+def test_marked_elements_around_the_article_of_one_page(spark):
+    body = "The whole text of the article of this page"
+    rows = [
+        (1, "http://one.example/x", f'<html><body><p>Site</p><div class="layout sidebar-right"><article>{body}</article><div class="sidebar">side</div></div></body></html>'),
+        (2, "http://two.example/x", f'<html><body><article>{body}</article><div class="sidebar"><article>Teaser of more</article></div></body></html>'),
+    ] + [(i, "http://many.example/x", f'<html><body><form id="banner-{i}"><main>{body} {i}</main></form></body></html>') for i in range(3, 6)]
+    assert run(spark, rows) == {1: body, 2: body} | {i: f"{body} {i}" for i in range(3, 6)}
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain &lt;b&gt; text", "plain <b> text"), ("<p>open <b>bold", "open bold"), ("<article><p>a</p><!-- <p>no</p> --><p>b", "a b"),
     ("<div><p>x &#233; &nbsp; y</p><script>1<2", "x é y"), ("<form><input>q</form><p>z", "z"), ("a < b and c > d", "a < b and c > d"),

@@ -96,6 +96,8 @@ class Page:
         self.elements: dict[int, list] = {}
         self.blocks: list[tuple[str, int, int, bool]] = []
         self.wrappers = wrappers
+        self.doubt = False  # whether a container may be a teaser
+        self.marked: set[int] = set()  # paths of elements that names mark
         self._read(html or "")
 
     def _read(self, html: str) -> None:
@@ -177,7 +179,10 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
             elif name not in _VOID and not (m["attrs"].endswith("/") and name not in _BLOCK):
-                other = top.other or (mark == "other" and path not in self.wrappers) or (mark == "header" and not top.ranks and path not in self.wrappers)
+                marked = path not in self.wrappers and (mark == "other" or (mark == "header" and not top.ranks))
+                if marked:
+                    self.marked.add(path)
+                other = top.other or marked
                 stack.append(Open(name, path, top.ranks | (1 << rank if rank else 0), other))
         if at < len(html):
             say(html[at:])
@@ -193,13 +198,38 @@ class Page:
                     parent = self.elements[parent][3]
         return out
 
+    def held(self) -> int:
+        """Characters of text in containers of the article that names don't mark."""
+        return sum(len(t) for t, _, r, other in self.blocks if r & 6 and not other)
+
     def main_text(self, template: frozenset[int]) -> str:
-        """The slots of the article: blocks in its container, or without one all that template and names leave."""
-        ranks = {b for _, _, r, other in self.blocks if not other for b in (1, 2, 3) if r >> b & 1}
-        if ranks:
-            best = 1 << min(ranks)
-            return " ".join(t for t, _, r, other in self.blocks if r & best and not other)
-        return " ".join(t for t, p, _, other in self.blocks if not other and _hash(p, "=" + t) not in template)
+        """The slots of the article: blocks in its container, or without one all that template and names leave.
+
+        In doubt a container must hold half of what these leave.
+        """
+        ranks = sorted({b for _, _, r, other in self.blocks if not other for b in (1, 2, 3) if r >> b & 1})
+        slots = [(t, r) for t, p, r, other in self.blocks if not other and (r or _hash(p, "=" + t) not in template)]
+        whole = sum(len(t) for t, _ in slots)
+        for best in ranks:
+            inside = [t for t, r in slots if r >> best & 1]
+            if not self.doubt or 2 * sum(map(len, inside)) >= whole:
+                return " ".join(inside)
+        return " ".join(t for t, _ in slots)
+
+
+def read(html: str | None, wrappers: frozenset[int]) -> Page:
+    """A page; marked elements around its own containers count as wrappers too if all its containers lie in such, or
+    if most of its text then lies in containers.
+
+    So an article keeps its text whatever the layout around it is named, and a teaser in a sidebar stays one.
+    """
+    page = Page(html, wrappers)
+    if own := page.around_article() & page.marked:
+        other = Page(html, wrappers | own)
+        other.doubt = not page.held()
+        if other.doubt or other.held() - page.held() > sum(len(t) for t, _, _, o in page.blocks if not o):
+            return other
+    return page
 
 
 def host_of(url: Column) -> Column:
@@ -272,7 +302,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
     Slots are what a host's template leaves: text inside the article's container (article, then main, then names such
     as content) without parts whose element or names mark menus, headers, footers, sidebars, notices, adverts, forms or
-    comments; an element that holds the container on the host's pages counts as its wrapper whatever its name. On pages
+    comments; an element that holds the container on the host's pages counts as its wrapper whatever its name, and so
+    does one of a single page if no other container is there, or none with so much text. On pages
     without a container, texts of the template go and the other slots stay. Character references are decoded, white
     space in a block is one space, scripts, styles and comments are no text. Null and empty pages have empty text; a
     null or odd url is a host of its own name, ''. Hosts of one page have no template: names decide alone. Repeated rows
@@ -299,7 +330,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                         known.clear()
                     known[hosts[k]] = tuple(frozenset(batch.column(c)[k].as_py() or ()) for c in (4, 5))
                 tokens, wrappers = known[hosts[k]]
-                texts.append(Page(h.as_py(), wrappers).main_text(tokens))
+                texts.append(read(h.as_py(), wrappers).main_text(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
