@@ -48,6 +48,14 @@ def test_marked_elements_around_the_article_of_one_page(spark):
     assert run(spark, rows) == {1: body, 2: body} | {i: f"{body} {i}" for i in range(3, 6)}
 
 
+def test_template_decides_inside_containers_and_about_teasers(spark):
+    inside = "<html><body><main><p>Read more on our site</p><p>Written by the staff</p><p>Text {} and so on</p></main></body></html>"
+    rows = [(i, "http://in.example/x", inside.format(i)) for i in range(4)]
+    teaser = "<html><body><article>Teaser {}</article><div>The long body of page {} that no name marks</div><div>All rights kept</div></body></html>"
+    rows += [(i, "http://teaser.example/x", teaser.format(i, i)) for i in range(4, 8)]
+    assert run(spark, rows) == {i: f"Text {i} and so on" for i in range(4)} | {i: f"Teaser {i} The long body of page {i} that no name marks" for i in range(4, 8)}
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain &lt;b&gt; text", "plain <b> text"), ("<p>open <b>bold", "open bold"), ("<article><p>a</p><!-- <p>no</p> --><p>b", "a b"),
     ("<div><p>x &#233; &nbsp; y</p><script>1<2", "x é y"), ("<form><input>q</form><p>z", "z"), ("a < b and c > d", "a < b and c > d"),

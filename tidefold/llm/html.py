@@ -20,6 +20,8 @@ LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 2, 0.5
 #: Its texts are, if they also occur on so many pages and leave the slots of its pages a share of the text: copies and
 #: near copies of a page, or two pages with a common passage, make classes too, whose texts are articles.
 LEAST_TEXT_PAGES, MOST_TEXT = 3, 0.9
+#: The bit of <article>: what repeats in it on all pages of a host is text all the same, by its author's word.
+ARTICLE = 1 << 1
 #: Template tokens of all hosts that are broadcast, some 100 MB; beyond, templates are joined by host and salt.
 MOST_BROADCAST = 1_000_000
 SALTS = 64
@@ -203,16 +205,18 @@ class Page:
         return sum(len(t) for t, _, r, other in self.blocks if r & 6 and not other)
 
     def main_text(self, template: frozenset[int]) -> str:
-        """The slots of the article: blocks in its container, or without one all that template and names leave.
+        """The slots of the article: blocks that template and names leave, of its container if there is one.
 
-        In doubt a container must hold half of what these leave.
+        In doubt, or where a template tells slots from the rest, a container must hold half of what is left. A template
+        that would leave nothing isn't this page's.
         """
-        ranks = sorted({b for _, _, r, other in self.blocks if not other for b in (1, 2, 3) if r >> b & 1})
-        slots = [(t, r) for t, p, r, other in self.blocks if not other and (r or _hash(p, "=" + t) not in template)]
+        left = [(t, p, r) for t, p, r, other in self.blocks if not other]
+        slots = [(t, r) for t, p, r in left if r & ARTICLE or _hash(p, "=" + t) not in template] or [(t, r) for t, _, r in left]
+        ranks = sorted({b for _, r in slots for b in (1, 2, 3) if r >> b & 1})
         whole = sum(len(t) for t, _ in slots)
         for best in ranks:
             inside = [t for t, r in slots if r >> best & 1]
-            if not self.doubt or 2 * sum(map(len, inside)) >= whole:
+            if not (self.doubt or template) or 2 * sum(map(len, inside)) >= whole:
                 return " ".join(inside)
         return " ".join(t for t, _ in slots)
 
@@ -240,8 +244,8 @@ def host_of(url: Column) -> Column:
 def occurrences(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, page, found) for each page: found holds (token, kind, n, place, share) of each distinct token of it.
 
-    Tokens are elements by path ("tag"), texts outside article containers by path ("text"), and paths of elements that
-    hold one ("wrapper"). n is how often the token occurs, share its part of the page's characters of text, page a hash
+    Tokens are elements by path ("tag"), texts outside <article> by path, in other containers too ("text"), and paths
+    of elements that hold an article or main ("wrapper"). n is how often the token occurs, share its part of the page's characters of text, page a hash
     of the html.
     """
     rows = small_batches(pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html")))
@@ -256,11 +260,12 @@ def occurrences(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
                 found = {p: [p, "wrapper" if p in around else "tag", e[1], e[2], 0.0] for p, e in page.elements.items()}
                 size = sum(len(t) for t, *_ in page.blocks)
                 for t, p, ranks, _ in page.blocks:
-                    if not ranks:
-                        k = _hash(p, "=" + t)
-                        one = found.setdefault(k, [k, "text", 0, len(page.elements), 0.0])
-                        one[2] += 1
-                        one[4] += len(t) / size
+                    if ranks & ARTICLE:
+                        continue
+                    k = _hash(p, "=" + t)
+                    one = found.setdefault(k, [k, "text", 0, len(page.elements), 0.0])
+                    one[2] += 1
+                    one[4] += len(t) / size
                 out.append([dict(zip(("token", "kind", "n", "place", "share"), v, strict=True)) for v in found.values()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(token))], ["host", "page", "found"])
 
@@ -300,13 +305,15 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page: the article's blocks in page order, joined by one space.
 
-    Slots are what a host's template leaves: text inside the article's container (article, then main, then names such
-    as content) without parts whose element or names mark menus, headers, footers, sidebars, notices, adverts, forms or
+    Slots are what a host's template leaves on each page, inside containers and outside; texts in <article> are slots
+    even if all pages repeat them. Names check them:
+    the text is that of the container (article, then main, then names such as content) that holds half of the slots'
+    text or more, or else all slots, without parts whose element or names mark menus, headers, footers, sidebars, notices, adverts, forms or
     comments; an element that holds the container on the host's pages counts as its wrapper whatever its name, and so
-    does one of a single page if no other container is there, or none with so much text. On pages
-    without a container, texts of the template go and the other slots stay. Character references are decoded, white
+    does one of a single page if no other container is there, or none with so much text. Where
+    no container holds so much, as without one, all slots stay. Character references are decoded, white
     space in a block is one space, scripts, styles and comments are no text. Null and empty pages have empty text; a
-    null or odd url is a host of its own name, ''. Hosts of one page have no template: names decide alone. Repeated rows
+    null or odd url is a host of its own name, ''. Hosts of one page have no template: names decide alone, and any container will do. Repeated rows
     get equal results, and count once in a template, an empty table gives none, extra columns are not read.
     """
     found = cut(templates(pages, url, html), "templates")
