@@ -77,6 +77,15 @@ def test_draw_gives_whole_documents(spark):
     assert {(r.doc_id, r.text, r.source) for r in drawn} <= {tuple(r) for r in rows}
 
 
+def test_draw_carries_the_draws_of_each_row(spark):
+    rows = [(None if i % 3 else 5, f"t{i} " * (1 + i % 4), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = sorted((r["size"], r.source_size, r.draws) for r in mixing.mix_sources(df).collect() for _ in range(r.draws))
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    drawn = [(len(r.text.split()), sizes[r.source]) for r in mixing.draw(df).collect()]
+    assert sorted(drawn) == sorted(t[:2] for t in times)
+
+
 def test_tables_without_words_or_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(empty).count() == 0

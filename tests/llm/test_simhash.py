@@ -91,3 +91,12 @@ def test_near_duplicates(spark):
     got = sorted(((r.doc_id, r.component_id) for r in out.collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 8), (8, 8), (7, 7), (7, 7), (None, 3)], key=str)
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keep_one_row_of_each_class_whatever_the_ids(spark):
+    one, two, three = ("the quick brown fox jumps over the lazy dog and runs far away", "other words altogether in this text of another kind", "nothing of what was said before is repeated in this line")
+    rows = [(1, one, "a"), (5, one, "b"), (5, two, "c"), (None, three, "d"), (None, three, "d"), (None, one, "e"), (7, three.upper(), "f"), (9, "", "g"), (9, None, "h")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3))
+    assert sorted(got.collect()) == [(1, one, "a"), (5, two, "c"), (7, three.upper(), "f"), (9, None, "h")]
+    none = simhash.keep_one(spark.createDataFrame([(None, one), (None, one), (None, two)], "doc_id long, text string")).collect()
+    assert sorted(r.text for r in none) == sorted([one, two])

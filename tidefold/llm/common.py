@@ -47,6 +47,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column with_key() adds.
+KEY = "_row_key"
+
+
+def with_key(df: DataFrame) -> DataFrame:
+    """A table with a number of its own for every row, written so that it's the same whenever it is read."""
+    return cut(df.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+
+
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """Sets how many rows go to Python at once: texts can be long, and a batch is held in memory whole."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import KEY, cut, with_key, word_count
 
 #: The shuffled documents of a source are dealt to this many ranges of their hash, so that no task holds a source.
 RANGES = 256
@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source", key: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, draws.
 
     Documents of a source are shuffled by the md5 of their id (then id, size); each further pass repeats that order.
@@ -47,16 +47,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     what is left. taken counts the words taken, repeats included; draws the copies, the cut one included. Documents
     without words take 0 words; they're drawn with the copies at the same time. Repeated rows are documents of their
     own. A null text has size 0; a null source is a source, a null id sorts first. No row gives no rows. Extra
-    columns are not read. The same rows give the same mix, however they are partitioned.
+    columns are not read. The same rows give the same mix, however they are partitioned. With the name of a column that numbers the
+    rows, key is returned too; of rows alike in id and size the text's hash and that number tell the order.
     """
-    key = (F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"))
+    own = ["_text", "key"] if key else []
+    names = (F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"))
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *([F.xxhash64(text).alias("_text"), F.col(key).alias("key")] if key else []))
         .withColumn("_h", hashed)
         .withColumn("_range", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * RANGES / 65536))
     )
-    rows = cut(rows.select("*", *key), "sizes")  # the texts are read once; what follows needs some 60 bytes a document
+    rows = cut(rows.select("*", *names), "sizes")  # the texts are read once; what follows needs some 60 bytes a document
     by_range = rows.groupBy("_none", "_source", "_range").agg(F.sum("size").alias("_words"))
     earlier = Window.partitionBy("_none", "_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = by_range.groupBy("_none", "_source").agg(F.sum("_words").alias("source_size"))
@@ -64,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     plan = plan.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
     starts = by_range.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words").join(plan, ["_none", "_source"])
 
-    place = Window.partitionBy("_none", "_source", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    place = Window.partitionBy("_none", "_source", "_range").orderBy("_h", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_cum", F.sum("size").over(place)).join(starts, ["_none", "_source", "_range"])
 
     def finish(k: int) -> Column:
@@ -84,7 +86,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         F.aggregate(F.transform("_finish", taken), F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"),
-        F.size(F.filter("_finish", drawn)).alias("draws"),
+        F.size(F.filter("_finish", drawn)).alias("draws"), *own[1:],
     )
 
 
@@ -106,10 +108,7 @@ def _last_copy(copies: DataFrame, plan: DataFrame, share: float) -> dict:
 
 
 def draw(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each document as many times as mix_sources() draws it, whole, all columns unchanged.
-
-    Rows of one id (or of none) are drawn alike, as often as the most drawn of them.
-    """
-    times = mix_sources(docs, weights, share, passes, doc_id, text, source).groupBy("doc_id").agg(F.max("draws").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
-    drawn = docs.join(times, F.col(doc_id).eqNullSafe(F.col("_id")))
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The mix itself: each row as many times as mix_sources() draws it, whole, all columns unchanged, whatever its id."""
+    rows = with_key(docs)
+    times = mix_sources(rows, weights, share, passes, doc_id, text, source, KEY).where("draws > 0").select(F.col("key").alias(KEY), F.col("draws").alias("_times"))
+    return rows.join(times, KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

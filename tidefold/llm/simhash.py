@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, words_of
+from .common import KEY, cut, small_batches, with_key, words_of
 from .components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -41,15 +41,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row; whole texts, null like one without words."""
-    rows = small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
+    """(doc_id, fp long) of every row, and key (long) if it's named; whole texts, null like one without words."""
+    more = [F.col(key).alias("key")] if key else []
+    rows = small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], ["doc_id", "fp", *(["key"] if key else [])])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long{', key long' if key else ''}")
 
 
 @cache
@@ -150,23 +152,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     white space) have fingerprint 0 and are linked like any other. Repeated rows stay, with the same component. A null
     id counts only where a component has no other. An empty table gives no rows. Extra columns are not read.
     """
-    own = cut(fingerprints(docs, doc_id, text), "fingerprints")
+    return _classes(cut(fingerprints(docs, doc_id, text), "fingerprints")).select("doc_id", "fp", "component_id")
+
+
+def _classes(own: DataFrame) -> DataFrame:
+    """The rows of fingerprints() with component_id, and root (long), the component's smallest fingerprint.
+
+    component_id is null where no row of a component has an id; root always tells components apart.
+    """
     each = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(links(each))
     joined = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return own.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    classes = joined.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+    return own.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id", *[c for c in ("key",) if c in own.columns], "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id; all columns unchanged.
+    """One row of each class of near-duplicates, the one with the smallest id, then text; all columns unchanged.
 
-    Of rows that repeat an id the one with the least text stays. Rows without an id can't be told apart and stay.
+    Classes are of rows: rows of one id whose texts aren't alike each stay, rows without an id are kept only where their
+    class has no other. Of rows that repeat id and text any one stays.
     """
-    found = cut(near_duplicates(docs, doc_id, text), "classes")
-    out = docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(text))
-        out = out.withColumn("_nth", nth).where(F.col(doc_id).isNull() | (F.col("_nth") == 1)).drop("_nth")
-    return out
+    rows = with_key(docs)
+    found = cut(_classes(cut(fingerprints(rows, doc_id, text, KEY), "fingerprints")).select("root", "doc_id", "key"), "classes")
+    least = found.groupBy("root", "doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    first = cut(least.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("l")).select("root", "l.doc_id", "l.key", "l.n"), "least")
+    kept = first.where("n = 1").select("key")
+    repeated = first.where("n > 1").select("root", F.col("doc_id").alias("_id"))
+    if repeated.head(1):  # texts are read just where ids don't decide
+        same = found.join(repeated, (found["root"] == repeated["root"]) & found["doc_id"].eqNullSafe(repeated["_id"])).select(found["root"], "key")
+        texts = same.join(rows.select(F.col(KEY).alias("key"), F.col(text).alias("t")), "key")
+        kept = kept.unionByName(texts.groupBy("root").agg(F.min(F.struct("t", "key"))["key"].alias("key")).select("key"))
+    return rows.join(kept.withColumnRenamed("key", KEY), KEY, "left_semi").select(*docs.columns)
