@@ -46,6 +46,17 @@ def test_odd_texts(spark, docs):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(1)
+    many = [(f"l{k:02}", "".join(chr(97 + i) for i in rng.integers(0, 26, 6))) for k in range(70)]
+    rows = [(100 * k + i, f"{word} " * (3 + i), name) for k, (name, word) in enumerate(many) for i in range(1 if k == 69 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    assert model.languages == [name for name, _ in many]
+    assert np.mean([model.predict(f"{word} {word}")[0] == name for name, word in many]) > 0.95
+    assert model.predict(f"{many[69][1]} {many[69][1]}")[0] == "l69"
+
+
 def test_quality_of_held_out_texts(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = queries.op8_quality(spark, SF).collect()

@@ -17,8 +17,9 @@ UNKNOWN = "und"
 #: Subwords are runs of GRAMS bytes of a lowered word with a space at each end, hashed to BUCKETS.
 GRAMS, BUCKETS = (2, 3, 4), 1 << 12
 DIMENSION = 16
-#: Documents of each language that the model is fitted on, about, and languages; both bound what comes to the driver.
-SAMPLE, LANGUAGES = 400, 64
+#: Documents of each language that the model is fitted on, about, and of all languages together: beyond MOST / SAMPLE
+#: languages each gives fewer, LEAST at least. That bounds what comes to the driver; no language is left out.
+SAMPLE, MOST, LEAST = 400, 25_600, 2
 #: Words of the excerpt that is learned from beside each sampled whole text, so that short texts are known too.
 EXCERPT = 8
 #: Share of sampled documents of known languages that calibration may reject.
@@ -134,19 +135,21 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray,
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows where `learn` holds and text and lang are there: about `sample` documents of each language.
 
-    Rows are chosen by a hash of their id against the language's count, and reduced to subword counts on the executors:
-    what comes to the driver is bounded by sample x languages x BUCKETS, however long the texts. Of the languages, the
-    LANGUAGES with most rows are learned. Every fifth sampled document is held for calibration.
+    Rows are chosen by a hash of their id against the language's count, and one row more by a hash of id and text, so
+    that each language has a row. They are reduced to subword counts on the executors: what comes to the driver is
+    bounded by MOST (or LEAST x languages) x BUCKETS, however long the texts. Every language found is learned. Every
+    fifth sampled document is held for calibration, unless its language has no other.
     """
     spark = docs.sparkSession
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    places = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "text")).alias("first")).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    places = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], float(sample / r["count"]))]), F.col("lang"))
-    chosen = rows.where(F.col("lang").isin(languages) & (places < share))
+    sample = min(sample, max(LEAST, MOST // len(languages)))
+    shares = spark.createDataFrame([(r["lang"], float(sample / r["n"]), r["first"]) for r in counts], "lang string, _share double, _first long")
+    chosen = rows.join(F.broadcast(shares), "lang").where((places < F.col("_share")) | (F.xxhash64("doc_id", "text") == F.col("_first"))).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(text: str) -> bytes:
@@ -164,11 +167,19 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = small_batches(chosen).mapInArrow(run, f"doc_id {kind}, lang string, whole binary, part binary").toLocalIterator()
-    got = sorted(((str(r["doc_id"]), r["lang"], bytes(r["whole"]), bytes(r["part"])) for r in got))[: 2 * sample * len(languages)]
+    taken = dict.fromkeys(languages, 0)
+    some = []
+    for r in got:  # rows of one id fall together
+        if taken[r["lang"]] < 2 * sample:
+            taken[r["lang"]] += 1
+            some.append((str(r["doc_id"]), r["lang"], bytes(r["whole"]), bytes(r["part"])))
+    got = sorted(some)
     number = {name: k for k, name in enumerate(languages)}
     x = np.frombuffer(b"".join(c for r in got for c in r[2:]), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     y = np.repeat([number[r[1]] for r in got], 2)
-    return train(x, y, languages, np.repeat(np.arange(len(got)) % 5 == 4, 2))
+    held = np.repeat(np.arange(len(got)) % 5 == 4, 2)
+    held &= np.isin(y, y[~held])
+    return train(x, y, languages, held)
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
