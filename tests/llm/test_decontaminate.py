@@ -43,6 +43,14 @@ def test_scan_equals_brute_force(spark, most_words):
     assert all(sum(s["last"] - s["first"] for s in r.spans) == r.n_hit for r in got)
 
 
+@pytest.mark.parametrize("most_words", [1_000_000, 4])
+def test_texts_of_one_item_in_two_blocks(spark, most_words):
+    items = [(8, "one two three"), (8, "four five six seven")]
+    docs = [(1, "one two three x four five six seven")] * 2
+    got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_words=most_words).collect()
+    assert [(r.n_hit, r.item_ids, [tuple(s) for s in r.spans]) for r in got] == [(7, [8], [(0, 3), (4, 8)])] * 2
+
+
 @pytest.mark.parametrize("most_words", [1_000_000, 25])
 def test_removal(spark, most_words):
     items, docs, benchmark, table = make(spark)

@@ -85,17 +85,17 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return " ".join([out[0].rstrip(), *(x.strip() for x in out[1:]), text[at:].lstrip()])
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[list[tuple]]:
-    """The benchmark in blocks of at most `most` words each (or one item); it's a stated query set, read block by block."""
-    blocks, size = [[]], 0
+def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple]]:
+    """The benchmark in blocks of at most `most` words each (or one item), read one at a time; one empty block at least."""
+    block, size = [], 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
         n = len(words(row["t"]))
-        if size + n > most and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["i"], row["t"]))
+        if size + n > most and block:
+            yield block
+            block, size = [], 0
+        block.append((row["i"], row["t"]))
         size += n
-    return blocks
+    yield block
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
@@ -138,14 +138,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
         return (rows.withColumn("row", F.xxhash64("doc_id", "text")) if keep else rows).mapInArrow(run, schema + (", row long" if keep else ""))
 
     blocks = _blocks(benchmark, item_id, item_text, most_words)
-    if len(blocks) == 1:
-        return scanned(blocks[0], keep=False)
-    # equal rows have equal hits, so one of each is joined; positions are joined as spans, not word by word
-    parts = [cut(scanned(b, keep=True), "hits") for b in blocks]
+    block, after = next(blocks), next(blocks, None)  # the driver holds these two at most
+    if after is None:
+        return scanned(block, keep=False)
+    # equal rows have equal hits in a block, so one of each is joined; positions are joined as spans, not word by word
+    parts = []
+    while block is not None:
+        parts.append(cut(scanned(block, keep=True), "hits").withColumn("block", F.lit(len(parts))))
+        block, after = after, next(blocks, None)
     some = parts[0].where("n_hit > 0")
     for p in parts[1:]:
         some = some.unionByName(p.where("n_hit > 0"))
-    some = some.dropDuplicates(["row", "item_ids"]).groupBy("row").agg(F.flatten(F.collect_list("item_ids")).alias("i"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
+    some = some.dropDuplicates(["row", "block"]).groupBy("row").agg(F.flatten(F.collect_list("item_ids")).alias("i"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
     # a span is appended if it starts behind the last, else the last grows
     joined = F.expr(
         """aggregate(s, cast(array() as array<struct<first:int,last:int>>), (a, x) -> if(size(a) > 0 and x.first <= element_at(a, -1).last,
