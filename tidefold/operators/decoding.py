@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +148,129 @@ def decode_cells(rows: DataFrame, keys: Sequence[str] = CELL, features: str = "f
     return used.groupBy(*keys).applyInPandas(run, f"{kinds}, {RESULT}")
 
 
+def _added(rows: DataFrame, cells: Sequence[int], part: Callable) -> dict[int, np.ndarray]:
+    """Vectors by cell, added up over all rows: part(x, label, train) gives a vector for each cell of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([np.asarray(v, float) for v in batch.column(0).to_pylist()])
+                got = part(x, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+                sums = got if sums is None else sums + got
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(list(sums), pa.list_(pa.float64()))], ["task", "s"])
+
+    partial = rows.select("_x", "label", "train").mapInArrow(run, "task long, s array<double>").select("task", F.posexplode("s").alias("pos", "v"))
+    out: dict[int, list] = {k: [] for k in cells}
+    for r in partial.groupBy("task", "pos").agg(F.sum("v").alias("v")).orderBy("task", "pos").collect():
+        out[r["task"]].append(r["v"])
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def decode_labels(rows: DataFrame, features: str = "features", tol: float = 1e-8, c: float = 1.0, max_iter: int = 200, block: int = 64) -> DataFrame:
+    """task (long) and RESULT for each label present, told from all others: what decode_cells() gives for such cells.
+
+    rows: role, label, features (array<double>, of one length). No cell is gathered: each Newton step of all labels of a
+    block adds up losses, gradients and Hessians of batches, scores are made in place and ranked by auroc(). Rows
+    without a label are left out. Features that aren't finite raise an error with their count; so do tables without
+    train or test rows. AUROC is NaN where a label lacks rows on either side.
+    """
+    used = rows.where(F.col("role").isin("train", "test") & F.col("label").isNotNull())
+    used = used.select(F.col(features).alias("_x"), F.col("label").cast("long").alias("label"), (F.col("role") == "train").alias("train"))
+    spark = rows.sparkSession
+    counts = used.groupBy("label").agg(F.count_if("train").alias("a"), F.count_if(~F.col("train")).alias("b")).orderBy("label").collect()
+    n_train, n_test = sum(r["a"] for r in counts), sum(r["b"] for r in counts)
+    for name, n in (("train", n_train), ("test", n_test)):
+        if counts and not n:
+            raise ValueError(f"no {name} rows")
+
+    def first(x: np.ndarray, y: np.ndarray, train: np.ndarray) -> np.ndarray:
+        bad = ~np.isfinite(x)
+        return np.concatenate([[bad[train].sum(), bad[~train].sum()], np.where(bad, 0, x)[train].sum(axis=0)])[None]
+
+    out = None
+    if counts:
+        sums = _added(used, [0], first)[0]
+        for name, bad in zip(("train", "test"), sums[:2], strict=True):
+            if bad:
+                raise ValueError(f"{int(bad)} non-finite {name} feature values")
+        mean = sums[2:] / n_train
+        sd = np.sqrt(_added(used, [0], lambda x, y, train: ((x[train] - mean) ** 2).sum(axis=0)[None])[0] / n_train)
+        sd = np.where(sd > 0, sd, 1.0)
+        for i in range(0, len(counts), block):
+            some = _decode_block(used, counts[i : i + block], n_train, n_test, mean, sd, tol, c, max_iter)
+            out = some if out is None else out.unionByName(some)
+    return spark.createDataFrame([], f"task long, {RESULT}") if out is None else out
+
+
+def _decode_block(used: DataFrame, counts: list, n_train: int, n_test: int, mean: np.ndarray, sd: np.ndarray, tol: float, c: float, max_iter: int) -> DataFrame:
+    d = len(mean)
+    ridge = np.append(np.full(d, 1.0 / c), 0.0)
+    upper = np.triu_indices(d + 1)
+    # with one class in train rows the model tells that class from nothing, as in decode_cells()
+    single = {r["label"]: r["a"] in (0, n_train) for r in counts}
+    negative = {r["label"]: r["a"] == 0 for r in counts}
+    beta = {r["label"]: np.zeros(d + 1) for r in counts}
+    state: dict[int, tuple] = {}
+    trial = dict(beta)
+    steps = dict.fromkeys(beta, 0)
+    open_ = dict.fromkeys(beta)  # cell -> (move, size, slope) of the step that is tried
+    while open_:
+        cells = list(open_)
+        at = np.stack([trial[k] for k in cells])
+
+        def part(x: np.ndarray, label: np.ndarray, train: np.ndarray, cells=cells, at=at) -> np.ndarray:
+            a = np.column_stack([(x[train] - mean) / sd, np.ones(int(train.sum()))])
+            got = np.zeros((len(cells), 1 + d + 1 + len(upper[0])))
+            for i, k in enumerate(cells):
+                y = ((label[train] == k) != negative[k]).astype(float)
+                z = a @ at[i]
+                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                got[i, 0] = np.logaddexp(0, -(2 * y - 1) * z).sum()
+                got[i, 1 : d + 2] = a.T @ (p - y)
+                got[i, d + 2 :] = ((a.T * (p * (1 - p))) @ a)[upper]
+            return got
+
+        for k, v in _added(used, cells, part).items():
+            loss, gradient, h = v[0] + 0.5 * (ridge * trial[k] ** 2).sum(), v[1 : d + 2] + ridge * trial[k], np.zeros((d + 1, d + 1))
+            if open_[k] is not None:
+                move, size, slope = open_[k]
+                if size > 1e-6 and loss > state[k] - 1e-4 * size * slope:
+                    open_[k] = move, size / 2, slope
+                    trial[k] = beta[k] - size / 2 * move
+                    continue
+                beta[k] = trial[k]
+                steps[k] += 1
+            state[k] = loss
+            if np.abs(gradient).max(initial=0) < tol * max(1, n_train) or steps[k] == max_iter:
+                del open_[k]
+                continue
+            h[upper] = v[d + 2 :]
+            h = h + np.triu(h, 1).T + np.diag(ridge + 1e-12)
+            move = np.linalg.solve(h, gradient)
+            open_[k] = move, 1.0, gradient @ move
+            trial[k] = beta[k] - move
+    tasks = list(beta)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = (np.stack([np.asarray(v, float) for v in batch.column(0).to_pylist()]) - mean) / sd
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            for k in tasks:  # by row, so that equal vectors have equal scores
+                s = (x * beta[k][:-1]).sum(axis=1) + beta[k][-1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k), pa.int64()), batch.column(2), pa.array(s), pa.array((label == k).astype(np.int32), pa.int32())], ["task", "train", "score", "label"])
+
+    scored = used.mapInArrow(score, "task long, train boolean, score double, label int")
+    areas = auroc(scored, ["task", "train"]).groupBy("task").agg(F.max(F.when(~F.col("train"), F.col("auroc"))).alias("test_auroc"), F.max(F.when(F.col("train"), F.col("auroc"))).alias("train_auroc"))
+    known = {r["label"]: (n_test - r["b"] if negative[r["label"]] else r["b"]) if single[r["label"]] else n_test for r in counts}
+    fits = used.sparkSession.createDataFrame([(k, n_train, known[k], d, steps[k], single[k]) for k in tasks], "task long, n_train long, n_test long, n_features int, n_iter int, single boolean")
+    area = lambda n: F.when(F.col("single") | F.col(n).isNull(), F.lit(float("nan"))).otherwise(F.col(n)).alias(n)
+    return fits.join(areas, "task", "left").select("task", "n_train", "n_test", "n_features", area("test_auroc"), area("train_auroc"), "n_iter")
+
+
 def decode_channels(windows: DataFrame, folds: DataFrame, session: Sequence[str], keys: Sequence[str] = ("task", "fold"), samples: str = "samples") -> DataFrame:
     """Each electrode decoded alone from its raw samples: session, electrode, keys and RESULT.
 
