@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 
 from tidefold.llm import html
@@ -73,3 +77,120 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def brute(rows):
+    """Template deduction in memory: whole vectors as tuples, classes by equal ones, nests by lookup, slots by sums."""
+    pages = [(i, re.sub(r"^https?://([^/]*).*", r"\1", url or "").lower(), h) for i, url, h in rows]
+    out = {}
+    for host in {h for _, h, _ in pages}:
+        once = [html.Page(x) for x in sorted({h for _, o, h in pages if o == host})]
+        kinds, parents, counts, places, shares = {}, {}, {}, {}, {}
+        for k, page in enumerate(once):
+            for token, parent, kind, n, place, share in html.tokens_of(page)[0]:
+                kinds[token], parents[token] = max(kind, kinds.get(token, 0)), parent
+                counts.setdefault(token, [0] * len(once))[k] = n
+                places.setdefault(token, []).append(place)
+                shares.setdefault(token, []).append(share)
+        mean = lambda of, t: sum(of[t]) / len(of[t])
+        classes = {}
+        for t, v in counts.items():
+            n = sum(x > 0 for x in v)
+            if n >= max(html.LEAST_PAGES, *((html.ARTICLE_PAGES, len(once) * html.ARTICLE_SHARE) if kinds[t] == html.ARTICLE_TEXT_KIND else (len(once) * html.LEAST_SHARE,))):
+                classes.setdefault(tuple(v), []).append(t)
+        elements = lambda c: [t for t in c if kinds[t] < html.TEXT]
+        valid = [c for c in classes.values() if len(c) >= html.LEAST_TOKENS and len({mean(places, t) for t in elements(c)}) == len(elements(c))]
+        of = {t: k for k, c in enumerate(valid) for t in elements(c)}
+        template, single, wrappers = set(), set(), set()
+        for k, c in enumerate(valid):
+            if len({of.get(parents[t]) for t in elements(c)} - {k}) > 1:
+                continue
+            n = sum(x > 0 for x in counts[c[0]])
+            held, within = (sum(mean(shares, t) for t in c if kinds[t] in some) for some in ((html.TEXT, html.ARTICLE_TEXT_KIND), (html.ARTICLE_TEXT_KIND,)))
+            for t in c:
+                if kinds[t] < html.TEXT:
+                    template.add(t)
+                    single |= {t} if sum(counts[t]) == n and kinds[t] in (html.HOLDER, html.WRAPPER) else set()
+                    wrappers |= {t} if kinds[t] == html.WRAPPER else set()
+                elif held <= html.MOST_TEXT and (n >= html.LEAST_TEXT_PAGES if kinds[t] == html.TEXT else within <= html.ARTICLE_TEXT):
+                    template.add(t)
+        sums, whole = {}, 0
+        for page in [html.Page(h) for _, o, h in pages if o == host]:
+            for b in page.blocks:
+                if b.token in template or not set(b.marks) <= wrappers:
+                    continue
+                whole += len(b.text)
+                at, up = b.path, []
+                while at:
+                    up.append(at)
+                    at = page.elements[at][0]
+                for depth, p in enumerate(reversed(up), 1):
+                    if p in single:
+                        sums[p] = (sums.get(p, (0, 0))[0] + len(b.text), depth)
+        best = max(((-n, d, p) for p, (n, d) in sums.items() if n > whole * html.DOMINANT), default=(0, 0, None))[2] if template else None
+        out |= {i: html.Page(h).main_text(frozenset(template), frozenset(wrappers), best) for i, o, h in pages if o == host}
+    return out
+
+
+def site(rng, host, n):
+    """Pages of one made-up layout whose names say nothing."""
+    name = lambda: "".join(rng.choice("qxzjkw") for _ in range(5))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    menu, story, side, foot, wrap = (name() for _ in range(5))
+    fixed = [text(3) for _ in range(6)]
+    rows, want = [], []
+    for i in range(n):
+        body = [text(rng.randint(15, 40)) for _ in range(rng.randint(1, 5))]
+        title = text(4)
+        paragraphs = "".join(f"<p>{p}</p>" for p in body)
+        rows.append((host * 1000 + i, f"http://h{host}.example/{i}", f'<html><body><div class="{menu}"><span>{fixed[0]}</span><span>{fixed[1]}</span></div><div class="{wrap}"><h1>{title}</h1><div class="{story}">{paragraphs}</div>'
+                     f'<div class="{side}"><b>{fixed[2]}</b><i>{text(2)}</i></div></div><div class="{foot}">{fixed[3]}<u>{fixed[4]}</u></div></body></html>'))
+        want.append(" ".join([title, *body]))
+    return rows, want
+
+
+def test_article_is_found_whatever_names_say_and_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for host, n in ((1, 12), (2, 5), (3, 30)):
+        more, texts = site(rng, host, n)
+        rows += more
+        want |= {r[0]: t for r, t in zip(more, texts, strict=True)}
+    rows += [(9000 + i, f"http://h1.example/copy{i}", rows[0][2]) for i in range(4)] + [(9100, "http://h2.example/odd", "<html><body><p>another layout"), (9101, None, None), (9102, "http://alone.example/", rows[3][2])]
+    got = run(spark, rows)
+    assert {k: got[k] for k in want} == want
+    assert all(got[9000 + i] == want[1000] for i in range(4)) and got[9100] == "another layout" and got[9101] == ""
+    assert got == brute([(i, u, h or "") for i, u, h in rows])
+
+
+def test_brute_force_on_named_layouts(spark):
+    rng = random.Random(7)
+    rows = [(100 * h + i, f"https://s{h}.example/{i}", SITE.format(title=rng.random(), one=rng.choice(["x", "y z", "same words here"]), two=rng.random())) for h, n in ((1, 1), (2, 2), (3, 9), (4, 14)) for i in range(n)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_what_all_of_many_articles_repeat_is_template(spark):
+    page = "<html><head></head><body><article><h1>Title {0}</h1><p>{1}</p><p>Share this story</p></article><footer>f</footer></body></html>"
+    rows = [(i, "http://h.example/x", page.format(i, f"story number {i} goes on")) for i in range(12)]
+    assert run(spark, rows) == {i: f"Title {i} story number {i} goes on" for i in range(12)}
+    assert run(spark, rows[:5]) == {i: f"Title {i} story number {i} goes on Share this story" for i in range(5)}  # too little evidence
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>story</p></article><article class='comment'><p>nice</p></article>", "story"),
+    ("<article><p>story</p><div class='reply'>no</div><div class='reader-responses'>nor this</div></article>", "story"),
+    ("<main><article class='teaser'>Card</article><div class='post-body'>Real story</div></main>", "Real story"),
+    ("<article><p>a</p><div class='related-work'>b</div><div id='menu-costs'>c</div><p class='form-factor'>d</p><p class='ad-free'>e</p><p>x <math><mi>y</mi></math></p></article>", "a b c d e x y"),
+    ("<article>a<div class='ad-box'>no</div><div class='siteSidebar'>no</div><div class='comment-list'>no</div></article>", "a"),
+    ("<div class='layout sidebar-right'><article>kept</article></div>", "kept"),
+])
+def test_names_check_single_pages(spark, page, text):
+    assert run(spark, [(1, "http://x.example/", page)]) == {1: text}
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<a<" * 300_000 + ">", "<div>" * 200_000, "<!" * 500_000, '<a "' * 250_000, "<b>" * 100_000 + "<hr>" * 100_000, "</div>" * 200_000, "<p><b>" * 100_000, "<a '>x" * 100_001, "<script>" * 100_000])
+def test_broken_pages_take_seconds(page):
+    began = time.monotonic()
+    html.Page(page)
+    assert time.monotonic() - began < 10

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +30,32 @@ def crc32_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+_local: dict[str, tempfile.TemporaryDirectory] = {}
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir if the cluster names one."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder that goes with the process; a cluster has none to share, so that
+    is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if root is None:
-        root = tempfile.mkdtemp(prefix="tidefold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local.setdefault(app, tempfile.TemporaryDirectory(prefix="tidefold-", ignore_cleanup_errors=True)).name
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.setdefault(app, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this session's operators wrote to the shared folder; tables that still read from it are then lost."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -56,10 +75,14 @@ def with_key(df: DataFrame) -> DataFrame:
     return cut(df.withColumn(KEY, F.monotonically_increasing_id()), "rows")
 
 
-def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Sets how many rows go to Python at once: texts can be long, and a batch is held in memory whole."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """What Spark sends to Python in parts of some rows, without copies: results are made and returned part by part.
+
+    Spark itself bounds what it sends at once, by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, slices
 
 WINDOW = 10
 #: Benchmark words that one hash set may hold, some 200 MB in a worker; more items are scanned for in further blocks.
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     of_item = benchmark.schema[item_id].dataType.simpleString()
-    rows = small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     item_type = pa.list_(pa.int64() if of_item in ("bigint", "int") else pa.string())
     schema = f"doc_id {kind}, n_words long, n_hit long, item_ids array<{of_item if of_item != 'int' else 'bigint'}>, spans array<struct<first:int,last:int>>"
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ngrams = NgramSet(shared.value, window)
-            for batch in batches:
+            for batch in slices(batches):
                 counts, hits, items, spans = [], [], [], []
                 for t in batch.column(1):
                     tokens = words(t.as_py())
@@ -177,7 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ngrams = NgramSet(shared.value, window)
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(at).to_pylist()
                 found = [runs(ngrams.scan(words(t))[0]) for t in texts]
                 if remove == "documents":
@@ -186,5 +186,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                     new = pa.array([without(t, s) if s else t for t, s in zip(texts, found, strict=True)], batch.schema.field(at).type)
                     yield pa.RecordBatch.from_arrays([new if k == at else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
 
-        docs = small_batches(docs).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -13,75 +14,109 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, slices
 
 #: A class of tokens is part of a host's template if it has so many tokens and occurs on so many of the host's pages.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 2, 0.5
 #: Its texts are, if they also occur on so many pages and leave the slots of its pages a share of the text: copies and
 #: near copies of a page, or two pages with a common passage, make classes too, whose texts are articles.
 LEAST_TEXT_PAGES, MOST_TEXT = 3, 0.9
-#: The bit of <article>: what repeats in it on all pages of a host is text all the same, by its author's word.
-ARTICLE = 1 << 1
+#: Texts in <article> are template only on this evidence: near every one of many pages has them, and they're the lesser part.
+ARTICLE_PAGES, ARTICLE_SHARE, ARTICLE_TEXT = 8, 0.9, 0.5
+#: The slot of the article is the innermost template element that holds over half of its host's slot text.
+DOMINANT = 0.5
 #: Template tokens of all hosts that are broadcast, some 100 MB; beyond, templates are joined by host and salt.
 MOST_BROADCAST = 1_000_000
 SALTS = 64
-
-_TAG = re.compile(
-    r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S
-)
+#: Elements that are open at once; deeper ones count as part of the last, as in browsers.
+DEEPEST = 512
+#: Bits of what a block lies in: an element that can hold an article, <article>, <main>, one named so, <h1>.
+BOX, ARTICLE, MAIN, NAMED, TITLE = 1, 2, 4, 8, 16
+#: Kinds of tokens: elements, those that can hold an article, those that hold one, texts, texts in <article>.
+ELEMENT, HOLDER, WRAPPER, TEXT, ARTICLE_TEXT_KIND = 0, 1, 2, 3, 4
+
+_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg canvas object math".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg canvas object".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th "
     "thead tr ul".split()
 )
+_BUT_P = _BLOCK - {"p"}
+_BOXES = frozenset("article body center div main section td".split())
 #: What the start of an element ends, if open and not behind one of the second set.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
 }
-#: Elements, roles and words of class and id names that mark what isn't the article.
+#: Elements, roles and words of class and id names that mark what isn't the article. A name marks if all its words are
+#: of these or neutral: "ad-box" does, "ad-free" and "related-work" don't.
 _OTHER_TAGS = frozenset("nav aside footer form button select option input label dialog menu".split()) | _RAW
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-_OTHER_WORDS = frozenset(
+_COMMENT_WORDS = frozenset("comment comments commentary disqus respond reply replies response responses teaser teasers".split())
+_OTHER_WORDS = _COMMENT_WORDS | frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer sidebar sidenav aside rail widget widgets ad ads adv advert adverts "
-    "advertisement adslot adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay "
-    "newsletter subscribe subscription signup login signin register search searchbox form share sharing social related recommended recommendations comment "
-    "comments disqus respond replies pagination pager copyright disclaimer skip toolbar".split()
+    "advertisement advertisements adslot adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay "
+    "newsletter subscribe subscription signup login signin register search searchbox form share sharing social related recommended recommendations "
+    "pagination pager copyright disclaimer skip toolbar".split()
 )
+_NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box button buttons col column container content desktop form global group header inner item items left link links list main middle mobile "
+    "outer page pages panel post posts primary reader readers region right row secondary section sections site slot text thread title top unit user users wrap wrapper zone".split()
+) | {""}
 _HEADER_WORDS = frozenset(("header", "head"))
 _MAIN_WORDS = re.compile(r"(?:^|\s)(?:main|content|main-content|maincontent|article|article-body|articlebody|post|post-content|post-body|entry|entry-content|story|story-body|body-text)(?:\s|$)", re.I)
 
 
+def _words(name: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+
+
 @lru_cache(1 << 16)
 def _kind(name: str, attrs: str) -> tuple[str, str, int]:
-    """An element's token, whether names mark it ("other", "header", "") and its rank as container of the article."""
+    """An element's token, whether names mark it ("other", "header", "") and the bit it gives what it holds.
+
+    Numbers in names don't count: id="post-12" is one token on all pages.
+    """
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip() for m in _ATTR.finditer(attrs)}
-    token = name + "".join(f"{sign}{'.'.join(sorted(found[a].split()))}" for a, sign in (("id", "#"), ("class", ".")) if found.get(a))
+    token = name + "".join(f"{sign}{'.'.join(sorted(re.sub('[0-9]+', '0', w) for w in found[a].split()))}" for a, sign in (("id", "#"), ("class", ".")) if found.get(a))
     role = found.get("role", "").lower()
-    words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    if name == "article":
-        return token, "", 1
-    if name == "main" or role == "main":
-        return token, "", 2
+    names = [_words(w) for a in ("class", "id") for w in found.get(a, "").split()]
+    marked = lambda of: any(w & of and w <= of | _NEUTRAL_WORDS for w in names)
     if name in ("html", "body"):
         return token, "", 0
-    if name in _OTHER_TAGS or role in _OTHER_ROLES or words & _OTHER_WORDS:
+    if name == "article":
+        return (token, "other", 0) if marked(_COMMENT_WORDS) else (token, "", ARTICLE)
+    if name == "main" or role == "main":
+        return token, "", MAIN
+    if name in _OTHER_TAGS or role in _OTHER_ROLES or marked(_OTHER_WORDS):
         return token, "other", 0
-    if name == "header" or words & _HEADER_WORDS:
+    if name == "header" or any(w <= _HEADER_WORDS | _NEUTRAL_WORDS and w & _HEADER_WORDS for w in names):
         return token, "header", 0
     named = any(_MAIN_WORDS.search(found.get(a, "")) for a in ("class", "id"))
-    return token, "", 3 if named else 0
+    return token, "", TITLE if name == "h1" else NAMED if named else 0
 
 
 @dataclass(slots=True)
 class Open:
     name: str
     path: int
-    ranks: int  # bits of the container ranks around, this element's included
-    other: bool
+    bits: int
+    marks: tuple[int, ...]  # paths of the elements around, this one included, that names mark
+
+
+@dataclass(slots=True)
+class Block:
+    text: str
+    path: int
+    bits: int
+    marks: tuple[int, ...]
+
+    @property
+    def token(self) -> int:
+        return _hash(self.path, "=" + self.text)
 
 
 def _hash(parent: int, token: str) -> int:
@@ -89,66 +124,84 @@ def _hash(parent: int, token: str) -> int:
 
 
 class Page:
-    """A page read once: elements by path, and blocks of text in page order.
+    """A page read once, in time in proportion to its length: elements by path, and blocks of text in page order.
 
-    elements: path -> [token, times, place of the first, parent path, container rank]; blocks: (text, path, ranks, other).
+    elements: path -> [parent path, times, place of the first, bit].
     """
 
-    def __init__(self, html: str | None, wrappers: frozenset[int] = frozenset()) -> None:
+    def __init__(self, html: str | None) -> None:
         self.elements: dict[int, list] = {}
-        self.blocks: list[tuple[str, int, int, bool]] = []
-        self.wrappers = wrappers
-        self.doubt = False  # whether a container may be a teaser
-        self.marked: set[int] = set()  # paths of elements that names mark
+        self.blocks: list[Block] = []
         self._read(html or "")
 
     def _read(self, html: str) -> None:
-        stack = [Open("", 0, 0, False)]
+        stack = [Open("", 0, 0, ())]
         text: list[str] = []
+        aside: list[tuple[str, Open]] = []  # marked inline elements inside a block
         owner = stack[0]
-        at = 0
+        opened: Counter = Counter()
+
+        def add(raw: str, of: Open) -> None:
+            if clean := " ".join(unescape(raw).split()):
+                self.blocks.append(Block(clean, of.path, of.bits, of.marks))
 
         def flush() -> None:
             if text:
-                if clean := " ".join(unescape("".join(text)).split()):
-                    self.blocks.append((clean, owner.path, owner.ranks, owner.other))
+                add("".join(text), owner)
                 text.clear()
+            for raw, of in aside:
+                add(raw, of)
+            aside.clear()
 
         def say(raw: str) -> None:
             nonlocal owner
             top = stack[-1]
-            if text and (top.other != owner.other or top.ranks != owner.ranks):
-                # an inline element of another kind inside a block: the block goes on behind it
-                if top.other and not owner.other:
+            if text and (top.marks != owner.marks or top.bits != owner.bits):
+                if len(top.marks) > len(owner.marks):
+                    aside.append((raw, top))
                     return
                 flush()
             if not text:
                 owner = top
             text.append(raw)
 
-        def pop(to: int) -> None:
-            del stack[to:]
-
-        while m := _TAG.search(html, at):
-            if m.start() > at:
-                say(html[at : m.start()])
+        def close(ended, stop) -> bool:
+            """Closes the innermost open element of some names, unless one of others comes first."""
+            if not any(opened[n] for n in ended):
+                return False
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name in ended:
+                    opened.subtract(e.name for e in stack[k:])
+                    del stack[k:]
+                    return True
+                if stack[k].name in stop:
+                    return False
+            return False
+
+        at, last = 0, html.rfind(">")  # behind the last ">" there is no tag
+        while (lt := html.find("<", at)) >= 0:
+            if lt > last:
+                comment = html.find("<!--", lt)
+                say(html[at : comment if comment >= 0 else len(html)])
+                at = len(html)
+                break
+            m = _TAG.match(html, lt)
+            if m is None:
+                say(html[at : lt + 1])
+                at = lt + 1
+                continue
+            if lt > at:
+                say(html[at:lt])
             at = m.end()
             if m["name"] is None:
                 continue
             name = m["name"].lower()
             if m["end"]:
-                block = name in _BLOCK
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        if block:
-                            flush()
-                        pop(k)
-                        break
-                    if not block and stack[k].name in _BLOCK:
-                        break
+                if name in _BLOCK:
+                    flush()
+                    close((name,), ())
                 else:
-                    if block:
-                        flush()
+                    close((name,), _BLOCK)
                 continue
             if name == "br":
                 say(" ")
@@ -156,84 +209,92 @@ class Page:
             if name in _BLOCK:
                 flush()
                 if name not in ("option", "optgroup"):
-                    for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph and what is in it
-                        if stack[k].name == "p":
-                            pop(k)
-                            break
-                        if stack[k].name in _BLOCK:
-                            break
+                    close(("p",), _BUT_P)  # a block ends an open paragraph and what is in it
                 if name in _ENDS:
-                    ended, stop = _ENDS[name]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].name in ended:
-                            pop(k)
-                            break
-                        if stack[k].name in stop:
-                            break
-            token, mark, rank = _kind(name, m["attrs"])
+                    close(*_ENDS[name])
+            token, mark, bit = _kind(name, m["attrs"])
             top = stack[-1]
-            path = _hash(top.path, token)
+            path, bit = _hash(top.path, token), bit | (BOX if name in _BOXES else 0)
             if (known := self.elements.get(path)) is None:
-                self.elements[path] = [token, 1, len(self.elements), top.path, rank]
+                self.elements[path] = [top.path, 1, len(self.elements), bit]
             else:
                 known[1] += 1
             if name in _RAW and not m["attrs"].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
-            elif name not in _VOID and not (m["attrs"].endswith("/") and name not in _BLOCK):
-                marked = path not in self.wrappers and (mark == "other" or (mark == "header" and not top.ranks))
-                if marked:
-                    self.marked.add(path)
-                other = top.other or marked
-                stack.append(Open(name, path, top.ranks | (1 << rank if rank else 0), other))
+            elif name not in _VOID and len(stack) < DEEPEST and not (m["attrs"].endswith("/") and name not in _BLOCK):
+                marked = mark == "other" or (mark == "header" and not top.bits & (ARTICLE | MAIN | NAMED))
+                stack.append(Open(name, path, top.bits | bit, (*top.marks, path) if marked else top.marks))
+                opened[name] += 1
         if at < len(html):
             say(html[at:])
         flush()
 
     def around_article(self) -> set[int]:
-        """Paths of elements that hold a container of the article, whatever they are named."""
+        """Paths of elements that hold <article> or <main>, whatever they are named."""
         out: set[int] = set()
-        for _, (_, _, _, parent, rank) in list(self.elements.items()):
-            if rank in (1, 2):
+        for parent, _, _, bit in self.elements.values():
+            if bit & (ARTICLE | MAIN):
                 while parent and parent not in out:
                     out.add(parent)
-                    parent = self.elements[parent][3]
+                    parent = self.elements[parent][0]
         return out
 
-    def held(self) -> int:
-        """Characters of text in containers of the article that names don't mark."""
-        return sum(len(t) for t, _, r, other in self.blocks if r & 6 and not other)
+    def unmarked(self, wrappers: frozenset[int]) -> tuple[list[Block], bool]:
+        """Blocks outside elements that names mark, and whether their container may be a teaser.
 
-    def main_text(self, template: frozenset[int]) -> str:
-        """The slots of the article: blocks that template and names leave, of its container if there is one.
+        Wrappers, elements that hold the article on the host's pages, aren't marked whatever their names. Nor are those
+        around the page's own containers if all its containers lie in such, or if most of its text then lies in
+        containers: so an article keeps its text however the layout around it is named, and a teaser in a sidebar stays one.
+        """
+        left = lambda ok: [b for b in self.blocks if all(m in ok for m in b.marks)]
+        held = lambda blocks: sum(len(b.text) for b in blocks if b.bits & (ARTICLE | MAIN))
+        plain = left(wrappers)
+        if own := self.around_article() & {m for b in self.blocks for m in b.marks}:
+            other = left(wrappers | own)
+            if not held(plain) or held(other) - held(plain) > sum(len(b.text) for b in plain):
+                return other, not held(plain)
+        return plain, False
+
+    def inside(self, path: int) -> set[int]:
+        """Paths of an element and all that lie in it; parents come before what they hold."""
+        out = {path} if path in self.elements else set()
+        for p, (parent, *_) in self.elements.items():
+            if parent in out:
+                out.add(p)
+        return out
 
-        In doubt, or where a template tells slots from the rest, a container must hold half of what is left. A template
-        that would leave nothing isn't this page's.
+    def article_at(self, path: int) -> int:
+        """The <article> around an element or itself, if there is one; else the element."""
+        at = path
+        while at in self.elements:
+            if self.elements[at][3] & ARTICLE:
+                return at
+            at = self.elements[at][0]
+        return path
+
+    def main_text(self, template: frozenset[int], wrappers: frozenset[int] = frozenset(), article: int | None = None) -> str:
+        """The page's slots in its host's slot of the article: blocks that the template leaves there, and the <h1>.
+
+        A page that has less than half of its slots there has another layout, as has any page of a host without a
+        template: its article is the container that holds enough of its slots (<article>, then <main>, then named
+        ones), or else all slots. A template that would leave nothing isn't this page's.
         """
-        left = [(t, p, r) for t, p, r, other in self.blocks if not other]
-        slots = [(t, r) for t, p, r in left if r & ARTICLE or _hash(p, "=" + t) not in template] or [(t, r) for t, _, r in left]
-        ranks = sorted({b for _, r in slots for b in (1, 2, 3) if r >> b & 1})
-        whole = sum(len(t) for t, _ in slots)
-        for best in ranks:
-            inside = [t for t, r in slots if r >> best & 1]
-            if not (self.doubt or template) or 2 * sum(map(len, inside)) >= whole:
-                return " ".join(inside)
-        return " ".join(t for t, _ in slots)
-
-
-def read(html: str | None, wrappers: frozenset[int]) -> Page:
-    """A page; marked elements around its own containers count as wrappers too if all its containers lie in such, or
-    if most of its text then lies in containers.
-
-    So an article keeps its text whatever the layout around it is named, and a teaser in a sidebar stays one.
-    """
-    page = Page(html, wrappers)
-    if own := page.around_article() & page.marked:
-        other = Page(html, wrappers | own)
-        other.doubt = not page.held()
-        if other.doubt or other.held() - page.held() > sum(len(t) for t, _, _, o in page.blocks if not o):
-            return other
-    return page
+        left, doubt = self.unmarked(wrappers)
+        slots = [b for b in left if b.token not in template] or left
+        whole = sum(len(b.text) for b in slots)
+        if article is not None:
+            there = self.inside(self.article_at(article))
+            chosen = [b for b in slots if b.path in there]
+            if chosen and 2 * sum(len(b.text) for b in chosen) >= whole:
+                titles = [b for b in slots if b.bits & TITLE]
+                return " ".join(b.text for b in slots if b.path in there or (len(titles) == 1 and b is titles[0]))
+        for bit in (ARTICLE, MAIN, NAMED):
+            chosen = [b.text for b in slots if b.bits & bit]
+            part = sum(map(len, chosen))
+            if chosen and (2 * part >= whole or (bit == ARTICLE and not (doubt or template) and 3 * part >= whole)):
+                return " ".join(chosen)
+        return " ".join(b.text for b in slots)
 
 
 def host_of(url: Column) -> Column:
@@ -241,103 +302,180 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def occurrences(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, page, found) for each page: found holds (token, kind, n, place, share) of each distinct token of it.
+_FOUND = "array<struct<token:long,parent:long,kind:int,n:long,place:long,share:double>>"
+_BLOCKS = "array<struct<token:long,path:long,size:int,marks:array<bigint>>>"
+
+
+def structures(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, page, found, blocks) for each page, without its texts: page is a hash of the html.
 
-    Tokens are elements by path ("tag"), texts outside <article> by path, in other containers too ("text"), and paths
-    of elements that hold an article or main ("wrapper"). n is how often the token occurs, share its part of the page's characters of text, page a hash
-    of the html.
+    found holds each distinct token once: elements by path (their parent's path as parent), and texts with the path
+    they lie in; n is how often the token occurs, place where it first does, share its part of the page's characters.
+    Wrappers are elements that hold an <article> or <main>. blocks holds token, path, length and marks of each block.
     """
-    rows = small_batches(pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html")))
-    token = pa.struct([("token", pa.int64()), ("kind", pa.string()), ("n", pa.int64()), ("place", pa.int64()), ("share", pa.float64())])
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
+    token = pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("place", pa.int64()), ("share", pa.float64())])
+    block = pa.struct([("token", pa.int64()), ("path", pa.int64()), ("size", pa.int32()), ("marks", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                page = Page(text)
-                around = page.around_article()
-                found = {p: [p, "wrapper" if p in around else "tag", e[1], e[2], 0.0] for p, e in page.elements.items()}
-                size = sum(len(t) for t, *_ in page.blocks)
-                for t, p, ranks, _ in page.blocks:
-                    if ranks & ARTICLE:
-                        continue
-                    k = _hash(p, "=" + t)
-                    one = found.setdefault(k, [k, "text", 0, len(page.elements), 0.0])
-                    one[2] += 1
-                    one[4] += len(t) / size
-                out.append([dict(zip(("token", "kind", "n", "place", "share"), v, strict=True)) for v in found.values()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(token))], ["host", "page", "found"])
-
-    return rows.mapInArrow(run, "host string, page long, found array<struct<token:long,kind:string,n:long,place:long,share:double>>")
-
-
-def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, tokens, wrappers): the template of each host that has one.
+        for batch in slices(batches):
+            tokens, blocks = [], []
+            for text in batch.column(2):
+                page = Page(text.as_py())
+                found, parts = tokens_of(page)
+                tokens.append([dict(zip(("token", "parent", "kind", "n", "place", "share"), v, strict=True)) for v in found])
+                blocks.append([{"token": t, "path": b.path, "size": len(b.text), "marks": b.marks} for t, b in parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(token)), pa.array(blocks, pa.list_(block))], ["host", "page", "found", "blocks"])
+
+    return rows.mapInArrow(run, f"host string, page long, found {_FOUND}, blocks {_BLOCKS}")
+
+
+def tokens_of(page: Page) -> tuple[list[list], list[tuple[int, Block]]]:
+    """Distinct tokens of a page as [token, parent, kind, n, place, share], and each block with its token."""
+    around, size = page.around_article(), sum(len(b.text) for b in page.blocks)
+    found = {p: [p, e[0], WRAPPER if p in around else HOLDER if e[3] & BOX else ELEMENT, e[1], e[2], 0.0] for p, e in page.elements.items()}
+    parts = [(b.token, b) for b in page.blocks]
+    for t, b in parts:
+        one = found.setdefault(t, [t, b.path, ARTICLE_TEXT_KIND if b.bits & ARTICLE else TEXT, 0, len(page.elements), 0.0])
+        one[3] += 1
+        one[5] += len(b.text) / size
+    return list(found.values()), parts
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, tokens, once, wrappers) from structures(): the template of each host that has one.
 
     A token's occurrence vector, how often it is on each page of its host, is kept as the number of its pages and two
     sums of hashes of page and count: equal vectors have equal sums, and no page is gathered with another. Pages of one
-    host with equal html count once. Tokens of
-    one vector are a class. Classes of LEAST_TOKENS or more on at least LEAST_PAGES pages and LEAST_SHARE of the host's
-    are valid if ordered: by mean place no two of their element tokens fall together. Element tokens are paths, so a class nests
-    in the one that holds the parents of its paths; the template of a host is all its valid classes. Texts of a class
-    are left out of it if they lie on fewer than LEAST_TEXT_PAGES pages or hold over MOST_TEXT of their pages' text:
-    without slots that vary between pages nothing tells a template from a repeated article.
+    host with equal html count once. Tokens of one vector are a class. Classes of LEAST_TOKENS or more on at least
+    LEAST_PAGES pages and LEAST_SHARE of the host's are valid if ordered (by mean place no two of their elements fall
+    together) and nested: what their elements lie in, where it isn't of the class itself, is one other class. The
+    template of a host is all its valid classes, each nested in the one that holds its parents; once are the elements
+    that each of their pages has once and that can hold an article. Texts of a class are left out of it without evidence of slots that vary beside
+    them: see LEAST_TEXT_PAGES and ARTICLE_PAGES.
     """
-    once = cut(occurrences(pages, url, html).dropDuplicates(["host", "page"]), "occurrences")
+    once = pages.select("host", "page", "found").dropDuplicates(["host", "page"])
     found = once.select("host", "page", F.inline("found")).withColumn("mark", F.xxhash64("page", "n"))
     low = F.col("mark").bitwiseAND(F.lit((1 << 31) - 1))
     vectors = found.groupBy("host", "token").agg(
-        F.max("kind").alias("kind"), F.count("*").alias("pages"), F.sum(low).alias("v"), F.sum(F.shiftrightunsigned("mark", 31)).alias("w"), F.avg("place").alias("place"), F.avg("share").alias("share")
-    )
-    sizes = once.groupBy("host").agg(F.count("*").alias("of"))
-    often = vectors.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= F.col("of") * LEAST_SHARE)
-    is_text = F.col("kind") == "text"
+        F.max("kind").alias("kind"), F.max("parent").alias("parent"), F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum(low).alias("v"), F.sum(F.shiftrightunsigned("mark", 31)).alias("w"),
+        F.avg("place").alias("place"), F.avg("share").alias("share"),
+    )
+    sizes = pages.groupBy("host").agg(F.countDistinct("page").alias("of"))
+    least = F.when(F.col("kind") == ARTICLE_TEXT_KIND, F.greatest(F.lit(float(ARTICLE_PAGES)), F.col("of") * ARTICLE_SHARE)).otherwise(F.col("of") * LEAST_SHARE)
+    often = vectors.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= least)
+    is_text = F.col("kind") >= TEXT
+    member = F.struct("token", "parent", "kind", (F.col("n") == F.col("pages")).alias("single"))
     classes = often.groupBy("host", "pages", "v", "w").agg(
-        F.collect_list(F.when(~is_text, F.col("token"))).alias("t"), F.collect_list(F.when(is_text, F.col("token"))).alias("texts"), F.sum(F.when(is_text, F.col("share"))).alias("held"),
-        F.collect_list(F.when(F.col("kind") == "wrapper", F.col("token"))).alias("x"), F.countDistinct(F.when(~is_text, F.col("place"))).alias("places"),
+        F.collect_list(member).alias("t"), F.min("token").alias("class"), F.count_if(~is_text).alias("elements"), F.countDistinct(F.when(~is_text, F.col("place"))).alias("places"),
+        F.sum(F.when(is_text, F.col("share"))).alias("held"), F.sum(F.when(F.col("kind") == ARTICLE_TEXT_KIND, F.col("share"))).alias("in_article"),
     )
-    valid = classes.where((F.size("t") + F.size("texts") >= LEAST_TOKENS) & (F.col("places") == F.size("t")))
-    known = F.when((F.col("pages") >= LEAST_TEXT_PAGES) & (F.col("held") <= MOST_TEXT), F.concat("t", "texts")).otherwise(F.col("t"))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list(known)).alias("tokens"), F.flatten(F.collect_list("x")).alias("wrappers"))
+    ordered = cut(classes.where((F.size("t") >= LEAST_TOKENS) & (F.col("places") == F.col("elements"))).drop("v", "w"), "classes")
+    members = ordered.select("host", "class", F.inline("t"))
+    elements = members.where(~is_text).select("host", "class", "token", "parent")
+    above = elements.select("host", F.col("token").alias("parent"), F.col("class").alias("up"))
+    up = elements.join(above, ["host", "parent"], "left").where(~F.col("class").eqNullSafe(F.col("up")))
+    nests = up.groupBy("host", "class").agg(F.countDistinct(F.coalesce("up", F.lit(-1))).alias("ups"))
+    valid = ordered.join(nests, ["host", "class"], "left").where(F.coalesce("ups", F.lit(0)) <= 1)
+    known = F.filter(
+        "t",
+        lambda m: F.when(m["kind"] < TEXT, True)
+        .when(m["kind"] == TEXT, (F.col("pages") >= LEAST_TEXT_PAGES) & (F.col("held") <= MOST_TEXT))
+        .otherwise((F.col("held") <= MOST_TEXT) & (F.col("in_article") <= ARTICLE_TEXT)),
+    )
+    tokens = lambda of: F.transform(of, lambda m: m["token"])
+    kept = valid.select("host", known.alias("t"))
+    return kept.groupBy("host").agg(
+        F.flatten(F.collect_list(tokens(F.col("t")))).alias("tokens"),
+        F.flatten(F.collect_list(tokens(F.filter("t", lambda m: m["single"] & m["kind"].isin(HOLDER, WRAPPER))))).alias("once"),
+        F.flatten(F.collect_list(tokens(F.filter("t", lambda m: m["kind"] == WRAPPER)))).alias("wrappers"),
+    )
+
+
+def _with_template(rows: DataFrame, found: DataFrame, size: int, salt: Column) -> DataFrame:
+    if size <= MOST_BROADCAST:
+        return rows.join(F.broadcast(found), "host", "left")
+    # a host can hold a third of all pages: its template is repeated for each salt
+    salted = found.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+
+
+def slot_text(elements: dict[int, int], blocks: list[tuple], tokens: frozenset[int], once: frozenset[int], wrappers: frozenset[int]) -> Counter:
+    """Characters of slots in each template element that a page has once, by (path, depth); all of them at (0, 0)."""
+    out: Counter = Counter()
+    for token, path, size, marks in blocks:
+        if token in tokens or any(m not in wrappers for m in marks):
+            continue
+        around, at = [], path
+        while at:
+            around.append(at)
+            at = elements[at]
+        out[0, 0] += size
+        for depth, p in enumerate(reversed(around), 1):
+            if p in once:
+                out[p, depth] += size
+    return out
+
+
+def article_slots(pages: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """(host, article): the innermost template element, one a page, with over DOMINANT of its host's slot text.
+
+    Over half of a host's slot text is in at most one of two elements that lie apart, so such elements lie in each
+    other, and the innermost is the one with the least text.
+    """
+    joined = _with_template(pages.select("host", "page", "found", "blocks"), found, size, F.col("page")).where("tokens is not null")
+    rows = joined.select("host", F.transform(F.filter("found", lambda t: t["kind"] < TEXT), lambda t: F.struct(t["token"], t["parent"])).alias("e"), "blocks", "tokens", "once", "wrappers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            known: dict[str, list[frozenset]] = {}
+            sums: dict[str, Counter] = {}
+            for k, host in enumerate(batch.column(0).to_pylist()):
+                if host not in known:
+                    known[host] = [frozenset(batch.column(c)[k].as_py()) for c in (3, 4, 5)]
+                    sums[host] = Counter()
+                elements = dict(tuple(e.values()) for e in batch.column(1)[k].as_py())
+                sums[host] += slot_text(elements, [tuple(b.values()) for b in batch.column(2)[k].as_py()], *known[host])
+            out = [(h, p, d, n) for h, c in sums.items() for (p, d), n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int32(), pa.int64())], ["host", "path", "depth", "chars"])
+
+    sums = rows.mapInArrow(run, "host string, path long, depth int, chars long").groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.max("depth").alias("depth"))
+    whole = sums.where("path = 0").select("host", F.col("chars").alias("whole"))
+    dominant = sums.where("path <> 0").join(whole, "host").where(F.col("chars") > F.col("whole") * DOMINANT)
+    return dominant.groupBy("host").agg(F.max(F.struct(-F.col("chars"), "depth", "path"))["path"].alias("article"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page: the article's blocks in page order, joined by one space.
 
-    Slots are what a host's template leaves on each page, inside containers and outside; texts in <article> are slots
-    even if all pages repeat them. Names check them:
-    the text is that of the container (article, then main, then names such as content) that holds half of the slots'
-    text or more, or else all slots, without parts whose element or names mark menus, headers, footers, sidebars, notices, adverts, forms or
-    comments; an element that holds the container on the host's pages counts as its wrapper whatever its name, and so
-    does one of a single page if no other container is there, or none with so much text. Where
-    no container holds so much, as without one, all slots stay. Character references are decoded, white
-    space in a block is one space, scripts, styles and comments are no text. Null and empty pages have empty text; a
-    null or odd url is a host of its own name, ''. Hosts of one page have no template: names decide alone, and any container will do. Repeated rows
-    get equal results, and count once in a template, an empty table gives none, extra columns are not read.
+    The template of a host is deduced from its pages (templates()); what it leaves of a page are slots, and the slot of
+    the article is where most of the host's slot text lies (article_slots()), or the <article> around that. Names check
+    the slots: parts that elements or names mark as menus, headers, footers, sidebars, notices, adverts, forms or
+    comments are left out, unless they hold the article on the host's pages; without a template, as for hosts of one
+    page, they and the containers decide alone (Page.main_text()). Texts in <article> that all pages of a host repeat stay without
+    strong evidence (ARTICLE_PAGES). Character references are decoded, white space in a block is one space, scripts,
+    styles and comments are no text. Null and empty pages have empty text; a null or odd url is a host of its own name,
+    ''. Repeated rows get equal results, and count once in a template, an empty table gives none, extra columns are not read.
     """
-    found = cut(templates(pages, url, html), "templates")
+    known = cut(structures(pages, url, html), "structures")
+    found = cut(templates(known), "templates")
     size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    slots = cut(article_slots(known, found, size), "slots")
+    found = found.join(slots, "host", "left").select("host", "tokens", "wrappers", "article")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    if size <= MOST_BROADCAST:
-        joined = rows.join(F.broadcast(found), "host", "left")
-    else:  # a host can hold a third of all pages: its template is repeated for each salt
-        salted = found.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    joined = small_batches(joined.select("page_id", "url", "html", "host", "tokens", "wrappers"), 128)
+    joined = _with_template(rows, found, size, F.xxhash64("page_id", "url")).select("page_id", "url", "html", "host", "tokens", "wrappers", "article")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[frozenset, frozenset]] = {}
-        for batch in batches:
+        hosts: dict[str, tuple] = {}
+        for batch in slices(batches):
             texts = []
-            hosts = batch.column(3).to_pylist()
-            for k, h in enumerate(batch.column(2)):
-                if hosts[k] not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[hosts[k]] = tuple(frozenset(batch.column(c)[k].as_py() or ()) for c in (4, 5))
-                tokens, wrappers = known[hosts[k]]
-                texts.append(read(h.as_py(), wrappers).main_text(tokens))
+            for k, host in enumerate(batch.column(3).to_pylist()):
+                if host not in hosts:
+                    if len(hosts) > 1000:
+                        hosts.clear()
+                    tokens, wrappers, article = (batch.column(c)[k].as_py() for c in (4, 5, 6))
+                    hosts[host] = frozenset(tokens or ()), frozenset(wrappers or ()), article
+                texts.append(Page(batch.column(2)[k].as_py()).main_text(*hosts[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 UNKNOWN = "und"
 #: Subwords are runs of GRAMS bytes of a lowered word with a space at each end, hashed to BUCKETS.
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
             counts = np.bincount(subwords(text), minlength=BUCKETS)
             return (counts / max(1, counts.sum())).astype(np.float16).tobytes()
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             cuts = []
             for t in texts:
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(packed, texts), pa.binary()), pa.array(map(packed, cuts), pa.binary())], ["doc_id", "lang", "whole", "part"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = small_batches(chosen).mapInArrow(run, f"doc_id {kind}, lang string, whole binary, part binary").toLocalIterator()
+    got = chosen.mapInArrow(run, f"doc_id {kind}, lang string, whole binary, part binary").toLocalIterator()
     taken = dict.fromkeys(languages, 0)
     some = []
     for r in got:  # rows of one id fall together
@@ -190,11 +190,11 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     rows get equal results; extra columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             got = [m.predict(t.as_py()) for t in batch.column(1)]
             names, scores = [g[0] for g in got], [g[1] for g in got]
             out = [n == UNKNOWN or s < m.floor for n, s in got]
@@ -209,8 +209,8 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             got = [m.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([n != UNKNOWN and s >= m.floor for n, s in got], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, slices
 
 FEATURES = (
     "words", "word_length", "longest", "upper", "digits", "symbols", "commas", "stops", "pipes", "bangs",
@@ -151,10 +151,10 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40
 
 def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, x array<double>) of every whole text."""
-    rows = small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t.as_py()) for t in batch.column(1)], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -185,7 +185,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     model = docs.sparkSession.sparkContext.broadcast(fit(x, labels, learn, label, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
             s = model.value.score(values)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= good).astype(np.int32))], ["doc_id", "score", "predicted"])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, small_batches, with_key, words_of
+from .common import KEY, cut, slices, with_key, words_of
 from .components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -44,10 +44,10 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
     """(doc_id, fp long) of every row, and key (long) if it's named; whole texts, null like one without words."""
     more = [F.col(key).alias("key")] if key else []
-    rows = small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], ["doc_id", "fp", *(["key"] if key else [])])
 
@@ -114,12 +114,12 @@ def _at_anchors(fps: DataFrame, reach: bool) -> DataFrame:
     """(anchor, fp) of the nearest anchor of each fingerprint, or of all in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = batch.column(0).to_numpy()
             rows, anchors = anchors_in_reach(values) if reach else (slice(None), nearest_anchor(values))
             yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(values[rows])], ["anchor", "fp"])
 
-    return small_batches(fps.select("fp")).mapInArrow(run, "anchor long, fp long")
+    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:

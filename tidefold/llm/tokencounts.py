@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, replacing, shared_dir, small_batches
+from .common import filesystem, replacing, shared_dir, slices
 from .tokens import encoder, vocabulary
 
 #: Tokens a block holds. A block is a task's unit: files of any size are scanned in parallel.
@@ -34,7 +34,7 @@ def write_flat_files(docs: DataFrame, end_id: int = 49407, tokenizer: str = "wor
         path, nth, ids = f"{folder}/flat-{part:06d}.bin", 0, encoder(vocabulary(tokenizer), width, special=False)
         with replacing(path) as out:
             tokens = 0
-            for batch in batches:
+            for batch in slices(batches):
                 for t in batch.column(1):
                     data = ids.encode(t.as_py() or "") + end
                     out.write(data)
@@ -44,7 +44,7 @@ def write_flat_files(docs: DataFrame, end_id: int = 49407, tokenizer: str = "wor
                 nth += n
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    written = small_batches(rows).mapInArrow(run, f"path string, nth long, doc_id {kind}, upto long")
+    written = rows.mapInArrow(run, f"path string, nth long, doc_id {kind}, upto long")
     written.write.parquet(f"{folder}/documents.parquet")
     listed = spark.read.schema(written.schema).parquet(f"{folder}/documents.parquet")
     return listed.groupBy("path").agg(F.max("upto").alias("tokens")), listed.drop("upto")
@@ -61,7 +61,7 @@ def count_tokens(files: DataFrame, end_id: int = 49407, width: int = 2, block: i
     blocks = files.where("tokens > 0").select("path", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block).cast("long"))).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for path, tokens, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 where, inside = filesystem(path)
                 with where.open_input_file(inside) as f:

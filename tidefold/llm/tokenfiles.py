@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, replacing, shared_dir, small_batches
+from .common import filesystem, replacing, shared_dir, slices
 from .tokens import encoder, vocabulary
 
 #: A file is one zstandard frame per document, in order; then the index: the frames' offsets (n + 1), ids (n, signed),
@@ -39,10 +39,10 @@ def train_dictionary(docs: DataFrame, encode: Callable[[str], bytes]) -> bytes:
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(4 * SAMPLE_DOCUMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([encode(t.as_py() or "")[:SAMPLE_BYTES] for t in batch.column(1)], pa.binary())], ["ids"])
 
-    samples = sorted(bytes(r[0]) for r in small_batches(some).mapInArrow(run, "ids binary").collect())
+    samples = sorted(bytes(r[0]) for r in some.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too small
@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def documents() -> Iterator[tuple[int | None, bytes]]:
-            for batch in batches:
+            for batch in slices(batches):
                 for k, t in zip(batch.column(0), batch.column(1), strict=True):
                     yield k.as_py(), encode(t.as_py() or "")
 
@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // FILE_DOCUMENTS))
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    files = small_batches(dealt).mapInArrow(run, "path string, part int, n_documents long, n_tokens long")
+    files = dealt.mapInArrow(run, "path string, part int, n_documents long, n_tokens long")
     files = files.withColumn("dictionary", F.lit(f"{folder}/{DICTIONARY}"))
     files.write.parquet(f"{folder}/files.parquet")  # written once; what follows reads this list
     return spark.read.schema(files.schema).parquet(f"{folder}/files.parquet")
@@ -155,7 +155,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     dealt = dealt.repartition(max(1, files.count()), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for path, dictionary, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 where, inside = filesystem(dictionary)
                 with where.open_input_stream(inside) as f:
