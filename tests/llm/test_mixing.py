@@ -91,3 +91,20 @@ def test_tables_without_words_or_rows(spark):
     assert mixing.mix_sources(empty).count() == 0
     none = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {r.taken for r in mixing.mix_sources(none).collect()} == {0}
+
+
+@pytest.mark.parametrize("rows_a_range", [7, 1 << 20])
+def test_draw_interleaves_sources_and_keeps_clashing_columns(spark, monkeypatch, rows_a_range):
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", rows_a_range)
+    rows = [(None if i % 5 == 0 else i % 40, f"t{i} " * (1 + i % 7), "abc"[i % 3], i, "x", "y", 1.5) for i in range(200)]
+    names = "doc_id long, text string, source string, _copy int, _id string, key string, _at double"
+    df = spark.createDataFrame(rows, names)
+    drawn = [tuple(r) for r in mixing.draw(df).collect()]
+    assert set(drawn) <= set(rows) and len(drawn) == sum(r.draws for r in mixing.mix_sources(df).collect())
+    target = {r.source: r.target for r in mixing.mix_sources(df).select("source", "target").distinct().collect()}
+    done = dict.fromkeys(target, 0)
+    for r in drawn:  # at any point each source has had its share of what was served, to a document or two
+        done[r[2]] += len(r[1].split())
+        served = sum(done.values())
+        assert all(abs(n - served * target[s] / sum(target.values())) < 15 for s, n in done.items())
+    assert mixing.draw(df.limit(0)).columns == df.columns and mixing.draw(df.limit(0)).count() == 0

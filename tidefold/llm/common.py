@@ -66,13 +66,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The column with_key() adds.
-KEY = "_row_key"
+def with_key(df: DataFrame) -> DataFrame:
+    """(row, key): a table's rows as structs with a number each, written so that it's the same whenever it is read."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return cut(df.select(row.alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
 
 
-def with_key(df: DataFrame) -> DataFrame:
-    """A table with a number of its own for every row, written so that it's the same whenever it is read."""
-    return cut(df.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+def rows_of(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of with_key() as they were."""
+    return keyed.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def parts_of(df: DataFrame, rows: int, a_part: int) -> int:
+    """Partitions for a table: some rows each, and not fewer than the session shuffles to."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // a_part))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

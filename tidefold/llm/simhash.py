@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, cut, slices, with_key, words_of
+from .common import cut, parts_of, rows_of, slices, with_key, words_of
 from .components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -174,14 +174,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Classes are of rows: rows of one id whose texts aren't alike each stay, rows without an id are kept only where their
     class has no other. Of rows that repeat id and text any one stays.
     """
-    rows = with_key(docs)
-    found = cut(_classes(cut(fingerprints(rows, doc_id, text, KEY), "fingerprints")).select("root", "doc_id", "key"), "classes")
+    keyed = with_key(docs)
+    rows = keyed.select(F.col("row").getField(doc_id).alias("doc_id"), F.col("row").getField(text).alias("text"), "key")
+    found = cut(_classes(cut(fingerprints(rows, key="key"), "fingerprints")).select("root", "doc_id", "key"), "classes")
     least = found.groupBy("root", "doc_id").agg(F.min("key").alias("key"), F.count("*").alias("n"))
     first = cut(least.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("l")).select("root", "l.doc_id", "l.key", "l.n"), "least")
     kept = first.where("n = 1").select("key")
     repeated = first.where("n > 1").select("root", F.col("doc_id").alias("_id"))
     if repeated.head(1):  # texts are read just where ids don't decide
         same = found.join(repeated, (found["root"] == repeated["root"]) & found["doc_id"].eqNullSafe(repeated["_id"])).select(found["root"], "key")
-        texts = same.join(rows.select(F.col(KEY).alias("key"), F.col(text).alias("t")), "key")
+        texts = same.join(rows.select("key", F.col("text").alias("t")), "key")
         kept = kept.unionByName(texts.groupBy("root").agg(F.min(F.struct("t", "key"))["key"].alias("key")).select("key"))
-    return rows.join(kept.withColumnRenamed("key", KEY), KEY, "left_semi").select(*docs.columns)
+    return rows_of(keyed.join(kept, "key", "left_semi"), docs.columns)
