@@ -80,8 +80,21 @@ def test_components_equal_brute_force(spark, monkeypatch):
         fps.add(x)
     want = brute_classes(fps)
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = dict(simhash.connected_components(simhash.links(frame)).collect())
-    assert {f: got.get(f, f) for f in fps} == want
+    for more in (None, 3, 16):
+        got = dict(simhash.connected_components(simhash.links(frame, more)).collect())
+        assert {f: got.get(f, f) for f in fps} == want
+
+
+@pytest.mark.parametrize("more", [1, 4, 16])
+def test_more_anchors_cover(more):
+    rng = np.random.default_rng(more)
+    fps = rng.integers(-(2**63), 2**63 - 1, 20, dtype=np.int64)
+    rows, anchors = simhash.anchors_in_reach(fps, more)
+    for k, f in enumerate(fps):
+        reach = set(anchors[rows == k].tolist())
+        assert len(reach) == (rows == k).sum()
+        near = simhash.nearest_anchor(np.array([flipped(int(f), {a, b}) for a in range(64) for b in range(a, 64)], np.int64), more)
+        assert set(near.tolist()) <= reach
 
 
 def test_near_duplicates(spark):

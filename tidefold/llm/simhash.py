@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,19 @@ from .components import connected_components
 SHINGLE, SEED = 3, 42
 #: Differing bits up to which fingerprints link.
 THRESHOLD = 2
-#: The anchors: pairs of words of the binary Golay code [23, 12] over bits 0-22 and 23-45 of a fingerprint (18 bits are
-#: free). The code is perfect with radius 3, so each fingerprint has one nearest anchor, at a distance of 6 or less.
-LENGTH, GENERATOR, RADIUS = 23, 0b101011100011, 3
+#: The anchors: pairs of words of the binary Golay code [23, 12] over bits 0-22 and 23-45 of a fingerprint. The code is
+#: perfect with radius 3, so each fingerprint has one nearest anchor, at a distance of 6 or less. As fingerprints get
+#: more than 2^24, so does the code: it takes in all words of one more bit, then another (16 at most, radius 0), so that an anchor is
+#: nearest to one fingerprint on average.
+LENGTH, GENERATOR, RADIUS, FREE = 23, 0b101011100011, 3, 16
 REACH = 2 * RADIUS + THRESHOLD
-#: Fingerprints that a task sends to their anchors: some 8 million rows.
+#: Fingerprints that a task sends to their anchors: some 8 million rows, most of which go no further.
 DEALT = 100_000
-#: What reaches an anchor that is nearest to more fingerprints than this is compared by midpoints, not pair by pair.
+#: Where more fingerprints than this are nearest to an anchor all the same, they lie close together: what reaches such
+#: an anchor is compared by midpoints, not pair by pair.
 CROWD = 4
+#: Bits of the map of anchors that are nearest to something, 2 MB whatever the data.
+MAP_BITS = 24
 
 
 def fingerprint(text: str | None) -> int:
@@ -87,62 +93,99 @@ def _halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return left, right, _syndromes(left, single), _syndromes(right, single)
 
 
-def nearest_anchor(fps: np.ndarray) -> np.ndarray:
-    """The one anchor within the covering radius of each half of each fingerprint."""
+def nearest_anchor(fps: np.ndarray, more: int = 0) -> np.ndarray:
+    """The one anchor within the covering radius of each fingerprint; `more` bits beyond the two blocks are its own."""
     _, patterns, starts = _cosets()
     left, right, s, t = _halves(fps)
-    return (left ^ patterns[starts[s, 0]]) << LENGTH | (right ^ patterns[starts[t, 0]])
+    return (fps >> 2 * LENGTH & ((1 << more) - 1)) << 2 * LENGTH | (left ^ patterns[starts[s, 0]]) << LENGTH | (right ^ patterns[starts[t, 0]])
 
 
-def anchors_in_reach(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and anchor for every anchor within REACH of each fingerprint: about 78 each."""
+def anchors_in_reach(fps: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and anchor for every anchor within REACH of each fingerprint: about 78 each, 16 more for a bit, 3 for two."""
     _, patterns, starts = _cosets()
+    bits = [1 << 2 * LENGTH + i for i in range(more)]
+    flips = [np.zeros(1, np.int64), np.array(bits, np.int64), np.array([a | b for a, b in combinations(bits, 2)], np.int64)]
+    own = (fps >> 2 * LENGTH & ((1 << more) - 1)) << 2 * LENGTH
     rows, found = [], [np.zeros(0, np.int64)]
-    for k, (p, q, s, t) in enumerate(zip(*_halves(fps), strict=True)):
+    for u, p, q, s, t in zip(own, *_halves(fps), strict=True):
         n = 0
         for w in range(REACH + 1):
             one = patterns[starts[s, w] : starts[s, w + 1]]
-            two = patterns[starts[t, 0] : starts[t, REACH - w + 1]]
-            if len(one) and len(two):
-                found.append((((p ^ one) << LENGTH)[:, None] | (q ^ two)).ravel())
-                n += len(found[-1])
+            if not len(one):
+                continue
+            for flipped, flip in enumerate(flips[: min(THRESHOLD, REACH - w) + 1]):
+                two = patterns[starts[t, 0] : starts[t, REACH - w - flipped + 1]]
+                if len(two) and len(flip):
+                    found.append(((((p ^ one) << LENGTH)[:, None] | (q ^ two)).ravel()[:, None] | (u ^ flip)).ravel())
+                    n += len(found[-1])
         rows.append(n)
     return np.repeat(np.arange(len(fps)), rows), np.concatenate(found)
 
 
-def _at_anchors(fps: DataFrame, reach: bool) -> DataFrame:
-    """(anchor, fp) of the nearest anchor of each fingerprint, or of all in reach."""
+def _slot(anchors: np.ndarray) -> np.ndarray:
+    """Place of an anchor in a map of MAP_BITS."""
+    return (anchors.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def _nearest(fps: DataFrame, more: int) -> DataFrame:
+    """(anchor, fp, slot) of the nearest anchor of each fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors = nearest_anchor(batch.column(0).to_numpy(), more)
+            yield pa.RecordBatch.from_arrays([pa.array(anchors), batch.column(0), pa.array(_slot(anchors))], ["anchor", "fp", "slot"])
+
+    return fps.select("fp").mapInArrow(run, "anchor long, fp long, slot long")
+
+
+def _reaching(fps: DataFrame, more: int, taken: DataFrame) -> DataFrame:
+    """(anchor, fp) for all anchors in reach of each fingerprint that may be nearest to something, by the map of `taken` slots."""
+    spark = fps.sparkSession
+    taken = taken.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("m"))
+    whole = np.zeros((1 << MAP_BITS) + (1 << 15), np.uint8)
+    for r in taken.collect():  # 2^MAP_BITS bits in all
+        bits = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
+        whole[(r["b"] - 1) * len(bits) : r["b"] * len(bits)] = bits
+    shared = spark.sparkContext.broadcast(np.packbits(whole[: 1 << MAP_BITS]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.unpackbits(shared.value).astype(bool)
         for batch in slices(batches):
             values = batch.column(0).to_numpy()
-            rows, anchors = anchors_in_reach(values) if reach else (slice(None), nearest_anchor(values))
-            yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(values[rows])], ["anchor", "fp"])
+            rows, anchors = anchors_in_reach(values, more)
+            some = there[_slot(anchors)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[some]), pa.array(values[rows[some]])], ["anchor", "fp"])
 
     return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, more: int | None = None) -> DataFrame:
     """(a, b) edges between distinct fingerprints, all of THRESHOLD bits or fewer, that join whatever such pairs join.
 
     If f and g differ in THRESHOLD bits at most, f's nearest anchor lies within REACH of g: so every fingerprint is
-    sent to all anchors in reach, and compared there with those whose nearest it is. Where over CROWD are nearest, pairs
-    would grow with the square of the crowd. What reaches such an anchor is joined by midpoints: two words differ in
+    sent to all anchors in reach (those that are nearest to nothing are left out before anything is shuffled), and
+    compared there with those whose nearest it is. `more`, the bits by which the code grows, follows from how many
+    fingerprints there are, so anchors don't fill up with the data. Where over CROWD near copies share an anchor, pairs
+    would grow with the square of their number. What reaches such an anchor is joined by midpoints: two words differ in
     2 bits or fewer just if some word differs in at most 1 bit from either, so each is sent to the 65 words around it
     and linked with the smallest that arrives there. That is exact, and linear in the crowd.
     """
+    n = fps.count()
+    if more is None:
+        more = min(FREE, max(0, (max(1, n) - 1).bit_length() - 24))
+    near = cut(_nearest(fps, more), "nearest")
     some = Window.partitionBy("anchor").orderBy("fp")
-    nearest = _at_anchors(fps, reach=False).withColumn("n", F.row_number().over(some)).where(F.col("n") <= CROWD + 1)
+    nearest = near.withColumn("n", F.row_number().over(some)).where(F.col("n") <= CROWD + 1)
     nearest = nearest.groupBy("anchor").agg(F.collect_list("fp").alias("centres"))  # CROWD + 1 at most
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() // DEALT))
-    met = cut(_at_anchors(fps.select("fp").repartition(parts, "fp"), reach=True).join(nearest, "anchor").select("fp", "centres"), "met")
+    reaching = _reaching(fps.select("fp").repartition(parts_of(fps, n, DEALT), "fp"), more, near)
+    met = cut(reaching.join(nearest.hint("merge"), "anchor").select("fp", "centres"), "met")
     pairs = met.where(F.size("centres") <= CROWD).select(F.col("fp").alias("a"), F.explode("centres").alias("b"))
     pairs = pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD))
     crowd = met.where(F.size("centres") > CROWD).select("fp").distinct()
     around = F.array("fp", *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -1 << 63)) for i in range(64)])
     spread = crowd.select("fp", F.explode(around).alias("mid"))
     first = spread.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("mid", "b")
-    return pairs.unionByName(spread.join(first, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    return pairs.unionByName(spread.join(first.hint("merge"), "mid").where("fp <> b").select(F.col("fp").alias("a"), "b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,9 +205,9 @@ def _classes(own: DataFrame) -> DataFrame:
     """
     each = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(links(each))
-    joined = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = each.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+    classes = joined.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id", "root")
     return own.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id", *[c for c in ("key",) if c in own.columns], "root")
 
 
