@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidefold.llm import queries, winnow
@@ -54,7 +55,8 @@ def test_shared_runs_share_a_hash(spark):
 
 
 def brute_next(rows):
-    order = sorted(rows, key=lambda r: ((0, -r[0]) if r[0] is not None else (1, 0), r[1] or ""))
+    u = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) >> 1
+    order = sorted(rows, key=lambda r: ((1, r[0]) if r[0] is not None else (0, 0), u(r[1]), (r[1] or "").encode()), reverse=True)
     return [(a[0], a[1] or "", b[1] or "") for a, b in zip(order, order[1:] + order[:1], strict=True)]
 
 
@@ -66,6 +68,7 @@ def test_next_follows_descending_ids(spark, monkeypatch, size, rows_a_range):
     rows = [(rng.choice([None, *range(-40, 40), 1 << 60]), rng.choice([*TEXTS, "t" * rng.randint(1, 9)])) for _ in range(size)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("r", F.lit(3)).withColumn("next_text", F.lit(""))
     got = winnow.with_next(df)
+    assert "hashpartitioning(r" not in got._jdf.queryExecution().executedPlan().toString()  # texts are shuffled once
     assert sorted(map(str, ((r["doc_id"], r["text"], r["next_text"]) for r in got.collect()))) == sorted(map(str, brute_next(rows)))
     assert got.where(~F.col("next_packed").eqNullSafe(winnow.winnow(F.col("next_text")))).count() == 0
 
@@ -88,3 +91,27 @@ def test_query(spark, tmp_path):
         assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
     assert got[6]["fingerprint"] == got[12]["fingerprint"]
     assert got[1]["near_next"] == 1.0  # two texts without words
+
+
+def test_hot_ids_are_cut_and_order_stays(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "ROWS_A_RANGE", 5)
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 7, 7, 7, i]), f"t{rng.randint(0, 500)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["next_text"]) for r in winnow.with_next(df).collect()))) == sorted(map(str, brute_next(rows)))
+    ids = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="numbers"):
+        winnow.with_next(ids)
+
+
+def test_hashes_roll(spark):
+    text = "a b c a b c d e f a b c d e f g h a a a a a a a"
+    row = spark.createDataFrame([(text,)], "text string").select(winnow.numbers(F.col("text")).alias("u"), winnow.unpack(winnow.grams(F.col("text"))).alias("g")).first()
+    h = 0
+    for x in row.u[: winnow.GRAM]:
+        h = (h * winnow.BASE + x) % winnow.PRIME
+    rolled = [h]
+    for first, new in zip(row.u, row.u[winnow.GRAM :], strict=False):
+        h = ((h - first * winnow.BASE ** (winnow.GRAM - 1)) * winnow.BASE + new) % winnow.PRIME
+        rolled.append(h)
+    assert rolled == [g["hash"] for g in row.g]

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .common import cut
+from .common import cut, parts_of
 
 #: Units of text are what white space parts; in texts of scripts written without it, their characters go one by one.
 BARE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _SPACE = " \t\n\x0b\f\r"
 #: Units a hashed gram has, and grams a window has: texts that share WINDOW + GRAM - 1 units in a row share a hash.
 GRAM, WINDOW = 5, 4
-#: A gram is packed as 32 bits of hash, then 31 of its place counted down: the least of a window is its rightmost least.
+#: Rolling (Karp-Rabin) hash of a gram: the polynomial of its units' numbers at BASE, modulo the prime 2^31 - 1. The next
+#: gram's is ((h - first * BASE^(GRAM - 1)) * BASE + new) mod PRIME.
+BASE, PRIME = 1_000_003, (1 << 31) - 1
+#: A gram is packed as 31 bits of hash, then 31 of its place counted down: the least of a window is its rightmost least.
 _PLACES = (1 << 31) - 1
 #: Rows, about, of a range of ids that neighbours are found in; ranges at most; ids of a range that its cuts come from.
-ROWS_A_RANGE, RANGES, IDS_A_RANGE = 20_000, 10_000, 100
+ROWS_A_RANGE, RANGES, IDS_A_RANGE = 20_000, 100_000, 100
+#: Parts of a range at most.
+_SUBS = 1 << 20
 
 
 def units(text: Column) -> Column:
@@ -28,19 +35,30 @@ def units(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).when(each, by_character).otherwise(F.split(plain, r"\s+"))
 
 
+def numbers(text: Column) -> Column:
+    """A number from 1 to PRIME - 1 for each unit of a text: its hash."""
+    return F.transform(units(text), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME - 1)) + 1)
+
+
 def grams(text: Column) -> Column:
-    """Packed hashes and places of all runs of GRAM units; of all units where there are fewer, none without units."""
+    """Packed hashes and places of all runs of GRAM units; of all units where there are fewer, none without units.
+
+    The rolling hash is a polynomial, worked out at each place by its GRAM terms: that is what rolling gives, and array
+    expressions carry no state from one place to the next.
+    """
 
-    def gram(hashes: Column) -> Column:
-        n = F.size(hashes)
+    def gram(units: Column) -> Column:
+        n = F.size(units)
 
         def packed(x: Column, i: Column) -> Column:
-            full = F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, GRAM)])  # nulls behind the end are passed over
-            return F.shiftleft(full.bitwiseAND(F.lit((1 << 32) - 1)), 31) + (F.lit(_PLACES) - i)
+            h = x
+            for k in range(1, GRAM):
+                h = (h * BASE + F.coalesce(F.get(units, i + k), F.lit(0))) % PRIME  # nothing lies behind the end of a short text
+            return F.shiftleft(h, 31) + (F.lit(_PLACES) - i)
 
-        return F.transform(F.slice(hashes, F.lit(1), F.greatest(n - (GRAM - 1), F.least(n, F.lit(1)))), packed)
+        return F.transform(F.slice(units, F.lit(1), F.greatest(n - (GRAM - 1), F.least(n, F.lit(1)))), packed)
 
-    return _let(F.transform(units(text), lambda w: F.xxhash64(w)), gram)
+    return _let(numbers(text), gram)
 
 
 def _let(value: Column, use) -> Column:
@@ -97,37 +115,55 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """(doc_id, text, packed, next_text, next_packed): each row, its fingerprint as winnow() gives it, and those of the
     next row by descending doc_id; after the last, of the first. A null text is empty.
 
-    Rows of one id follow each other by text; a null id is the last. A single row is its own next; no row gives none.
-    Ids are cut at about their quantiles into ranges of some ROWS_A_RANGE rows, RANGES at most, whatever ids look like.
-    A range is sorted apart. Where the cuts lie changes no result, so they are taken from a bounded sample of ids, as
-    range partitioning does. Texts are shuffled once.
+    Ids must be numbers, else it's an error. Rows of one id follow each other by a hash of the text, then by text, both
+    descending; a null id is the last. A single row is its own next; no row gives none. Ids are cut at about their
+    quantiles into ranges of some ROWS_A_RANGE rows, and an id that fills several, or none, into parts of its texts'
+    hashes. Where the cuts lie changes no result, so they are taken from a bounded sample of ids, as range partitioning
+    does. Texts are shuffled once, a range a task; of the others a range sees one row, the head of the one below.
     """
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, NumericType):
+        raise ValueError(f"ids must be numbers, not {kind.simpleString()}")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = rows.count()
-    n = min(RANGES, max(1, -(-size // ROWS_A_RANGE), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    size, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    n = min(RANGES, parts_of(rows, size, ROWS_A_RANGE))
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, size // (IDS_A_RANGE * n)))) == 0)  # for the cuts alone
-    rows = rows.withColumn("r", _range("doc_id", some.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0], rows.schema["doc_id"].dataType.simpleString()))
-    # the first row of a range by descending id is also sent to the range above, the very first to the last: n + 1 rows
+    cuts = some.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0]
+    hashed = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    rows = rows.withColumn("u", hashed).withColumn("r", _range(cuts or [], kind.simpleString(), max(1, -(-nulls // ROWS_A_RANGE))))
+    # the head of a range is also sent to the range above, that of the highest to the lowest
     everything = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = rows.groupBy("r").agg(F.max("doc_id").alias("top")).withColumn("host", F.coalesce(F.lead("r").over(Window.orderBy("r")), F.first("r").over(everything)))
+    heads = rows.groupBy("r").agg(F.max(F.struct("doc_id", "u")).alias("head")).withColumn("host", F.coalesce(F.lead("r").over(Window.orderBy("r")), F.first("r").over(everything)))
     own, other = F.struct("r", F.lit(False).alias("guest")), F.struct(F.col("host").alias("r"), F.lit(True).alias("guest"))
-    placed = rows.join(F.broadcast(cut(tops, "tops")), "r").withColumn("at", F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, other)).otherwise(F.array(own)))
-    dealt = placed.select("doc_id", "text", winnow(F.col("text")).alias("packed"), F.explode("at").alias("at"))
-    order = Window.partitionBy("at.r").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
-    following = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "packed")})
-    return following.where("not at.guest").select("doc_id", "text", "packed", "next_text", "next_packed")
+    is_head = F.struct("doc_id", "u").eqNullSafe(F.col("head"))
+    placed = rows.join(F.broadcast(cut(heads, "heads")), "r").withColumn("at", F.when(is_head, F.array(own, other)).otherwise(F.array(own)))
+    dealt = placed.select("doc_id", "u", "text", F.explode("at").alias("at")).select("doc_id", "u", "text", "at.r", "at.guest").repartitionByRange(n, "r")
+    order = Window.partitionBy("r").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.desc("u"), F.desc("text"))
+    following = dealt.withColumn("packed", winnow(F.col("text"))).withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "packed")})
+    return following.where("not guest").select("doc_id", "text", "packed", "next_text", "next_packed")
+
 
+def _range(cuts: list, kind: str, parts_of_null: int) -> Column:
+    """The number of a row's range, ascending by id (null first) and u.
 
-def _range(column: str, cuts: list | None, kind: str) -> Column:
-    """How many of the cuts lie below a value, -1 for null; found in two steps, so a row looks at few of many cuts."""
-    cuts = sorted(set(cuts or []))
+    That is how many distinct cuts lie below its id, found in two steps so that a row looks at few of many cuts, and for
+    an id that is several cuts, the part of its texts' hashes.
+    """
+    times = Counter(cuts)
+    cuts = sorted(times)
     width = max(1, int(len(cuts) ** 0.5))
     parts = [cuts[i : i + width] for i in range(0, len(cuts), width)]
     array = lambda values, of: F.from_json(F.lit(json.dumps(values)), of)
-    below = lambda values: F.size(F.filter(values, lambda c: c < F.col(column)))
+    below = lambda values: F.size(F.filter(values, lambda c: c < F.col("doc_id")))
     coarse = below(array([p[-1] for p in parts], f"array<{kind}>"))
     fine = F.coalesce(below(F.get(array(parts, f"array<array<{kind}>>"), coarse)), F.lit(0))
-    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.least(coarse * width, F.lit(len(cuts))) + F.greatest(fine, F.lit(0)))
+    main = F.least(coarse * width, F.lit(len(cuts))) + F.greatest(fine, F.lit(0))
+    part = lambda m: F.shiftright(F.shiftrightunsigned("u", 32) * m, 31)
+    often = F.get(array([times[c] for c in cuts], "array<int>"), main)
+    same = F.get(array(cuts, f"array<{kind}>"), main) == F.col("doc_id")
+    whole = _let(main, lambda k: k.cast("long") * _SUBS)
+    sub = F.when(same & (often > 1), 1 + part(often.cast("long"))).otherwise(F.lit(0))
+    return F.when(F.col("doc_id").isNull(), F.lit(-_SUBS) + part(F.lit(parts_of_null).cast("long"))).otherwise(whole + sub)
 
 
 def edited(text: Column, other: Column) -> Column:
