@@ -49,3 +49,10 @@ def test_escape_round_trip(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t"), chat.ROLE_CODES).alias("e"))
     bad = df.where((chat.unescape(F.col("e"), chat.ROLE_CODES) != F.col("t")) | F.col("e").contains("###") | F.col("e").contains("</turn>") | F.col("e").contains(":"))
     assert bad.count() == 0
+
+
+def test_ties_go_by_plain_text(spark):
+    rows = [(1, 0, "user", "Zed"), (1, 0, "user", "### x"), (1, 0, None, "y"), (1, None, "b", "c"), (1, 0, "user", "\\")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chat(df).select(chat.parse_chat().alias("t")).first().t
+    assert [(t.role, t.text) for t in got] == [("b", "c"), (None, "y"), ("user", "### x"), ("user", "Zed"), ("user", "\\")]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 import re
 
@@ -68,3 +69,13 @@ def test_empty_tables(spark):
     assert decontaminate.scan(table.limit(0), benchmark).count() == 0
     assert {r.n_hit for r in decontaminate.scan(table, benchmark.limit(0)).collect()} == {0}
     assert decontaminate.decontaminate(table, benchmark.limit(0)).count() == len(docs)
+
+
+def test_items_of_any_type_and_null_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "nothing")], "doc_id long, text string")
+    for kind, ids in (("int", [3, None]), ("date", [datetime.date(2020, 1, 1), None]), ("double", [1.5, None]), ("string", ["b", None])):
+        bench = spark.createDataFrame([(i, text) for i in ids], f"item_id {kind}, text string")
+        for most in (1, 1_000_000):
+            got = {r.doc_id: (r.n_hit, list(r.item_ids)) for r in decontaminate.scan(docs, bench, most_words=most).collect()}
+            assert got == {1: (11, ids), 2: (0, [])}

@@ -29,7 +29,7 @@ def test_model_ignores_held_out_rows_and_other_columns(docs):
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     a = langid.fit(docs, learn, sample=50)
     b = langid.fit(docs.withColumn("lang", F.when(learn, F.col("lang")).otherwise("xx")).withColumn("source", F.lit("s")), learn, sample=50)
-    assert a.languages == b.languages and np.array_equal(a.table, b.table) and a.floor == b.floor
+    assert a.languages == b.languages and np.array_equal(a.table, b.table) and (a.floor, a.strange) == (b.floor, b.strange)
 
 
 def test_odd_texts(spark, docs):
@@ -46,6 +46,55 @@ def test_odd_texts(spark, docs):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_other_languages_and_noise_are_rejected_and_known_texts_stay(docs):
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    held = docs.where(~learn).select("lang", "text").where("lang is not null and text is not null").collect()
+    whole = langid.fit(docs, learn)
+    assert langid.rejected(whole, [r.text for r in held if langid.has_letter(r.text)]) <= 0.005
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   ")) for _ in range(400)) for _ in range(50)]
+    other_script = ["".join(chr(c) for c in rng.integers(0x400, 0x44F, 200)) for _ in range(50)]
+    assert langid.rejected(whole, noise) == langid.rejected(whole, other_script) == 1
+    for out in ("fr", "de"):  # a language that is left out of training
+        model = langid.fit(docs, learn & (F.col("lang") != out))
+        assert langid.rejected(model, [r.text for r in held if r.lang == out]) > 0.9
+        assert langid.rejected(model, [r.text for r in held if r.lang != out and langid.has_letter(r.text)]) <= 0.01
+
+
+def brute_predict(model, text):
+    """Subwords cut and hashed one by one, scores added up in a loop."""
+    words = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()).split()
+    line = b" " + b" ".join(words) + b" "
+    buckets = []
+    for n in langid.GRAMS:
+        for i in range(len(line) - n + 1):
+            gram = line[i : i + n]
+            if b" " in gram[1:-1] or gram == b"  ":
+                continue
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for b in gram:
+                h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+            buckets.append(((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - 12)
+    z = [model.intercept[k] + sum(model.table[b][k] for b in buckets) / max(1, len(buckets)) for k in range(len(model.languages))]
+    p = [np.exp(v / model.temperature) for v in z]
+    return model.languages[int(np.argmax(z))], max(p) / sum(p)
+
+
+def test_scores_equal_brute_force(spark, docs):
+    model = langid.fit(docs, F.lit(True), sample=40)
+    some = docs.where("doc_id % 9 = 0 and length(text) < 3000")
+    got = langid.identify(some, model).join(some, "doc_id").where("lang_pred <> 'und'").collect()
+    assert len(got) > 50
+    for r in got:
+        name, score = brute_predict(model, r.text)
+        assert r.lang_pred == name and abs(r.score - score) < 1e-9
+
+
+@pytest.mark.parametrize(("text", "letters"), [("²³", False), ("Ⅷ 12", False), ("é", True), ("中", True), ("_ 9 ª", True), (None, False)])
+def test_letters(text, letters):
+    assert langid.has_letter(text) == letters
+
+
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(1)
     many = [(f"l{k:02}", "".join(chr(97 + i) for i in rng.integers(0, 26, 6))) for k in range(70)]

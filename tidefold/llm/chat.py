@@ -44,40 +44,46 @@ def _starts(lengths: str) -> Column:
 def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant") -> DataFrame:
     """One row per conversation: conv, formatted string, loss_spans array<struct<start int, length int>>.
 
-    Turns are sorted by turn, then role, then text (null turns first; repeated rows stay, side by side). Adjacent turns
-    of one role share a block. Null text is empty; a null role is kept apart from an empty one; rows of a null conv
+    Turns are sorted by turn, then role, then text (null turns and roles first; repeated rows stay, side by side).
+    Adjacent turns of one role share a block: the runs' starts are found in the sorted array, and each run is joined
+    from its slice. Null text is empty; a null role is kept apart from an empty one; rows of a null conv
     form one conversation. Spans are code points from 0 and cover each escaped text of the trained role, in order;
     nothing else, so reading them gives each such text once. No row gives no conversation. Other columns of the input
     are not read. A conversation is one row of the result and must fit a Spark string (2 GB).
     """
-    piece = F.struct(
-        F.col(turn).alias("turn"),
-        F.coalesce(escape(F.col(role), ROLE_CODES), F.lit(NULL_ROLE)).alias("role"),
-        escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
-        (F.coalesce(F.col(role), F.lit("")) == trained).alias("loss"),
-    )
+    piece = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     grouped = turns.select(F.col(conv).alias("_conv"), piece.alias("_t")).groupBy("_conv").agg(F.array_sort(F.collect_list("_t")).alias("_s"))
 
-    def block(t: Column, i: Column) -> Column:
-        first = (i == 0) | (F.get("_s", i - 1)["role"] != t["role"])
-        last = (i == F.size("_s") - 1) | (F.get("_s", i + 1)["role"] != t["role"])
-        head = F.when(first, F.concat(F.lit(HEAD), t["role"], F.lit(COLON))).otherwise(F.lit(NEXT))
-        return F.struct(head.alias("head"), t["text"].alias("text"), F.when(last, F.lit(END)).otherwise(F.lit("")).alias("tail"), t["loss"].alias("loss"))
+    def escaped(t: Column) -> Column:
+        said = F.coalesce(escape(t["role"], ROLE_CODES), F.lit(NULL_ROLE))
+        return F.struct(said.alias("role"), escape(t["text"]).alias("text"), (F.coalesce(t["role"], F.lit("")) == trained).alias("loss"))
+
+    role_at = lambda i: F.get("_s", i)["role"]
+    size = F.size("_s")
+
+    def around(t: Column, i: Column) -> Column:
+        """Lengths of what stands before and behind a turn's text."""
+        first, last = (i == 0) | (role_at(i - 1) != t["role"]), (i == size - 1) | (role_at(i + 1) != t["role"])
+        head = F.when(first, F.length(t["role"]) + len(HEAD) + len(COLON)).otherwise(F.lit(len(NEXT)))
+        return F.struct(head.alias("head"), F.length(t["text"]).alias("text"), F.when(last, F.lit(len(END))).otherwise(F.lit(0)).alias("tail"), t["loss"].alias("loss"))
+
+    def block(start: Column, k: Column) -> Column:
+        run = F.slice("_s", start + 1, F.coalesce(F.get("_runs", k + 1), size) - start)
+        return F.concat(F.lit(HEAD), role_at(start), F.lit(COLON), F.array_join(F.transform(run, lambda t: t["text"]), NEXT), F.lit(END))
 
     # each step reads the one before several times: as arrays of whole rows they're built once
-    blocks = grouped.select("_conv", F.transform("_s", block).alias("_b"))
     return (
-        blocks.withColumn("_n", F.transform("_b", lambda b: F.length(b["head"]) + F.length(b["text"]) + F.length(b["tail"])))
+        grouped.select("_conv", F.transform("_s", escaped).alias("_s"))
+        .withColumn("_runs", F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (role_at(i - 1) != role_at(i))))
+        .withColumn("_b", F.transform("_s", around))
+        .withColumn("_n", F.transform("_b", lambda b: b["head"] + b["text"] + b["tail"]))
         .withColumn("_total", F.expr(f"transform(sequence(0, (size(_n) - 1) div {CHUNK}), j -> aggregate(slice(_n, j * {CHUNK} + 1, {CHUNK}), 0, (a, x) -> a + x))"))
         .withColumn("_before", F.transform("_total", lambda x, j: _sum(F.slice("_total", 1, j))))
         .withColumn("_at", _starts("_n"))
         .select(
             F.col("_conv").alias(conv),
-            F.array_join(F.transform("_b", lambda b: F.concat(b["head"], b["text"], b["tail"])), "").alias("formatted"),
-            F.transform(
-                F.filter(F.arrays_zip("_b", "_at"), lambda x: x["_b"]["loss"]),
-                lambda x: F.struct((x["_at"] + F.length(x["_b"]["head"])).alias("start"), F.length(x["_b"]["text"]).alias("length")),
-            ).alias("loss_spans"),
+            F.array_join(F.transform("_runs", block), "").alias("formatted"),
+            F.transform(F.filter(F.arrays_zip("_b", "_at"), lambda x: x["_b"]["loss"]), lambda x: F.struct((x["_at"] + x["_b"]["head"]).alias("start"), x["_b"]["text"].alias("length"))).alias("loss_spans"),
         )
     )
 

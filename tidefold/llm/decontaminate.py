@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, slices
 
@@ -68,6 +69,18 @@ class NgramSet:
         return hit, found
 
 
+#: Sets of windows that this worker has built, by the block they are of: a worker runs many tasks.
+_BUILT: list[tuple[list, int, NgramSet]] = []
+
+
+def ngrams_of(block: list[tuple], window: int) -> NgramSet:
+    for known, n, found in _BUILT:
+        if known is block and n == window:
+            return found
+    _BUILT[:] = [*_BUILT[-3:], (block, window, NgramSet(block, window))]
+    return _BUILT[-1][2]
+
+
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
@@ -99,7 +112,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, item_ids (array, ascending), spans array<struct<first, last>> of words.
+    """One row per document: doc_id, n_words, n_hit, item_ids (array, ascending, null last), spans array<struct<first, last>> of words.
 
     A window is `window` consecutive words of an item, or all words of a shorter one; spans join the document words
     inside occurrences, last excluded. Null texts, empty texts and items without words have no words. Repeated rows give
@@ -110,16 +123,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     of_item = benchmark.schema[item_id].dataType.simpleString()
+    item_type = pa.list_(to_arrow_type(benchmark.schema[item_id].dataType))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    item_type = pa.list_(pa.int64() if of_item in ("bigint", "int") else pa.string())
-    schema = f"doc_id {kind}, n_words long, n_hit long, item_ids array<{of_item if of_item != 'int' else 'bigint'}>, spans array<struct<first:int,last:int>>"
+    schema = f"doc_id {kind}, n_words long, n_hit long, item_ids array<{of_item}>, spans array<struct<first:int,last:int>>"
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
+    # 128 bits of id and text: equal just for equal rows
+    same = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
+
     def scanned(block: list[tuple], keep: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ngrams = NgramSet(shared.value, window)
+            ngrams = ngrams_of(shared.value, window)
             for batch in slices(batches):
                 counts, hits, items, spans = [], [], [], []
                 for t in batch.column(1):
@@ -127,7 +143,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
                     hit, found = ngrams.scan(tokens)
                     counts.append(len(tokens))
                     hits.append(int(hit.sum()))
-                    items.append(sorted(found))
+                    items.append(sorted(found, key=lambda i: (i is None, i)))
                     spans.append([{"first": a, "last": b} for a, b in runs(hit)])
                 out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, item_type), pa.array(spans, spans_type)]
                 names = ["doc_id", "n_words", "n_hit", "item_ids", "spans"]
@@ -135,13 +151,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
                     out, names = [*out, batch.column(2)], [*names, "row"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-        return (rows.withColumn("row", F.xxhash64("doc_id", "text")) if keep else rows).mapInArrow(run, schema + (", row long" if keep else ""))
+        return (rows.withColumn("row", same) if keep else rows).mapInArrow(run, schema + (", row string" if keep else ""))
 
     blocks = _blocks(benchmark, item_id, item_text, most_words)
     block, after = next(blocks), next(blocks, None)  # the driver holds these two at most
     if after is None:
         return scanned(block, keep=False)
-    # equal rows have equal hits in a block, so one of each is joined; positions are joined as spans, not word by word
+    # equal rows have equal hits in a block, so one of each (by `row`) is joined; positions are joined as spans, not word by word
     parts = []
     while block is not None:
         parts.append(cut(scanned(block, keep=True), "hits").withColumn("block", F.lit(len(parts))))
@@ -176,7 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ngrams = NgramSet(shared.value, window)
+            ngrams = ngrams_of(shared.value, window)
             for batch in slices(batches):
                 texts = batch.column(at).to_pylist()
                 found = [runs(ngrams.scan(words(t))[0]) for t in texts]

@@ -24,13 +24,16 @@ SAMPLE, MOST, LEAST = 400, 25_600, 2
 EXCERPT = 8
 #: Share of sampled documents of known languages that calibration may reject.
 REJECTED = 0.001
+#: How much further than the held rows' tail a text must lie to be strange, and how far at least; weight of unseen subwords.
+MARGIN, LEAST_STRANGE, UNSEEN = 1.2, -5.0, 0.05
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of letters and of characters beyond ASCII stay; all else parts words.
 _BYTES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a character of a letter category; \\w also takes numbers such as ² and Ⅷ."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def subwords(text: str | None) -> np.ndarray:
@@ -62,27 +65,45 @@ def average(buckets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Logits by bucket (embedding times output layer), intercepts, a temperature and the score to reject below."""
+    """Logits by bucket (embedding times output layer), intercepts, a temperature and the score to reject below.
+
+    And, by language, what its subwords are like: the log share of each bucket, its mean over the language's texts, and
+    the variance around that of a subword and of a text. A text is as strange as its mean lies below, in deviations.
+    """
 
     languages: list[str]
     table: np.ndarray
     intercept: np.ndarray
     temperature: float = 1.0
     floor: float = 0.0
+    usual: np.ndarray | None = None  # languages x BUCKETS
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None  # languages x (of a subword, of a text)
+    strange: float = -np.inf
+
+    def familiarity(self, shares: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """How far texts (rows of bucket shares, n subwords) lie from what language k is like."""
+        own = np.einsum("ij,ij->i", shares, self.usual[k])
+        return (own - self.mean[k]) / np.sqrt(self.spread[k, 1] + self.spread[k, 0] / np.maximum(n, 1))
 
     def logits(self, buckets: np.ndarray) -> np.ndarray:
         if not len(buckets):
             return self.intercept.copy()
         return np.bincount(buckets, minlength=BUCKETS) @ self.table / len(buckets) + self.intercept
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its probability; UNKNOWN and 0 for a text without a letter."""
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The likeliest language, its probability, and whether it's rejected; UNKNOWN, 0 and rejected without a letter."""
         if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        z = self.logits(subwords(text)) / self.temperature
+            return UNKNOWN, 0.0, True
+        buckets = subwords(text)
+        counts = np.bincount(buckets, minlength=BUCKETS)
+        z = self.logits(buckets) / self.temperature
         p = np.exp(z - z.max())
         k = int(p.argmax())
-        return self.languages[k], float(p[k] / p.sum())
+        score = float(p[k] / p.sum())
+        n = len(buckets)
+        odd = self.familiarity(counts[None] / max(1, n), np.array([n]), np.array([k]))[0] < self.strange
+        return self.languages[k], score, bool(score < self.floor or odd)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -90,12 +111,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.3, seed: int = 7) -> Model:
-    """Fits on rows of average subword counts x; rows `held` calibrate.
+def train(x: np.ndarray, y: np.ndarray, n: np.ndarray, languages: list[str], held: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.3, seed: int = 7) -> Model:
+    """Fits on rows of average subword counts x, of n subwords; rows `held` calibrate.
 
-    The temperature is the one of a grid with the least log loss on the held rows. The floor lies halfway from chance to
-    the score below which REJECTED of them lie (half at most): held rows are few, so their tail alone would reject some
-    texts of known languages. A text is rejected just if it's nearer to a guess than the oddest known text.
+    The temperature is the one of a grid with the least log loss on the held rows. The floor of the score lies halfway
+    from chance to the score below which REJECTED of them lie (half at most), and that of familiarity MARGIN beyond the
+    one below which REJECTED lie: held rows are few, so their tail alone would reject some texts of known languages.
+    Texts of other languages and noise score as high as any, but lie far below the second floor.
     """
     rng = np.random.default_rng(seed)
     k = len(languages)
@@ -129,9 +151,30 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray,
         model.temperature = float(min(losses)[1])
         p = _softmax(z / model.temperature).max(axis=1)
         model.floor = float((1 / k + min(0.5, np.quantile(p, REJECTED))) / 2)
+    if k:
+        _learn_usual(model, x, y, n, held)
     return model
 
 
+def _learn_usual(model: Model, x: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray) -> None:
+    k = len(model.languages)
+    model.usual, model.mean, model.spread = np.zeros((k, BUCKETS), np.float32), np.zeros(k), np.zeros((k, 2))
+    for i in range(k):
+        rows = np.flatnonzero(~held & (y == i))
+        share = x[rows].mean(axis=0, dtype=np.float64)
+        own = np.log((share + UNSEEN / BUCKETS) / (1 + UNSEEN))
+        model.usual[i], model.mean[i] = own, (share * own).sum()
+        one = (share * (own - model.mean[i]) ** 2).sum()
+        model.spread[i] = one, max(1e-4, ((x[rows] @ own - model.mean[i]) ** 2 - one / np.maximum(n[rows], 1)).mean())
+    check = held if held.any() else np.ones(len(y), bool)
+    model.strange = float(min(LEAST_STRANGE, MARGIN * np.quantile(model.familiarity(x[check], n[check], y[check]), REJECTED)))
+
+
+def rejected(model: Model, texts: list[str | None]) -> float:
+    """Share of texts that a model rejects."""
+    return sum(model.predict(t)[2] for t in texts) / max(1, len(texts))
+
+
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows where `learn` holds and text and lang are there: about `sample` documents of each language.
 
@@ -154,7 +197,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(text: str) -> bytes:
             counts = np.bincount(subwords(text), minlength=BUCKETS)
-            return (counts / max(1, counts.sum())).astype(np.float16).tobytes()
+            return (counts / max(1, counts.sum())).astype(np.float16).tobytes() + int(counts.sum()).to_bytes(8, "little")
 
         for batch in slices(batches):
             texts = batch.column(2).to_pylist()
@@ -169,24 +212,27 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     got = chosen.mapInArrow(run, f"doc_id {kind}, lang string, whole binary, part binary").toLocalIterator()
     taken = dict.fromkeys(languages, 0)
     some = []
-    for r in got:  # rows of one id fall together
+    for r in got:  # about `sample` a language; rows of one id fall together, and twice as many are the bound
         if taken[r["lang"]] < 2 * sample:
             taken[r["lang"]] += 1
             some.append((str(r["doc_id"]), r["lang"], bytes(r["whole"]), bytes(r["part"])))
     got = sorted(some)
     number = {name: k for k, name in enumerate(languages)}
-    x = np.frombuffer(b"".join(c for r in got for c in r[2:]), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    parts = [c for r in got for c in r[2:]]
+    x = np.frombuffer(b"".join(c[:-8] for c in parts), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    n = np.array([int.from_bytes(c[-8:], "little") for c in parts])
     y = np.repeat([number[r[1]] for r in got], 2)
     held = np.repeat(np.arange(len(got)) % 5 == 4, 2)
     held &= np.isin(y, y[~held])
-    return train(x, y, languages, held)
+    return train(x, y, n, languages, held)
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row, from its whole text alone.
 
     Null, empty and letterless texts are UNKNOWN with score 0 and rejected; others carry a learned language and its
-    calibrated probability, and are rejected below the model's floor. Without any labelled row all is UNKNOWN. Repeated
+    calibrated probability, and are rejected below the model's floor or if they are strange: unlike the texts of that
+    language, as noise and other languages are. Without any labelled row all is UNKNOWN. Repeated
     rows get equal results; extra columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -195,9 +241,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches):
-            got = [m.predict(t.as_py()) for t in batch.column(1)]
-            names, scores = [g[0] for g in got], [g[1] for g in got]
-            out = [n == UNKNOWN or s < m.floor for n, s in got]
+            names, scores, out = zip(*[m.predict(t.as_py()) for t in batch.column(1)], strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
@@ -210,7 +254,6 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in slices(batches):
-            got = [m.predict(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([n != UNKNOWN and s >= m.floor for n, s in got], pa.bool_()))
+            yield batch.filter(pa.array([not m.predict(t.as_py())[2] for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

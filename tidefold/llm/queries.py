@@ -31,7 +31,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by a model of the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, crc32_mod("doc_id", 3) != 1)
-    held = (crc32_mod("doc_id", 3) == 1).alias("held_out")
+    held = F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return langid.identify(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
 
 
@@ -66,7 +66,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by a model of the labels that aren't held out."""
     learn = crc32_mod("doc_id", 4) != 2
     found = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
-    return found.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +96,11 @@ n AS (
     coalesce(replace(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '<next/>', '\m'), '</turn>', '\t'), ':', '\c'), '\z') AS head,
     length(replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '<next/>', '\m'), '</turn>', '\t')) AS len
   FROM t),
-b AS (SELECT *, lag(head) OVER (PARTITION BY conv_id ORDER BY turn, head, text) AS prev FROM n)
+b AS (SELECT *, lag(head) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS prev FROM n)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(said || chr(10) || text || chr(10), '' ORDER BY turn, head, text)) AS turns_sha256,
+  sha256(string_agg(said || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
   CAST(sum(CASE WHEN said = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN said = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, head, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN said = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text), '')) AS loss_sha256,
   CAST(sum(len + CASE WHEN head = prev THEN 7 ELSE 6 + length(head) + 8 END) AS BIGINT) AS formatted_chars
 FROM b GROUP BY conv_id""",
     "op2_decontaminate": r"""
