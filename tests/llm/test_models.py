@@ -124,6 +124,32 @@ def test_boosted_tables_learn_a_pair():
     assert np.array_equal(model.score(x[:10]), model.score(x)[:10])
 
 
+def brute_score(model, x):
+    """One text's features looked up edge by edge."""
+    at = [sum(v > e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+    z = model.intercept + sum(t[k] for t, k in zip(model.tables, at, strict=True))
+    z += sum(t[at[i] * quality.PAIR_BINS // quality.BINS][at[j] * quality.PAIR_BINS // quality.BINS] for (i, j), t in model.pairs.items())
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_equal_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    learn = F.col("doc_id") % 2 == 0
+    model = quality.fit(docs, labels, learn)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = quality.score_quality(docs.repartition(7), labels, learn).collect()
+    assert len(got) == len(texts)
+    assert all(abs(r.score - brute_score(model, quality.features(texts[r.doc_id]))) < 1e-9 for r in got)
+
+
+def test_very_long_texts(spark):
+    long = "word " * 400_000 + "end."
+    df = spark.createDataFrame([(1, long), (2, "x" * 2_000_000), (3, "short text here.")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality.score_quality(df, labels, F.lit(True)).collect())
+    assert quality.features(long)[0] == pytest.approx(np.log1p(400_001))
+
+
 def test_quality_of_odd_tables(spark):
     rows = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "word " * 9, "t"), (3, "word " * 9, "t"), (None, "x", "t")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (9, 0, 0), (None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")

@@ -150,7 +150,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40
 
 
 def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x array<double>) of every whole text."""
+    """(doc_id, x array<double>) of every whole text; repeated rows stay, null is like empty, no row gives none."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,33 +161,36 @@ def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
-def fit(x: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on the features of labelled rows where `learn` holds: all, or about `sample` chosen by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample: int = SAMPLE) -> Model:
+    """Fits on the features of labelled documents where `learn` holds: all, or about `sample` chosen by a hash of their id.
 
-    Rows without a label or an id are left out; a document of several labels counts with each.
+    Rows without a label or an id are left out; a document of several labels counts with each once, and of documents
+    that share an id one counts (the one with the least features). Only the chosen documents' texts are looked at.
     """
-    rows = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    rows = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")).distinct()
     share = sample / max(1, rows.count())
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = sorted((str(r["doc_id"]), r["y"], tuple(r["x"])) for r in x.join(rows, "doc_id").select("doc_id", "y", "x").toLocalIterator())
+    rows = cut(rows, "labels")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(rows.select("doc_id").distinct()), "doc_id", "left_semi")  # about `sample` ids
+    each = text_features(chosen).groupBy("doc_id").agg(F.min("x").alias("x"))
+    got = sorted((str(r["doc_id"]), r["y"], tuple(r["x"])) for r in each.join(F.broadcast(rows), "doc_id").select("doc_id", "y", "x").toLocalIterator())
     return train(np.array([r[2] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample: int = SAMPLE, good: float = GOOD) -> DataFrame:
     """(doc_id, score, predicted) of every document: probability of label 1, and whether it reaches `good`.
 
-    Only whole texts are looked at, once; scores then come from their features. Null and empty texts have features of
+    Whole texts are reduced to features and scored in one pass. Null and empty texts have features of
     zero and are scored like any other. Without labels of both kinds every score is the share of label 1 (or one half).
     Repeated rows get equal results; an empty table gives no rows; extra columns are not read.
     """
-    x = cut(text_features(docs), "features")
-    model = docs.sparkSession.sparkContext.broadcast(fit(x, labels, learn, label, sample))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, label, sample))
+    rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            s = model.value.score(values)
+            s = model.value.score(np.array([features(t.as_py()) for t in batch.column(1)], np.float64).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= good).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
