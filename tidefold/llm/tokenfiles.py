@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, replacing, shared_dir, slices
+from .common import filesystem, parts_of, replacing, shared_dir, slices
 from .tokens import encoder, vocabulary
 
 #: A file is one zstandard frame per document, in order; then the index: the frames' offsets (n + 1), ids (n, signed),
@@ -110,8 +110,8 @@ class TokenFile:
 def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int = 2, tokenizer: str = "word_bpe_49k.json", width: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes documents in ascending id order; returns the list of files: path, part, n_documents, n_tokens, dictionary.
 
-    Documents are dealt to files by ranges of their id (null first) and sorted there by id, then text; equal ids share
-    a file, repeated rows are documents of their own. Null text is empty: its document holds the end id alone. An empty
+    Documents are dealt to files by ranges of their id (null first), then text, and sorted so; equal ids follow each
+    other, repeated rows are documents of their own. Null text is empty: its document holds the end id alone. An empty
     table gives no files. Extra columns are not read. A file appears when it is whole, and a task that is run again
     writes the same one. The ids must be integers. width is the bytes of an id in the file (2 or 4).
     """
@@ -140,8 +140,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
             n, tokens = write_documents(out, (x for some in ([first], rest) for x in some), shared.value, width)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([tokens], pa.int64())], ["path", "part", "n_documents", "n_tokens"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // FILE_DOCUMENTS))
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    by = F.col("doc_id").asc_nulls_first()  # an id of many rows, or none, is parted by how its texts begin
+    dealt = rows.repartitionByRange(parts_of(rows, rows.count(), FILE_DOCUMENTS), by, F.left("text", F.lit(64)).asc_nulls_first()).sortWithinPartitions(by, F.col("text").asc_nulls_first())
     files = dealt.mapInArrow(run, "path string, part int, n_documents long, n_tokens long")
     files = files.withColumn("dictionary", F.lit(f"{folder}/{DICTIONARY}"))
     files.write.parquet(f"{folder}/files.parquet")  # written once; what follows reads this list
@@ -149,7 +149,10 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """One row per document of token files: doc_id, start, n_tokens, ids_crc32 (of 4-byte ids); files in order of part."""
+    """One row per document of token files: doc_id, start, n_tokens, ids_crc32 (of 4-byte ids); files in order of part.
+
+    A null id stays null; a document of an empty text has the end id alone; no files give no rows.
+    """
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
     dealt = files.withColumn("base", F.coalesce(before, F.lit(0))).select("path", "dictionary", "base")
     dealt = dealt.repartition(max(1, files.count()), "path")
@@ -172,6 +175,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def encode_and_read(docs: DataFrame, end_id: int = 2, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    """What read_token_files() finds in the files that write_token_files() makes of the documents; their rules hold."""
     return read_token_files(write_token_files(docs, end_id=end_id, tokenizer=tokenizer))
 
 
