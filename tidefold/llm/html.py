@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -314,22 +315,34 @@ def structures(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     Wrappers are elements that hold an <article> or <main>. blocks holds token, path, length and marks of each block.
     """
     rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).alias("html"))
-    token = pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("place", pa.int64()), ("share", pa.float64())])
-    block = pa.struct([("token", pa.int64()), ("path", pa.int64()), ("size", pa.int32()), ("marks", pa.list_(pa.int64()))])
+    token = [("token", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("place", pa.int64()), ("share", pa.float64())]
+    block = [("token", pa.int64()), ("path", pa.int64()), ("size", pa.int32()), ("marks", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens, blocks = [], []
-            for text in batch.column(2):
-                page = Page(text.as_py())
-                found, parts = tokens_of(page)
-                tokens.append([dict(zip(("token", "parent", "kind", "n", "place", "share"), v, strict=True)) for v in found])
-                blocks.append([{"token": t, "path": b.path, "size": len(b.text), "marks": b.marks} for t, b in parts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(token)), pa.array(blocks, pa.list_(block))], ["host", "page", "found", "blocks"])
+            pages = [tokens_of(Page(text.as_py())) for text in batch.column(2)]
+            found = _lists([p[0] for p in pages], token)
+            blocks = _lists([[(t, b.path, len(b.text), b.marks) for t, b in p[1]] for p in pages], block)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, blocks], ["host", "page", "found", "blocks"])
 
     return rows.mapInArrow(run, f"host string, page long, found {_FOUND}, blocks {_BLOCKS}")
 
 
+def _lists(rows: list[list], fields: list[tuple[str, pa.DataType]]) -> pa.ListArray:
+    """Lists of structs, made by field."""
+    columns = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), structs)
+
+
+def _rows(column: pa.ListArray) -> Iterator[Iterator[tuple]]:
+    """The structs of each list, as tuples."""
+    flat, at = column.flatten(), np.asarray(column.offsets)
+    fields = [flat.field(k).to_pylist() for k in range(flat.type.num_fields)]
+    for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True):
+        yield zip(*(f[a:b] for f in fields), strict=True)
+
+
 def tokens_of(page: Page) -> tuple[list[list], list[tuple[int, Block]]]:
     """Distinct tokens of a page as [token, parent, kind, n, place, share], and each block with its token."""
     around, size = page.around_article(), sum(len(b.text) for b in page.blocks)
@@ -430,16 +443,17 @@ def article_slots(pages: DataFrame, found: DataFrame, size: int) -> DataFrame:
         for batch in slices(batches):
             known: dict[str, list[frozenset]] = {}
             sums: dict[str, Counter] = {}
+            elements, blocks = (list(_rows(batch.column(c))) for c in (1, 2))
             for k, host in enumerate(batch.column(0).to_pylist()):
                 if host not in known:
                     known[host] = [frozenset(batch.column(c)[k].as_py()) for c in (3, 4, 5)]
                     sums[host] = Counter()
-                elements = dict(tuple(e.values()) for e in batch.column(1)[k].as_py())
-                sums[host] += slot_text(elements, [tuple(b.values()) for b in batch.column(2)[k].as_py()], *known[host])
+                sums[host] += slot_text(dict(elements[k]), list(blocks[k]), *known[host])
             out = [(h, p, d, n) for h, c in sums.items() for (p, d), n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int32(), pa.int64())], ["host", "path", "depth", "chars"])
 
     sums = rows.mapInArrow(run, "host string, path long, depth int, chars long").groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.max("depth").alias("depth"))
+    sums = cut(sums, "sums")  # it's read twice
     whole = sums.where("path = 0").select("host", F.col("chars").alias("whole"))
     dominant = sums.where("path <> 0").join(whole, "host").where(F.col("chars") > F.col("whole") * DOMINANT)
     return dominant.groupBy("host").agg(F.max(F.struct(-F.col("chars"), "depth", "path"))["path"].alias("article"))
