@@ -6,7 +6,11 @@ import tempfile
 from pathlib import Path
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 
+#: An error raised inside a task, however many tasks raised it at the same time.
+FAILS = (PySparkException, Py4JJavaError)
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.errors import PySparkException
+from conftest import FAILS
 from pyspark.sql import functions as F
 
 from tidefold.functions.columns import geometric_scales, longest_run
@@ -78,7 +78,7 @@ def test_scales_beyond_the_window(spark):
 
 
 def test_guards(spark):
-    with pytest.raises(PySparkException, match="non-finite"):
+    with pytest.raises(FAILS, match="non-finite"):
         fluctuation.dfa(frame(spark, [[1.0, float("nan")] * 20]), [8, 16]).collect()
     for scales in ([], [3, 8]):
         with pytest.raises(ValueError):
@@ -103,9 +103,9 @@ def test_features(spark):
     assert got[0].v == pytest.approx(np.log(x[0].var())) and np.isnan(got[1].v)
     assert got[0].s == pytest.approx(list(x[0] / 16)) and all(map(np.isnan, got[2].s))
     for column, what in ((features.log_variance("samples"), "zero variance"), (features.shape_only("samples"), "no mass")):
-        with pytest.raises(PySparkException, match=what):
+        with pytest.raises(FAILS, match=what):
             frame(spark, x).select(column).collect()
-    with pytest.raises(PySparkException, match="2 non-finite test values"):
+    with pytest.raises(FAILS, match="2 non-finite test values"):
         frame(spark, [[1.0, float("nan"), float("inf")]]).select(features.refuse_non_finite("samples", "test")).collect()
 
 
@@ -114,7 +114,7 @@ def test_windows_are_cut_from_traces(spark):
     starts = spark.createDataFrame([(1, 5), (1, 90), (1, 5)], "session int, window_from long")
     got = features.gather(traces, starts, ["session"], 10).orderBy("window_from").collect()
     assert [r.samples for r in got] == [[float(i) for i in range(a, a + 10)] for a in (5, 90)]
-    with pytest.raises(PySparkException, match="leaves its trace"):
+    with pytest.raises(FAILS, match="leaves its trace"):
         features.gather(traces, spark.createDataFrame([(1, 91)], "session int, window_from long"), ["session"], 10).collect()
 
 

@@ -26,7 +26,7 @@ def rows(frame):
     return sorted((tuple(map(clean, r)) for r in frame.itertuples(index=False)), key=lambda r: [f"{v:.4f}" if isinstance(v, float) else str(v) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.audit.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), duck.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, duck, name):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-6) for x, y in zip(r, s, strict=True)), (r, s)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(entry.audit.QUERIES) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(entry.audit.QUERIES) - set(entry.audit.ORACLE_SQL)))
 def test_query_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.errors import PySparkException
+from conftest import FAILS
 
 from tidefold.operators import selection
 
@@ -17,7 +17,7 @@ def test_names(spark):
     got = {r.electrode: (r.stem, r.num) for r in selection.parse_names(df).collect()}
     assert got == {"LT1a12": ("LT1a", 12), "A-3": ("A", -3), "7": ("", 7)}
     for bad in ("abc", "x_3"):
-        with pytest.raises(PySparkException, match="no contact number"):
+        with pytest.raises(FAILS, match="no contact number"):
             selection.parse_names(scores(spark, [(bad, 0.1)])).collect()
 
 
@@ -49,7 +49,7 @@ def test_runs_by_mean_until_the_quota(spark, quota):
 
 
 def test_unscored_run(spark):
-    with pytest.raises(PySparkException, match="no scored electrode"):
+    with pytest.raises(FAILS, match="no scored electrode"):
         selection.select_electrodes(scores(spark, [("A1", None), ("A2", float("nan"))])).collect()
 
 

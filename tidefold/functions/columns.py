@@ -27,10 +27,6 @@ def is_finite(c: str | Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def nan_to_null(c: str | Column) -> Column:
-    return F.when(~F.isnan(col(c)), col(c))
-
-
 def null_to_nan(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(float("nan")))
 
@@ -72,6 +68,11 @@ def geometric_scales(n: int, smallest: int = 8, count: int = 12, largest: int |
     return sorted({smallest, top, *map(round, inner)})
 
 
+def lookup(mapping: Column, key: str | Column, default) -> Column:
+    """What a map has for a key, or the default if it has nothing there."""
+    return F.coalesce(F.try_element_at(mapping, col(key)), F.lit(default))
+
+
 def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda total, x: total + x)
 

@@ -23,10 +23,12 @@ MARGIN = 0.02
 RESAMPLES, RHO_RESAMPLES = 10_000, 2_000
 LAG_CAP, LEAST_PAIRS = 600, 20
 STFT = {"window": 512, "overlap": 0.75, "max_hz": 150.0}
-SESSIONS = ((1, 1), (1, 2), (2, 0), (2, 4), (3, 0), (3, 1), (4, 0), (4, 1), (7, 0), (7, 1), (10, 0), (10, 1))
 PLATEAU = 8
 
 
+# Names and types of published tables' columns
+
+
 def _struct(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
@@ -41,7 +43,6 @@ DECODE_RESULT = _struct(
 )
 CELLS = _struct(model=_S, split=_S, subject=_I, trial=_I, task=_S, auroc=_D)
 ELECTRODE_MEANS = _struct(electrode=_S, mean_auroc=_D)
-WINDOWS = T.StructType([T.StructField("window", _L), T.StructField("channel", _S), T.StructField("samples", T.ArrayType(_D, False))])
 MANIFEST = T.StructType(
     [T.StructField(k, _S) for k in ("name", "url", "sha256", "downloaded_utc")] + [T.StructField("bytes", _L), T.StructField("extracted", T.BooleanType()), T.StructField("members", T.ArrayType(_S))]
 )

@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite, refuse, seconds
+from ..functions.ranks import SLICES, slice_of
 from ..model import CELL, FS
-
-#: Slices of a group's score range: ranks are counted in each, and carried over from the ones before.
-SLICES = 256
+from .features import lookup_all
 
 
 def auroc(scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", slices: int = SLICES) -> DataFrame:
@@ -24,18 +23,19 @@ def auroc(scores: DataFrame, keys: Sequence[str], score: str = "score", label: s
     first; each key's range is cut into slices that are sorted apart, so a key of any size is spread over many tasks.
     """
     keys = list(keys)
-    known = scores.where(F.col(label).isin(0, 1)).select(*keys, refuse(~is_finite(score), "a score is not finite", F.col(score).cast("double")).alias("_s"), F.col(label).alias("_l"))
+    known = scores.where(F.col(label).isin(0, 1)).select(*keys, F.coalesce(F.col(score).cast("double"), F.lit(float("nan"))).alias("_s"), F.col(label).alias("_l"))
     counts = known.groupBy(*keys, "_s").agg(F.count_if(F.col("_l") == 1).alias("_p"), F.count_if(F.col("_l") == 0).alias("_n"))
-    spans = counts.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"))
-    cut = F.least(F.floor(F.coalesce(F.try_divide(F.col("_s") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * slices), F.lit(slices - 1))
-    placed = counts.join(spans, keys).withColumn("_slice", cut)
+    spans = counts.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"), F.max(~is_finite("_s")).alias("_bad"))
+    placed = counts.join(spans, keys).withColumn("_slice", slice_of("_s", "_lo", "_hi", slices))
     by_slice = placed.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = by_slice.select(*keys, "_slice", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
     lower = Window.partitionBy(*keys, "_slice").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     pairs = placed.withColumn("_under", F.sum("_n").over(lower)).join(before, [*keys, "_slice"])
     pairs = pairs.withColumn("_w", F.col("_p") * (2 * (F.col("_before") + F.coalesce("_under", F.lit(0))) + F.col("_n")))
-    return pairs.groupBy(*keys).agg(F.try_divide(F.sum("_w").cast("double"), F.nullif(F.lit(2.0) * F.max("_pos") * F.max("_neg"), F.lit(0.0))).alias("auroc"))
+    area = F.try_divide(F.sum("_w").cast("double"), F.nullif(F.lit(2.0) * F.max("_pos") * F.max("_neg"), F.lit(0.0)))
+    areas = pairs.groupBy(*keys).agg(area.alias("_area"), F.max("_bad").alias("_bad"))  # one place raises, in the last stage
+    return areas.select(*keys, refuse(F.col("_bad"), "a score is not finite", F.col("_area")).alias("auroc"))
 
 
 def known_labels(rows: DataFrame, model_labels: DataFrame, label: str = "label") -> DataFrame:
@@ -274,9 +274,10 @@ def _decode_block(used: DataFrame, counts: list, n_train: int, n_test: int, mean
 def decode_channels(windows: DataFrame, folds: DataFrame, session: Sequence[str], keys: Sequence[str] = ("task", "fold"), samples: str = "samples") -> DataFrame:
     """Each electrode decoded alone from its raw samples: session, electrode, keys and RESULT.
 
-    windows: session, electrode, window_from, samples; folds: session, keys, role, item, label, window_from.
+    windows: session, electrode, window_from, samples; folds: session, keys, role, item, label, window_from. A window of
+    a fold that isn't there for each electrode of its session raises an error.
     """
-    rows = folds.join(windows, [*session, "window_from"]).withColumnRenamed(samples, "features")
+    rows = lookup_all(folds.join(windows.select(*session, "electrode").distinct(), list(session)), windows, [*session, "electrode", "window_from"]).withColumnRenamed(samples, "features")
     return decode_cells(rows, [*session, "electrode", *keys])
 
 

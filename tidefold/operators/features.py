@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import array_mean, array_sum, bind, col, is_finite, null_to_nan, refuse
-from ..model import PLATEAU, STFT, WINDOW_SAMPLES
+from ..model import FS, PLATEAU, Q_ALL, STFT, WINDOW_SAMPLES
+from . import fluctuation
 
 
 def variance(samples: str | Column) -> Column:
@@ -103,26 +104,65 @@ def gather(traces: DataFrame, starts: DataFrame, keys: Sequence[str], n: int = W
     return every.withColumn("samples", refuse(short, "a window leaves its trace", cut)).drop(trace)
 
 
+def lookup_all(rows: DataFrame, features: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows with the features of their key; a row whose key has none raises an error that names it, none is dropped.
+
+    Features have one row a key. A null key has none.
+    """
+    on = list(on)
+    more = [c for c in features.columns if c not in on]
+    found = rows.join(features.select(*on, F.struct(*more).alias("_found")), on, "left")
+    missing = F.concat(F.lit("no features for "), F.to_json(F.struct(*on), {"ignoreNullFields": "false"}))
+    return found.withColumn("_found", refuse(F.col("_found").isNull(), missing, F.col("_found"))).select(*rows.columns, "_found.*")
+
+
+def undefined_counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, n and n_undefined: how many values are NaN or null, to be told beside a table that keeps them."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(value).isNull() | F.isnan(value)).alias("n_undefined"))
+
+
+def extract(
+    traces: DataFrame, starts: DataFrame, keys: Sequence[str], scales: Sequence[int], q: Sequence[float] = Q_ALL, n: int = WINDOW_SAMPLES, trace: str = "trace", fs: float = FS,
+    window: int = STFT["window"], max_hz: float = STFT["max_hz"],
+) -> DataFrame:
+    """traces' columns but the trace, window_from, log_var, hq, run and spec of each window of each electrode.
+
+    A start of a session (keys) is cut from the trace of each of its electrodes. Where a window has no variance, log_var
+    and hq are NaN (undefined_counts() tells how many), and its run is the whole window. Windows are gathered by a join;
+    all else stays in their row.
+    """
+    windows = gather(traces, starts, keys, n, trace)
+    rows = fluctuation.flat_run(windows.withColumn("log_var", log_variance("samples", "nan")))
+    rows = fluctuation.hq_of_order(rows, scales, q, 1)
+    constant = F.isnan("log_var")
+    rows = rows.withColumn("hq", F.transform("hq", lambda h: F.when(constant, F.lit(float("nan"))).otherwise(h)))
+    return spectrogram(rows, fs=fs, window=window, max_hz=max_hz).drop("samples")
+
+
 def spectrogram(windows: DataFrame, samples: str = "samples", fs: float = 2048.0, window: int = STFT["window"], overlap: float = STFT["overlap"], max_hz: float = STFT["max_hz"]) -> DataFrame:
     """Windows with spec: magnitudes of a centred Hann short-time Fourier transform, by time, then frequency.
 
-    Edges are padded with zeros. The transform is this library's own; equality with another's is not claimed.
+    Edges are padded with zeros. Windows of one length are transformed together; a null window has a null spec. The
+    transform is this library's own; equality with another's is not claimed.
     """
     hop = max(1, round(window * (1 - overlap)))
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
     bins = int((np.fft.rfftfreq(window, 1 / fs) <= max_hz).sum())
-
-    @F.pandas_udf("array<array<double>>")
-    def spec(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in batches:
-            out = []
-            for x in some:
-                padded = np.pad(np.asarray(x, float), window // 2)
-                frames = np.lib.stride_tricks.sliding_window_view(padded, window)[::hop]
-                out.append((np.abs(np.fft.rfft(frames * taper, axis=1))[:, :bins] / taper.sum()).tolist())
-            yield pd.Series(out)
-
-    return windows.withColumn("spec", spec(F.col(samples)))
+    place = windows.columns.index(samples)
+    rows = windows.drop("spec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, at = [], np.full(batch.num_rows, -1)
+            for some, x in fluctuation.by_length(batch.column(place)):
+                frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (window // 2, window // 2))), window, axis=1)[:, ::hop]
+                at[some] = sum(map(len, parts)) + np.arange(len(some))
+                parts.append(fluctuation.lists(np.abs(np.fft.rfft(frames * taper, axis=2))[:, :, :bins] / taper.sum()).cast(kind))
+            made = pa.chunked_array(parts, kind).combine_chunks().take(pa.array(at, mask=at < 0)) if parts else pa.nulls(batch.num_rows, kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "spec"])
+
+    kind = pa.list_(pa.list_(pa.float64()))
+    return rows.mapInArrow(run, rows.select("*", F.lit(None).cast("array<array<double>>").alias("spec")).schema)
 
 
 def region_means(features: DataFrame, regions: DataFrame, shared: DataFrame, keys: Sequence[str], feature: str = "value") -> DataFrame:

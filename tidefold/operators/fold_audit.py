@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import seconds
+from ..functions.ranks import numbered, quantiles
 from ..model import CELL, DATASET, FS
 
 
@@ -87,9 +88,8 @@ def train_test_adjacency(
 
 
 def median_cut(rows: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """Rows with the exact interpolated median of a column within their keys; by aggregation, not by gathering rows."""
-    cuts = rows.groupBy(*keys).agg(F.median(column).alias(name))
-    return rows.join(cuts, list(keys))
+    """Rows with the exact interpolated median of a column within their keys; values are counted and sorted in slices."""
+    return rows.join(quantiles(rows, keys, F.col(column), {name: 0.5}), list(keys))
 
 
 def common_time_folds(items: DataFrame, time_col: str = "window_from", id_col: str = "base_index", dataset: Sequence[str] = DATASET) -> DataFrame:
@@ -109,7 +109,15 @@ def common_time_folds(items: DataFrame, time_col: str = "window_from", id_col: s
 
 
 def number_items(rows: DataFrame, time_col: str, id_col: str, keys: Sequence[str]) -> DataFrame:
-    return rows.withColumn("item", F.row_number().over(Window.partitionBy(*keys).orderBy(time_col, id_col)) - 1)
+    return numbered(rows, keys, (time_col, id_col), "item")
+
+
+def single_source(index: DataFrame, cell: Sequence[str] = CELL, source: Sequence[str] = ("src_subject", "src_trial")) -> DataFrame:
+    """cell, role and source of the train and test rows of each cell; a cell whose role has several sources raises an error."""
+    rows = _keyed(index, cell).where(F.col("role").isin("train", "test"))
+    ends = rows.groupBy(*cell, "role").agg(F.min(F.struct(*source)).alias("_a"), F.max(F.struct(*source)).alias("_b"))
+    one = F.when(F.col("_a").eqNullSafe(F.col("_b")), F.col("_a")).otherwise(F.raise_error(F.concat(F.lit("cell "), F.to_json(F.struct(*cell, "role")), F.lit(": several source sessions"))))
+    return ends.withColumn("_a", one).select(*cell, "role", *[F.col(f"_a.{c}").alias(c) for c in source])
 
 
 def fold_quality(index: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:

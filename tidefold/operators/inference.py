@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
+from ..functions.ranks import quantiles
 from ..model import MARGIN, RESAMPLES, RHO_RESAMPLES, SESSION
 
 
@@ -58,10 +59,10 @@ def in_all(table: DataFrame, models: Sequence[str], keys: Sequence[str] = SESSIO
 def reproduction_stats(mine: DataFrame, published: DataFrame, on: Sequence[str], value: str = "auroc", within: float = 0.01) -> DataFrame:
     """One row: cells that both have, the largest and median absolute difference, and how many lie within."""
     both = mine.select(*on, F.col(value).alias("_mine")).join(published.select(*on, F.col(value).alias("_pub")), list(on))
-    diff = F.abs(F.col("_mine") - F.col("_pub"))
-    return both.agg(
-        F.count("*").alias("cells"), F.max(diff).alias("max_abs_diff"), F.median(diff).alias("median_abs_diff"), F.count_if(diff <= within).alias(f"within_{within:g}".replace(".", "p"))
-    )
+    both = both.select(F.lit(1).alias("_all"), F.abs(F.col("_mine") - F.col("_pub")).alias("_d"))
+    counts = both.groupBy("_all").agg(F.count("*").alias("cells"), F.max("_d").alias("max_abs_diff"), F.count_if(F.col("_d") <= within).alias(f"within_{within:g}".replace(".", "p")))
+    middle = quantiles(both, ["_all"], F.col("_d"), {"median_abs_diff": 0.5})
+    return counts.join(middle, "_all").select("cells", "max_abs_diff", "median_abs_diff", f"within_{within:g}".replace(".", "p"))
 
 
 def abs_deviation(cells: DataFrame, keys: Sequence[str] = SESSION, chance: float = 0.5) -> DataFrame:
@@ -71,7 +72,7 @@ def abs_deviation(cells: DataFrame, keys: Sequence[str] = SESSION, chance: float
 
 def median_by(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Median of what isn't NaN, by key, ascending."""
-    return rows.groupBy(*keys).agg(F.median(F.when(~F.isnan(value), F.col(value))).alias(name)).orderBy(name, *keys)
+    return quantiles(rows, keys, F.col(value), {name: 0.5}).orderBy(name, *keys)
 
 
 def mid_rank(column: str, keys: Sequence[str] = ()) -> Column:
@@ -94,15 +95,14 @@ def spearman(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataF
 
 def replicate_summary(rows: DataFrame, keys: Sequence[str], truth: str, value: str, error: str, spread: str) -> DataFrame:
     """Per key: the truth, bias, sample SD, RMSE, and median and 95 % quantile of a spread."""
-    return rows.groupBy(*keys).agg(
-        F.first(truth).alias("truth"), F.avg(error).alias("bias"), F.stddev_samp(value).alias("sd"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"),
-        F.median(spread).alias("median"), F.percentile(spread, F.lit(0.95)).alias("p95"),
-    )
+    sums = rows.groupBy(*keys).agg(F.first(truth).alias("truth"), F.avg(error).alias("bias"), F.stddev_samp(value).alias("sd"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"))
+    return sums.join(quantiles(rows, keys, F.col(spread), {"median": 0.5, "p95": 0.95}), list(keys))
 
 
 def extent(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Least, median and largest value by key, such as a solver's iterations by rung."""
-    return rows.groupBy(*keys).agg(F.min(value).alias("least"), F.median(value).alias("median"), F.max(value).alias("largest"))
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("largest"))
+    return ends.join(quantiles(rows, keys, F.col(value), {"median": 0.5}), list(keys)).select(*keys, "least", "median", "largest")
 
 
 def suffix_means(rows: DataFrame, suffix: str = "jaccard") -> DataFrame:
@@ -127,6 +127,47 @@ def inflation(circular: DataFrame, crossfit: DataFrame, n_tasks: int = 15) -> Da
     return a.join(b, ["model", *SESSION]).withColumn("diff", F.col("circular") - F.col("crossfit"))
 
 
+def compare(cells: DataFrame, a: str, b: str, n_tasks: int = 15, name: str | None = None, resamples: int = RESAMPLES) -> DataFrame:
+    """One row of a paired comparison: comparison, a, b, n_sessions, sessions_dropped, mean_diff, ci_lo, ci_hi.
+
+    Sessions count where both models have all tasks; sessions_dropped are those that just one of them has, as "subject_trial"
+    by subject and trial. A pair without a common session gives no row.
+    """
+    name = name or f"{a}-{b}"
+    overall = session_overall(cells.where(F.col("model").isin(a, b)), n_tasks)
+    interval = hier_boot(paired_difference(overall, a, b).withColumn("comparison", F.lit(name)), resamples=resamples)
+    tags = F.transform(F.array_sort(F.collect_list(F.struct(*SESSION))), lambda s: F.concat_ws("_", s[SESSION[0]], s[SESSION[1]]))
+    dropped = keys_dropped(overall, a, b).agg(tags.alias("sessions_dropped")).withColumn("comparison", F.lit(name))
+    both = interval.join(dropped, "comparison")
+    return both.select("comparison", F.lit(a).alias("a"), F.lit(b).alias("b"), "n_sessions", "sessions_dropped", F.col("mean").alias("mean_diff"), "ci_lo", "ci_hi")
+
+
+def compare_tasks(cells: DataFrame, a: str, b: str, tau: DataFrame | None = None, prefix: str = "fig", resamples: int = RESAMPLES) -> DataFrame:
+    """task, n_sessions, mean, ci_lo, ci_hi of the paired difference in each task, and tau (task, tau) where it's given.
+
+    With tau, rows are in order of it, then of the mean; a task without one comes last, its tau null.
+    """
+    diff = paired_difference(cells, a, b, (*SESSION, "task"))
+    out = hier_boot(diff.withColumn("comparison", F.concat(F.lit(f"{prefix}_{a}_{b}_"), "task")), resamples=resamples)
+    out = out.withColumn("task", F.substring("comparison", len(f"{prefix}_{a}_{b}_") + 1, 1 << 30)).select("task", "n_sessions", "mean", "ci_lo", "ci_hi")
+    if tau is None:
+        return out
+    return out.join(tau.select("task", "tau"), "task", "left").orderBy(F.col("tau").asc_nulls_last(), "mean")
+
+
+def converged_minus_default(default: DataFrame, converged: DataFrame, n_tasks: int = 15, suffix: str = "_conv", resamples: int = RESAMPLES) -> DataFrame:
+    """model, n_sessions, mean, ci_lo, ci_hi, default, converged: what a tighter tolerance adds to each model's scores.
+
+    default and converged are the means over the sessions that have all tasks at both.
+    """
+    both = session_overall(default.unionByName(with_suffix(converged, suffix), allowMissingColumns=True), n_tasks)
+    late = both.where(F.col("model").endswith(suffix)).select(F.substring("model", 1, F.length("model") - len(suffix)).alias("model"), *SESSION, F.col("auroc").alias("_late"))
+    pairs = both.join(late, ["model", *SESSION]).withColumn("diff", F.col("_late") - F.col("auroc"))
+    means = pairs.groupBy("model").agg(F.avg("auroc").alias("default"), F.avg("_late").alias("converged"))
+    rows = hier_boot(pairs.withColumn("comparison", F.concat(F.lit("D4_"), "model")), resamples=resamples).withColumn("model", F.substring("comparison", 4, 1 << 30))
+    return rows.join(means, "model").select("model", "n_sessions", "mean", "ci_lo", "ci_hi", "default", "converged")
+
+
 def contrast(differences: DataFrame, plus: Sequence[str] = ("L1", "L5"), minus: Sequence[str] = ("L2", "L4")) -> DataFrame:
     """Per session that has all of them: the mean difference of some models minus that of others."""
     wide = in_all(differences.select("model", *SESSION, F.col("diff").alias("auroc")), [*plus, *minus])
@@ -144,11 +185,8 @@ def off_chance(lo: str = "ci_lo", hi: str = "ci_hi", chance: float = 0.5) -> Col
 
 def _draws(rng: np.random.Generator, groups: dict) -> list:
     """One resample: groups with replacement, then members of each drawn group. The order of draws is part of the result."""
-    names, out = sorted(groups), []
-    for g in rng.choice(names, size=len(names), replace=True):
-        members = groups[g]
-        out.extend(rng.choice(members, size=len(members), replace=True))
-    return out
+    members = [groups[g] for g in sorted(groups)]
+    return [v for k in rng.integers(0, len(members), len(members)) for v in members[k][rng.integers(0, len(members[k]), len(members[k]))].tolist()]
 
 
 def hier_boot(values: DataFrame, name: str = "comparison", value: str = "diff", resamples: int = RESAMPLES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,3 +79,17 @@ def keep_known(ordered: DataFrame, known: DataFrame, column: str = "electrode")
 def unknown(wanted: DataFrame, known: DataFrame, column: str = "electrode") -> DataFrame:
     """Wanted electrodes that aren't known."""
     return wanted.join(known.select(column), column, "left_anti")
+
+
+def only_sessions(rows: DataFrame, tags: Sequence[str], subject: str = "subject", trial: str = "trial") -> DataFrame:
+    """Rows of the sessions in a list of tags such as "1_2"; a tag that names none is an error."""
+    found = [re.fullmatch(r"[A-Za-z]*(\d+)_t?(\d+)", t.strip()) for t in tags]
+    if None in found:
+        raise ValueError(f"not a session: {tags[found.index(None)]!r}")
+    wanted = [F.struct(F.lit(int(m[1])).alias("a"), F.lit(int(m[2])).alias("b")) for m in found]
+    return rows.where(F.struct(F.col(subject).cast("int").alias("a"), F.col(trial).cast("int").alias("b")).isin(*wanted) if wanted else F.lit(False))
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order: for looking at, a limit that is the feature."""
+    return rows.orderBy(*order).limit(n)

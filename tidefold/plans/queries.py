@@ -5,9 +5,7 @@ Doubles are rounded to six decimals on both sides: sums differ in their last bit
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind, geometric_scales, is_finite
@@ -15,9 +13,8 @@ from ..model import CELL, SESSION
 from ..operators import decoding, features, fluctuation, fold_audit, inference, selection, timescale
 from ..sources import synthetic
 from . import adapters as A
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
+from .sql import C4, EM, EV, FI, LI, PA, PR, PROFILES
 
 HORIZONS = (60, 600, 3600)
 SCALES = (8, 9, 10, 11, 12, 13, 14, 16)
@@ -26,51 +23,6 @@ TASKS = 7
 HOURS = 720
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c: str | Column, name: str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
-
-
-C4 = "test_subject, test_trial, task, fold"
-EV = """ev AS (SELECT (user_id % 6)::INT AS test_subject, ((user_id // 6) % 2)::INT AS test_trial, event_type AS task, event_id AS base_index,
-  CAST(floor((epoch_us(ts) - 1704067200000000) * 2048 / 1000000.0) AS BIGINT) AS window_from, (value >= 35)::INT AS label, value FROM events)"""
-FI = (
-    EV
-    + """, h AS (SELECT *, ntile(2) OVER (PARTITION BY test_subject, test_trial, task, label ORDER BY window_from, base_index) - 1 AS h FROM ev),
-q AS (SELECT *, ntile(2) OVER (PARTITION BY test_subject, test_trial, task, label, h ORDER BY window_from, base_index) AS q FROM h),
-fi AS (SELECT test_subject, test_trial, task, h::INT AS fold, CASE WHEN q = 1 THEN 'val' ELSE 'test' END AS role, base_index, window_from, label FROM q
-  UNION ALL SELECT test_subject, test_trial, task, (1 - h)::INT, 'train', base_index, window_from, label FROM q)"""
-)
-LI = """dec AS (SELECT l_returnflag AS model, (l_suppkey % 6)::INT AS subject, ((l_suppkey // 6) % 2)::INT AS trial, l_linenumber::VARCHAR AS task, (l_orderkey % 2)::INT AS fold, l_discount * 10 AS x FROM lineitem),
-cells AS (SELECT model, subject, trial, task, avg(x) AS auroc FROM dec GROUP BY ALL),
-ov AS (SELECT model, subject, trial, avg(auroc) AS auroc FROM cells GROUP BY ALL HAVING count(DISTINCT task) = 7)"""
-PA = """el AS (SELECT p_type || (b * 4 + least(p_size % 5, b % 4))::VARCHAR AS electrode, avg(p_retailprice) AS mean_auroc
-  FROM (SELECT *, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS b FROM part) x GROUP BY 1),
-na AS (SELECT electrode, mean_auroc, regexp_extract(electrode, '^(.*[A-Za-z])([0-9]+)$', 1) AS stem, regexp_extract(electrode, '^(.*[A-Za-z])([0-9]+)$', 2)::INT AS num FROM el),
-br AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM na b WHERE b.stem = a.stem AND b.num = a.num - 1) AS starts FROM na a),
-st AS (SELECT *, (SELECT max(b.num) FROM br b WHERE b.stem = a.stem AND b.starts AND b.num <= a.num) AS lo FROM br a),
-rn AS (SELECT stem, lo, count(*) AS len, max(num) AS hi, avg(mean_auroc) AS perf FROM st GROUP BY stem, lo)"""
-EM = """em AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
-PR = (
-    EM
-    + """, mu AS (SELECT vec_id, avg(x) AS m FROM em GROUP BY vec_id),
-pr AS (SELECT e.vec_id, i, sum(x - m) OVER (PARTITION BY e.vec_id ORDER BY i) AS y FROM em e JOIN mu ON e.vec_id = mu.vec_id),
-sg AS (SELECT vec_id, s AS scale, i // s AS segment, i % s AS t, y FROM pr, (SELECT unnest([8, 9, 10, 11, 12, 13, 14, 16]) AS s) z WHERE i < (64 // s) * s),
-rw AS (SELECT vec_id, scale, segment, sqrt(greatest(regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t), 0) / count(*)) AS r FROM sg GROUP BY ALL),
-fl AS (SELECT vec_id, scale, coalesce(median(CASE WHEN r > 0 THEN r END) * 0.001, 0) AS f FROM rw GROUP BY ALL),
-rm AS (SELECT rw.vec_id, rw.scale, segment, greatest(r, f, 2.220446049250313e-16::DOUBLE) AS rms FROM rw JOIN fl ON rw.vec_id = fl.vec_id AND rw.scale = fl.scale)"""
-)
-
-
 # Fold audit
 
 
@@ -396,17 +348,48 @@ def plateau_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.exclusion_counts(features.keep_unflat(fluctuation.flat_run(_quantised(spark, sf_dir)), ["vec_id"]))
 
 
-@query()
+ORDER2 = (
+    PROFILES
+    + """, sg AS (SELECT vec_id, s AS scale, i // s AS segment, i % s - (s - 1) / 2.0::DOUBLE AS t, s::DOUBLE AS s, y FROM pr, (SELECT unnest([8, 9, 10, 11, 12, 13, 14, 16]) AS s) z WHERE i < (64 // s) * s),
+-- a line and a parabola that is orthogonal to it
+rw AS (SELECT vec_id, scale, segment, sqrt(greatest(regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t) - regr_sxy(y, t * t - (s * s - 1) / 12) * regr_sxy(y, t * t - (s * s - 1) / 12) / regr_sxx(y, t * t - (s * s - 1) / 12), 0) / count(*)) AS r FROM sg GROUP BY ALL),
+fl AS (SELECT vec_id, scale, coalesce(median(CASE WHEN r > 0 THEN r END) * 0.001, 0) AS f FROM rw GROUP BY ALL),
+rm AS (SELECT rw.vec_id, rw.scale, segment, greatest(r, f, 2.220446049250313e-16::DOUBLE) AS rms FROM rw JOIN fl ON rw.vec_id = fl.vec_id AND rw.scale = fl.scale)"""
+)
+
+
+def _hq_sql(rms: str, moments: str) -> str:
+    """Exponents by moment from a table rm of segment RMS; 0 is the geometric mean."""
+    return f"""WITH {rms}, m AS (SELECT vec_id, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(rms))) ELSE pow(avg(pow(rms, q)), 1 / nullif(q, 0)) END AS f FROM rm, (SELECT unnest([{moments}]::DOUBLE[]) AS q) z GROUP BY vec_id, scale, q)
+SELECT vec_id, q, round(regr_slope(log2(f + 2.220446049250313e-16::DOUBLE), log2(scale)), 6) AS h FROM m GROUP BY vec_id, q"""
+
+
+def _by_q(hq: DataFrame, q: tuple[float, ...]) -> DataFrame:
+    rows = hq.select("vec_id", F.explode(F.arrays_zip(F.array(*[F.lit(k) for k in q]).alias("q"), F.col("hq").alias("h"))).alias("z"))
+    return rows.select("vec_id", "z.q", r6("z.h", "h"))
+
+
+@query(_hq_sql(ORDER2, "1, 2, 3, 5"))
 def order2_hq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponents with quadratic detrending, in numpy; tested against order 1 and known exponents."""
-    return fluctuation.hq_of_order(A.windows(spark, sf_dir), SCALES, Q, 2).select("vec_id", F.posexplode("hq").alias("k", "h"))
+    """Exponents with quadratic detrending, in numpy."""
+    return _by_q(fluctuation.hq_of_order(A.windows(spark, sf_dir), SCALES, Q, 2), Q)
 
 
-@query()
+@query(_hq_sql(PR, "-5, -3, -2, -1, 0"))
+def negative_hq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exponents of moments of 0 and below; vectors have no plateaus."""
+    q = (-5.0, -3.0, -2.0, -1.0, 0.0)
+    return _by_q(fluctuation.hq_of_order(A.windows(spark, sf_dir), SCALES, q, 1), q)
+
+
+@query(f"""WITH {EM}, fr AS (SELECT vec_id, f.f, t.t, coalesce(x, 0) * (0.5 - 0.5 * cos(2 * pi() * t.t / 16)) AS v FROM (SELECT DISTINCT vec_id FROM em) d, (SELECT unnest(range(17)) AS f) f, (SELECT unnest(range(16)) AS t) t
+  LEFT JOIN em ON em.vec_id = d.vec_id AND em.i = f.f * 4 + t.t - 8)
+SELECT vec_id, f::INT AS frame, k::INT AS k, round(sqrt(pow(sum(v * cos(2 * pi() * k * t / 16)), 2) + pow(sum(v * sin(2 * pi() * k * t / 16)), 2)) / 8, 6) AS magnitude FROM fr, (SELECT unnest(range(9)) AS k) k GROUP BY vec_id, f, k""".replace("SELECT vec_id, f.f", "SELECT d.vec_id, f.f"))
 def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short-time spectra of vectors as windows of 64 samples; this library's own transform."""
     spec = features.spectrogram(A.windows(spark, sf_dir), fs=64.0, window=16, overlap=0.75, max_hz=32.0)
-    return spec.select("vec_id", F.posexplode("spec").alias("frame", "magnitudes"))
+    frames = spec.select("vec_id", F.posexplode("spec").alias("frame", "m"))
+    return frames.select("vec_id", "frame", F.posexplode("m").alias("k", "v")).select("vec_id", "frame", "k", r6("v", "magnitude"))
 
 
 @query()

@@ -12,24 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import float_key, parse_tag
-from ..model import CELLS, DECODE_RESULT, ELECTRODE_MEANS, FOLD_INDEX, MANIFEST
+from ..model import CELLS, DECODE_RESULT, ELECTRODE_MEANS, FOLD_INDEX, LEADERBOARD, MANIFEST
 
 
-def _csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """CSV files with a header, columns found by name: those of the schema that a file lacks are null.
-
-    Only the header's names are looked at beforehand; a folder's files must agree on them.
-    """
-    names = spark.read.option("header", True).csv(path).columns
-    kinds = {f.name: f.dataType for f in schema}
-    read = spark.read.option("header", True).schema(T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])).csv(path)
-    return read.select(*[F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+def _paths(spark: SparkSession, path: str) -> list:
+    """Files that a path or pattern names, or that lie in the folders it names, by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for f in files.globStatus(at) or []]
+    inside = [g for f in found for g in (files.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    return sorted(f.getPath().toString() for f in inside if f.isFile() and f.getPath().getName()[0] not in "._")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
-    return bool(found)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV files with a header, columns found by name in each file: those of the schema that a file lacks are null.
+
+    Files are grouped by their header (a job of one line a file) and each group is read with its own columns, so files of
+    one folder may differ. Columns beyond the schema aren't read. No file, or none with a header, gives no rows.
+    """
+    by_header: dict[tuple, list[str]] = {}
+    for file in _paths(spark, path):
+        by_header.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
+    kinds, out = {f.name: f.dataType for f in schema}, None
+    for names, files in by_header.items():
+        read = spark.read.option("header", True).schema(T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])).csv(files)
+        some = read.select(*[F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+        out = some if out is None else out.unionByName(some)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def read_index(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -40,8 +54,7 @@ def read_index(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 def read_decoded(spark: SparkSession, folder: str, pattern: str = "L*.csv") -> DataFrame:
     """All decoding results of a folder; no rows where it has none."""
-    path = f"{folder.rstrip('/')}/{pattern}"
-    return _csv(spark, path, DECODE_RESULT) if _exists(spark, path) else spark.createDataFrame([], DECODE_RESULT)
+    return _csv(spark, f"{folder.rstrip('/')}/{pattern}", DECODE_RESULT)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -55,15 +68,9 @@ def read_electrode_means(spark: SparkSession, folder: str, pattern: str = "elect
     return means.select("_s.subject", "_s.trial", "electrode", "mean_auroc")
 
 
-_FOLDS = T.StructType([T.StructField("folds", T.ArrayType(T.StructType([T.StructField("test_roc_auc", T.DoubleType())])))])
-_LEADERBOARD = T.StructType(
-    [T.StructField("evaluation_results", T.MapType(T.StringType(), T.StructType([T.StructField("population", T.StructType([T.StructField("one_second_after_onset", _FOLDS)]))])))]
-)
-
-
 def read_leaderboard(spark: SparkSession, path: str, model: str, split: str) -> DataFrame:
     """CELLS rows of a published model: JSON files named after the task, sessions as keys, mean over folds."""
-    files = spark.read.schema(_LEADERBOARD).option("multiLine", True).json(path)
+    files = spark.read.schema(LEADERBOARD).option("multiLine", True).json(path)
     task = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1), "^population_", "")
     rows = files.select(task.alias("task"), F.explode("evaluation_results").alias("tag", "r")).withColumn("_s", parse_tag("tag"))
     scores = F.transform("r.population.one_second_after_onset.folds", lambda f: f["test_roc_auc"])
@@ -85,9 +92,13 @@ def read_keyed_numbers(spark: SparkSession, path: str, value: str, name: str = "
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The last row of each name of a JSON-lines log; "last" is by time, then by place in the log."""
-    rows = spark.read.schema(MANIFEST).json(path).withColumn("_at", F.monotonically_increasing_id())
-    best = F.max_by(F.struct(*[f.name for f in MANIFEST]), F.struct("downloaded_utc", "_at")).alias("m")
+    """The last row of each name of a JSON-lines log, by place: later files, then later lines of a file.
+
+    Files follow each other by when they were written, then by name; what append_log() adds comes last.
+    """
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    rows = spark.read.schema(MANIFEST).json(path).select("*", place.alias("_at")).where(F.col("name").isNotNull())
+    best = F.max_by(F.struct(*[f.name for f in MANIFEST]), "_at").alias("m")
     return rows.groupBy("name").agg(best).select("m.*")
 
 
@@ -97,7 +108,10 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arrays(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
-    """path, row and values (flattened) of the first axis of .npy files; files are read on the executors."""
+    """path, row and values (flattened) of the first axis of .npy files; files are read on the executors.
+
+    A file is one binary value, so 2 GB at most; larger arrays come as Parquet.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

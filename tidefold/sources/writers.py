@@ -3,14 +3,42 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import _exists
 
 
+_local: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which a cluster shares; a local session without one gets a folder of its own."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local.setdefault(spark.sparkContext.applicationId, tempfile.TemporaryDirectory(prefix="tidefold-", ignore_cleanup_errors=True)).name
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file of the driver's, in any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
 def write_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
     """Replaces a folder of CSV files with headers."""
     rows.write.mode("overwrite").option("header", True).option("compression", compression).csv(path)
@@ -44,3 +72,14 @@ def write_document(results: DataFrame, path: str, key: str) -> None:
 def write_numbers(rows: DataFrame, path: str) -> None:
     """The numbers behind a figure, as JSON records."""
     rows.write.mode("overwrite").json(path)
+
+
+def stamped(rows: DataFrame, column: str = "downloaded_utc") -> DataFrame:
+    """Rows with the time of the query in UTC, to the second: 2026-01-31T12:00:00+00:00."""
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return rows.withColumn(column, F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines in a folder; files that are there stay as they are. read_manifest() reads it."""
+    rows.write.mode("append").json(path)
