@@ -152,13 +152,13 @@ def sensitivity_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "s_max", "polynomial", r6(F.col("hq")[0], "h2"))
 
 
-@query("""SELECT user_id % 50 AS "window", event_type AS region, round(avg(value), 6) AS value FROM events WHERE event_type IN (SELECT event_type FROM events WHERE user_id % 2 = 0 INTERSECT SELECT event_type FROM events WHERE user_id % 2 = 1) GROUP BY ALL""")
+@query("""SELECT user_id % 50 AS "window", event_type AS region, round(avg(value / 3), 6) AS value FROM events WHERE event_type IN (SELECT event_type FROM events WHERE user_id % 2 = 0 INTERSECT SELECT event_type FROM events WHERE user_id % 2 = 1) GROUP BY ALL""")
 def averaged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values averaged over the electrodes of regions that both subjects have: users as electrodes, kinds as regions."""
+    """Values (a third, so that means aren't halves of the last digit kept) averaged over the electrodes of regions that both subjects have: users as electrodes, kinds as regions."""
     e = A.table(spark, sf_dir, "events")
     of = lambda k: e.where(F.col("user_id") % 2 == k).select(F.col("event_type").alias("region")).distinct()
     electrode = F.concat_ws("-", "event_type", "user_id")
-    rows = e.select((F.col("user_id") % 50).alias("window"), electrode.alias("electrode"), "value")
+    rows = e.select((F.col("user_id") % 50).alias("window"), electrode.alias("electrode"), (F.col("value") / 3).alias("value"))
     regions = e.select(electrode.alias("electrode"), F.col("event_type").alias("region")).distinct()
     return features.region_means(rows, regions, of(0).intersect(of(1)), ["window"]).select("window", "region", r6("value", "value"))
 
@@ -168,7 +168,7 @@ def averaged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = """wd AS (SELECT l_suppkey % 3 AS session, l_orderkey * 10 + l_linenumber AS est_idx, l_linenumber, l_orderkey, l_quantity, l_discount, l_tax, l_extendedprice FROM lineitem)"""
 
 
-@query(f"""WITH {WORDS}, v AS (SELECT session, est_idx, l_quantity AS volume, l_discount AS delta_volume, l_tax AS gpt2_surprisal,
+@query(f"""WITH {WORDS}, v AS (SELECT session, est_idx, l_quantity AS volume, l_discount / 3 AS delta_volume, l_tax AS gpt2_surprisal,
   (l_linenumber = 1)::INT::DOUBLE AS onset, (l_linenumber > 2)::INT::DOUBLE AS face_num, (l_linenumber = 1)::INT::DOUBLE AS word_index, (l_quantity::INT % 2 = 0)::INT::DOUBLE AS word_head_pos, (l_quantity > 25)::INT::DOUBLE AS word_part_speech,
   CASE WHEN lag(l_orderkey) OVER w = l_orderkey THEN est_idx::DOUBLE - (lag(est_idx) OVER w + 0.5) END AS word_gap, 1.0::DOUBLE AS speech FROM wd WINDOW w AS (PARTITION BY session ORDER BY est_idx))
 SELECT task, count(*) AS n, count(value) AS known, round(avg(value), 6) AS mean FROM (UNPIVOT v ON volume, delta_volume, gpt2_surprisal, onset, face_num, word_index, word_head_pos, word_part_speech, word_gap, speech INTO NAME task VALUE value) u GROUP BY task
@@ -179,7 +179,7 @@ def task_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (c("l_orderkey") * 10 + c("l_linenumber")).cast("double")
     words = x.select(
         (c("l_suppkey") % 3).alias("session"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("est_idx"), c("l_orderkey").alias("sentence"), at.alias("start"), (at + 0.5).alias("end"),
-        c("l_quantity").alias("rms"), c("l_discount").alias("delta_rms"), c("l_tax").alias("gpt2_surprisal"), F.when(c("l_linenumber") == 1, 1).otherwise(0).alias("is_onset"),
+        c("l_quantity").alias("rms"), (c("l_discount") / 3).alias("delta_rms"), c("l_tax").alias("gpt2_surprisal"), F.when(c("l_linenumber") == 1, 1).otherwise(0).alias("is_onset"),
         F.when(c("l_linenumber") > 2, 1).otherwise(0).alias("face_num"), (c("l_linenumber") - 1).alias("idx_in_sentence"), (c("l_quantity").cast("int") % 2).alias("bin_head"),
         F.when(c("l_quantity") > 25, "VERB").otherwise("NOUN").alias("pos"), *[F.lit(None).cast("double").alias(n) for n in ("mean_pixel_brightness", "max_global_magnitude", "max_vector_magnitude", "word_length")],
     )
