@@ -178,14 +178,14 @@ def rejected(model: Model, texts: list[str | None]) -> float:
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows where `learn` holds and text and lang are there: about `sample` documents of each language.
 
-    Rows are chosen by a hash of their id against the language's count, and one row more by a hash of id and text, so
-    that each language has a row. They are reduced to subword counts on the executors: what comes to the driver is
+    Rows are chosen by a hash of their id and text against the language's count, so an id that many rows share isn't
+    taken or left whole, and the row of the least hash is always taken, so that each language has a row. They are reduced to subword counts on the executors: what comes to the driver is
     bounded by MOST (or LEAST x languages) x BUCKETS, however long the texts. Every language found is learned. Every
     fifth sampled document is held for calibration, unless its language has no other.
     """
     spark = docs.sparkSession
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    places = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    places = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "text")).alias("first")).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     got = chosen.mapInArrow(run, f"doc_id {kind}, lang string, whole binary, part binary").toLocalIterator()
     taken = dict.fromkeys(languages, 0)
     some = []
-    for r in got:  # about `sample` a language; rows of one id fall together, and twice as many are the bound
+    for r in got:  # about `sample` a language; equal rows fall together, and twice as many are the bound
         if taken[r["lang"]] < 2 * sample:
             taken[r["lang"]] += 1
             some.append((str(r["doc_id"]), r["lang"], bytes(r["whole"]), bytes(r["part"])))
