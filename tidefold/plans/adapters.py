@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import FS
+from ..sources import writers
 
 #: Start of the events, in microseconds.
 EPOCH_US = 1704067200000000
@@ -43,6 +44,13 @@ def fold_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("test_subject", "test_trial", "task", F.col("_s.fold").cast("int").alias("fold"), "_s.role", "base_index", "window_from", "label")
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as the table that it is to an audit: several branches of a plan read it, and none makes it again."""
+    path = writers.scratch(spark, "index")
+    fold_index(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, subject, trial, task, auroc from order lines: 3 models, 12 sessions, 7 tasks."""
     rows = decoded(spark, sf_dir)

@@ -36,7 +36,7 @@ SELECT a.test_subject, a.test_trial, a.task, a.fold, round(avg(CASE WHEN w < (SE
    OR w > (SELECT min(m) FROM (SELECT max(w) AS m FROM t b WHERE b.test_subject = a.test_subject AND b.test_trial = a.test_trial AND b.task = a.task AND b.fold = a.fold GROUP BY label) x) THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS single_class_share
 FROM t a GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT label) = 2""")
 def single_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = fold_audit.single_class_share(A.fold_index(spark, sf_dir), missing="drop")
+    shares = fold_audit.single_class_share(A.stored_index(spark, sf_dir), missing="drop")
     return shares.select(*CELL, r6("single_class_share", "single_class_share"))
 
 
@@ -44,7 +44,7 @@ def single_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
    WHERE b.role = 'train' AND b.test_subject = a.test_subject AND b.test_trial = a.test_trial AND b.task = a.task AND b.fold = a.fold) AS near FROM fi a WHERE a.role = 'test')
 SELECT {C4}, {", ".join(f"round(avg(CASE WHEN near < {w} THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS within_{w}s" for w in HORIZONS)} FROM n GROUP BY ALL""")
 def train_test_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = fold_audit.train_test_adjacency(A.fold_index(spark, sf_dir), HORIZONS, bucket_seconds=86_400.0)
+    near = fold_audit.train_test_adjacency(A.stored_index(spark, sf_dir), HORIZONS, bucket_seconds=86_400.0)
     return near.select(*CELL, *[r6(f"within_{w}s", f"within_{w}s") for w in HORIZONS])
 
 
@@ -265,14 +265,14 @@ c AS (SELECT {C4}, covar_pop(label::DOUBLE, window_from / 2048.0) AS c FROM fi W
 SELECT a.test_subject, a.test_trial, a.task, a.fold, round(CASE WHEN c > 0 THEN a WHEN c < 0 THEN 1 - a WHEN a IS NOT NULL THEN 0.5 END, 6)::DOUBLE AS auroc
 FROM a LEFT JOIN c ON a.test_subject = c.test_subject AND a.test_trial = c.test_trial AND a.task = c.task AND a.fold = c.fold""")
 def l0_time_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoding.time_only_auroc(A.fold_index(spark, sf_dir)).select(*CELL, r6("auroc", "auroc"))
+    return decoding.time_only_auroc(A.stored_index(spark, sf_dir)).select(*CELL, r6("auroc", "auroc"))
 
 
 @query(f"""WITH {FI}, m AS (SELECT {C4}, avg(window_from / 2048.0) AS mu, stddev_pop(window_from / 2048.0) AS sd FROM fi WHERE role = 'train' GROUP BY ALL)
 SELECT fi.test_subject, fi.test_trial, fi.task, fi.fold, role, base_index, round((window_from / 2048.0 - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS z
 FROM fi JOIN m ON fi.test_subject = m.test_subject AND fi.test_trial = m.test_trial AND fi.task = m.task AND fi.fold = m.fold WHERE role IN ('train', 'test')""")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decoding.standardize(A.fold_index(spark, sf_dir), F.col("window_from") / 2048.0)
+    rows = decoding.standardize(A.stored_index(spark, sf_dir), F.col("window_from") / 2048.0)
     return rows.select(*CELL, "role", "base_index", r6("z", "z"))
 
 
