@@ -137,4 +137,12 @@ u AS (SELECT *, sum(size) OVER (ORDER BY finish, k, size DESC ROWS UNBOUNDED PRE
 SELECT doc_id, size, source_size, target,
   CAST(sum(greatest(0, least(size, (SELECT floor(1.5::DOUBLE * sum(size))::BIGINT FROM d) - before))) AS BIGINT) AS taken
 FROM u GROUP BY doc_id, size, source_size, target""",
+    # the tables' pages have their whole article in one <article> of paragraphs and headings: what is found by templates
+    # must be its text; on other pages this wouldn't tell the article
+    "op10_html_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1)[^>]*>|<br>', ' ', 'g'), '<[a-z/][^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS x FROM b),
+t AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""",
 }
