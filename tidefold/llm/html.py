@@ -140,7 +140,7 @@ class Page:
         text: list[str] = []
         aside: list[tuple[str, Open]] = []  # marked inline elements inside a block
         owner = stack[0]
-        opened: Counter = Counter()
+        opened: dict[str, int] = {}
 
         def add(raw: str, of: Open) -> None:
             if clean := " ".join(unescape(raw).split()):
@@ -150,9 +150,10 @@ class Page:
             if text:
                 add("".join(text), owner)
                 text.clear()
-            for raw, of in aside:
-                add(raw, of)
-            aside.clear()
+            if aside:
+                for raw, of in aside:
+                    add(raw, of)
+                aside.clear()
 
         def say(raw: str) -> None:
             nonlocal owner
@@ -168,11 +169,15 @@ class Page:
 
         def close(ended, stop) -> bool:
             """Closes the innermost open element of some names, unless one of others comes first."""
-            if not any(opened[n] for n in ended):
+            for n in ended:
+                if opened.get(n):
+                    break
+            else:
                 return False
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in ended:
-                    opened.subtract(e.name for e in stack[k:])
+                    for e in stack[k:]:
+                        opened[e.name] -= 1
                     del stack[k:]
                     return True
                 if stack[k].name in stop:
@@ -226,7 +231,7 @@ class Page:
             elif name not in _VOID and len(stack) < DEEPEST and not (m["attrs"].endswith("/") and name not in _BLOCK):
                 marked = mark == "other" or (mark == "header" and not top.bits & (ARTICLE | MAIN | NAMED))
                 stack.append(Open(name, path, top.bits | bit, (*top.marks, path) if marked else top.marks))
-                opened[name] += 1
+                opened[name] = opened.get(name, 0) + 1
         if at < len(html):
             say(html[at:])
         flush()
