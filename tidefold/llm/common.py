@@ -51,11 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what this session's operators wrote to the shared folder; tables that still read from it are then lost."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+def made(spark: SparkSession) -> list[str]:
+    """The folders that this session's operators have made so far, in order."""
+    return list(_made.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes folders that this session's operators made, all unless told; tables that still read from them are then lost."""
+    known = _made.get(spark.sparkContext.applicationId, [])
+    for path in known[:] if paths is None else [p for p in paths if p in known]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        known.remove(path)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -77,6 +84,15 @@ def rows_of(keyed: DataFrame, columns: list[str]) -> DataFrame:
     return keyed.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer splits than there are cores, such as one small file, dealt to all of them.
+
+    For tables as they are read: larger ones, which have splits enough, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parts_of(df: DataFrame, rows: int, a_part: int) -> int:
     """Partitions for a table: some rows each, and not fewer than the session shuffles to."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // a_part))

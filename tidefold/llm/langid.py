@@ -59,10 +59,6 @@ def subwords(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def average(buckets: np.ndarray) -> np.ndarray:
-    return (np.bincount(buckets, minlength=BUCKETS) / max(1, len(buckets))).astype(np.float32)
-
-
 @dataclass
 class Model:
     """Logits by bucket (embedding times output layer), intercepts, a temperature and the score to reject below.
@@ -81,28 +77,22 @@ class Model:
     spread: np.ndarray | None = None  # languages x (of a subword, of a text)
     strange: float = -np.inf
 
-    def familiarity(self, shares: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """How far texts (rows of bucket shares, n subwords) lie from what language k is like."""
-        own = np.einsum("ij,ij->i", shares, self.usual[k])
+    def familiarity(self, own: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """How far texts of n subwords, whose mean log share in language k is own, lie from what k is like."""
         return (own - self.mean[k]) / np.sqrt(self.spread[k, 1] + self.spread[k, 0] / np.maximum(n, 1))
 
-    def logits(self, buckets: np.ndarray) -> np.ndarray:
-        if not len(buckets):
-            return self.intercept.copy()
-        return np.bincount(buckets, minlength=BUCKETS) @ self.table / len(buckets) + self.intercept
-
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """The likeliest language, its probability, and whether it's rejected; UNKNOWN, 0 and rejected without a letter."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
         buckets = subwords(text)
-        counts = np.bincount(buckets, minlength=BUCKETS)
-        z = self.logits(buckets) / self.temperature
+        n = max(1, len(buckets))
+        shares = np.bincount(buckets, minlength=BUCKETS) / n
+        z = (shares @ self.table + self.intercept) / self.temperature
         p = np.exp(z - z.max())
         k = int(p.argmax())
         score = float(p[k] / p.sum())
-        n = len(buckets)
-        odd = self.familiarity(counts[None] / max(1, n), np.array([n]), np.array([k]))[0] < self.strange
+        odd = self.familiarity(shares @ self.usual[k], n, k) < self.strange
         return self.languages[k], score, bool(score < self.floor or odd)
 
 
@@ -158,7 +148,7 @@ def train(x: np.ndarray, y: np.ndarray, n: np.ndarray, languages: list[str], hel
 
 def _learn_usual(model: Model, x: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray) -> None:
     k = len(model.languages)
-    model.usual, model.mean, model.spread = np.zeros((k, BUCKETS), np.float32), np.zeros(k), np.zeros((k, 2))
+    model.usual, model.mean, model.spread = np.zeros((k, BUCKETS)), np.zeros(k), np.zeros((k, 2))
     for i in range(k):
         rows = np.flatnonzero(~held & (y == i))
         share = x[rows].mean(axis=0, dtype=np.float64)
@@ -167,7 +157,8 @@ def _learn_usual(model: Model, x: np.ndarray, y: np.ndarray, n: np.ndarray, held
         one = (share * (own - model.mean[i]) ** 2).sum()
         model.spread[i] = one, max(1e-4, ((x[rows] @ own - model.mean[i]) ** 2 - one / np.maximum(n[rows], 1)).mean())
     check = held if held.any() else np.ones(len(y), bool)
-    model.strange = float(min(LEAST_STRANGE, MARGIN * np.quantile(model.familiarity(x[check], n[check], y[check]), REJECTED)))
+    own = np.einsum("ij,ij->i", x[check], model.usual[y[check]])
+    model.strange = float(min(LEAST_STRANGE, MARGIN * np.quantile(model.familiarity(own, n[check], y[check]), REJECTED)))
 
 
 def rejected(model: Model, texts: list[str | None]) -> float:

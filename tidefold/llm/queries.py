@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, html, langid, mixing, quality, simhash, tokencounts, tokenfiles, winnow
-from .common import crc32_mod, table
+from .common import crc32_mod, spread, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +22,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
-    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.scan(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by a model of the documents that aren't held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = langid.fit(docs, crc32_mod("doc_id", 3) != 1)
     held = F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return langid.identify(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
@@ -48,12 +48,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files."""
-    return tokencounts.document_token_counts(table(spark, sf_dir, "documents"))
+    return tokencounts.document_token_counts(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of near-duplicates of every document."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -65,7 +65,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by a model of the labels that aren't held out."""
     learn = crc32_mod("doc_id", 4) != 2
-    found = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    found = quality.score_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), learn)
     return found.select("doc_id", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -76,7 +76,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return html.main_text(spread(table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
