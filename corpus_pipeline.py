@@ -5,32 +5,62 @@ Each stage works on all that the one before kept, which is written and read agai
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidefold.llm import decontaminate, langid, mixing, simhash, tokenfiles
-from tidefold.llm.common import crc32_mod, shared_dir, table
+from tidefold.llm.common import crc32_mod, made, release, shared_dir, table
+
+_left: dict[str, list[str]] = {}
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage that first deletes what the one before it in this session left in the shared folder beside its result.
+
+    So a stage's result must be written and read again before the next stage is called, and one pipeline runs in a
+    session at a time. What the last stage makes, the token files, is the corpus and stays.
+    """
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        release(spark, _left.pop(app, []))
+        before = set(made(spark))
+        out = f(spark, docs, sf_dir)
+        if f.__name__ != "token_files":
+            _left[app] = [p for p in made(spark) if p not in before]
+        return out
+
+    return run
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model doesn't reject: it learns from the rows that aren't held out."""
     return langid.keep_identified(docs, langid.fit(docs, crc32_mod("doc_id", 3) != 1))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     return simhash.keep_one(docs)
 
 
+@_stage
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources draws them."""
     return mixing.draw(docs)
 
 
+@_stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the token files hold: doc_id, start, n_tokens, ids_crc32."""
     return tokenfiles.encode_and_read(docs)
