@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import stored
+
 #: Slices of a key's range: each is sorted apart, and counts are carried over from the ones before.
 SLICES = 256
 
@@ -24,12 +26,16 @@ def _before(rows: DataFrame, keys: Sequence[str], count: Column) -> DataFrame:
 
 
 def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, slices: int = SLICES) -> DataFrame:
-    """Rows with their number, from 0, within keys, by a number column and then others; a null comes first."""
+    """Rows with their number, from 0, within keys, by a number column and then others; a null comes first.
+
+    The ends of keys and the sizes of slices, a few hundred rows a key, are written first, so the rows' plan isn't repeated.
+    """
     keys, first = list(keys), order[0]
-    spans = rows.groupBy(*keys).agg(F.min(first).alias("_lo"), F.max(first).alias("_hi"))
+    spans = stored(rows.groupBy(*keys).agg(F.min(first).alias("_lo"), F.max(first).alias("_hi")), "spans")
     placed = rows.withColumn("_v", F.col(first).cast("double")).join(spans, keys).withColumn("_slice", F.when(F.col(first).isNull(), F.lit(-1)).otherwise(slice_of("_v", "_lo", "_hi", slices)))
     inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)) - 1
-    return placed.withColumn("_n", inside).join(_before(placed, keys, F.count("*")), [*keys, "_slice"]).select(*rows.columns, (F.col("_before") + F.col("_n")).cast("int").alias(name))
+    before = stored(_before(placed, keys, F.count("*")), "before")
+    return placed.withColumn("_n", inside).join(before, [*keys, "_slice"]).select(*rows.columns, (F.col("_before") + F.col("_n")).cast("int").alias(name))
 
 
 def quantiles(rows: DataFrame, keys: Sequence[str], value: Column, at: Mapping[str, float], slices: int = SLICES) -> DataFrame:

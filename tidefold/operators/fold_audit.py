@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import seconds
 from ..functions.ranks import numbered, quantiles
 from ..model import CELL, DATASET, FS
+from ..sources.writers import stored
 
 
 def scored(index: DataFrame) -> DataFrame:
@@ -88,8 +89,11 @@ def train_test_adjacency(
 
 
 def median_cut(rows: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """Rows with the exact interpolated median of a column within their keys; values are counted and sorted in slices."""
-    return rows.join(quantiles(rows, keys, F.col(column), {name: 0.5}), list(keys))
+    """Rows with the exact interpolated median of a column within their keys; values are counted and sorted in slices.
+
+    The medians, one row a key, are written first, so the rows' plan isn't repeated in what follows.
+    """
+    return rows.join(stored(quantiles(rows, keys, F.col(column), {name: 0.5}), "medians"), list(keys))
 
 
 def common_time_folds(items: DataFrame, time_col: str = "window_from", id_col: str = "base_index", dataset: Sequence[str] = DATASET) -> DataFrame:

@@ -27,6 +27,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """A table written below scratch() and read again: small ones that several branches of a plan use."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file of the driver's, in any file system that Spark knows."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
