@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidefold.llm import decontaminate, langid, simhash
-from tidefold.llm.common import crc32_mod
+from tidefold.llm.common import crc32_mod, made
 
 SF = "/root/testdata/sf0.001"
 
@@ -105,3 +105,10 @@ def test_odd_tables_run_through(spark, tmp_path):
             assert stage(spark, docs, folder).columns == docs.columns
         got = corpus_pipeline.run(spark, folder).collect()
         assert (len(got) > 0) == bool(some)
+
+
+def test_stages_delete_what_the_ones_before_left(spark):
+    corpus_pipeline.language_id(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)  # takes away what earlier runs left
+    before = set(made(spark))
+    corpus_pipeline.run(spark, SF).count()
+    assert len(set(made(spark)) - before) == 2  # the stages' results and the token files
