@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, mixing, quality, simhash, tokencounts, tokenfiles, vectorcodes, winnow
+from . import chat, decontaminate, html, langid, mixing, quality, simhash, tokencounts, tokenfiles, toxicity, vectorcodes, winnow
 from .common import crc32_mod, spread, table
 
 
@@ -84,6 +84,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a model of the labels that aren't held out."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc32_mod("doc_id", 3) != 1)
+    held = F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return toxicity.score_toxicity(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def _vector_codes_sql(width: int = 64, parts: int = vectorcodes.PARTS, rounds: int = vectorcodes.ROUNDS, entries: int = vectorcodes.ENTRIES) -> str:
     """The same in SQL: every part against every entry, round after round. The tables' vectors have 64 components."""
     d = width // parts
@@ -109,7 +117,7 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_format, op2_decontaminate, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_mix_sources, op8_quality, op9_token_files, op10_html_text,
-        op11_vector_codes,
+        op11_vector_codes, op12_toxicity,
     )
 }
 
