@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, mixing, quality, simhash, tokencounts, tokenfiles, toxicity, vectorcodes, winnow
+from . import chat, decontaminate, html, langid, merkle, mixing, quality, simhash, tokencounts, tokenfiles, toxicity, vectorcodes, winnow
 from .common import crc32_mod, spread, table
+from .sql import merkle_sql, vector_codes_sql
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,32 +93,15 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held, "score", "predicted")
 
 
-def _vector_codes_sql(width: int = 64, parts: int = vectorcodes.PARTS, rounds: int = vectorcodes.ROUNDS, entries: int = vectorcodes.ENTRIES) -> str:
-    """The same in SQL: every part against every entry, round after round. The tables' vectors have 64 components."""
-    d = width // parts
-    far = " + ".join(f"(v.x[{i}] - b.x[{i}]) * (v.x[{i}] - b.x[{i}])" for i in range(1, d + 1))
-    mean = ", ".join(f"floor(sum(v.x[{i}])::DOUBLE / count(*))::BIGINT" for i in range(1, d + 1))
-    steps = [f"""
-k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * {vectorcodes.SCALE})::BIGINT) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
-v AS (SELECT r, p, list_slice(x, p * {d} + 1, p * {d} + {d}) AS x FROM k, (SELECT unnest(range({parts})) AS p) z),
-b0 AS (SELECT p, r - 1 AS e, x FROM v WHERE r <= {entries})"""]
-    for i in range(rounds + 1):
-        steps.append(f"a{i} AS MATERIALIZED (SELECT r, p, m % {entries} AS e, m // {entries} AS d FROM (SELECT v.r, v.p, min(({far}) * {entries} + b.e) AS m FROM v JOIN b{i} b ON v.p = b.p GROUP BY v.r, v.p) z)")
-        if i < rounds:
-            steps.append(f"""b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.x, b.x) AS x FROM b{i} b LEFT JOIN
-  (SELECT a.p, a.e, [{mean}] AS x FROM a{i} a JOIN v ON v.r = a.r AND v.p = a.p GROUP BY a.p, a.e) s ON s.p = b.p AND s.e = b.e)""")
-    return f"""
-WITH {", ".join(steps)},
-c AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', a.e), '' ORDER BY a.p) AS code, sum(a.d)::BIGINT AS error FROM a{rounds} a JOIN k ON k.r = a.r GROUP BY k.r, k.vec_id, k.label)
-SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
-  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document in the tree of all, and what those whose text was changed fold up to."""
+    return merkle.document_manifest(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 3) == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_format, op2_decontaminate, op3_language_id, op4_fingerprints, op5_token_counts, op6_simhash, op7_mix_sources, op8_quality, op9_token_files, op10_html_text,
-        op11_vector_codes, op12_toxicity,
+        op11_vector_codes, op12_toxicity, op13_merkle_manifest,
     )
 }
 
@@ -181,5 +165,6 @@ b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1)[^>]*>|<br
 c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS x FROM b),
 t AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""",
-    "op11_vector_codes": _vector_codes_sql(),
+    "op11_vector_codes": vector_codes_sql(),
+    "op13_merkle_manifest": merkle_sql(),
 }
