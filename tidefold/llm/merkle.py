@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, parts_of, shared_dir
 
 ARITY = 8
-#: Rows of a partition of sorted leaves, and children of a partition of a step, about.
-SORTED, STEP = 200_000, 50_000
+#: Rows of a partition of sorted leaves, and children of a partition of a step, about. A step of so few needs no shuffle.
+SORTED, STEP = 200_000, 20_000
 #: A step of a path: a node's place among its siblings, and their digests in order, joined.
 Step = tuple[int, bytes]
 
@@ -66,8 +66,16 @@ class Tree:
     root: bytes
 
 
-def _parts(rdd: RDD, children: int) -> int:
-    return max(-(-children // STEP), min(rdd.context.defaultParallelism, -(-children // 2000)))
+def _by_key(rdd: RDD, parts: int) -> RDD:
+    """(key, values) of (key, value) pairs, by a shuffle to some partitions, or within the one that holds STEP children at most."""
+
+    def own(items: Iterable[tuple]) -> Iterable[tuple]:
+        found: dict = {}
+        for key, value in items:
+            found.setdefault(key, []).append(value)
+        return found.items()
+
+    return rdd.groupByKey(parts).coalesce(parts) if parts > 1 else rdd.coalesce(1).mapPartitions(own)
 
 
 def _family(item: tuple) -> tuple:
@@ -90,8 +98,8 @@ def _upward(messages: RDD, steps: int, children: int, folder: str) -> list[RDD]:
     """The stored supersteps; messages are ((group, index of the parent), (place, nodes of this level, digest, ...))."""
     out = []
     for k in range(steps):
-        parts = _parts(messages, children)
-        messages.groupByKey(parts).map(_family).coalesce(parts).saveAsPickleFile(f"{folder}-{k}")
+        parts = -(-children // STEP)
+        _by_key(messages, parts).map(_family).saveAsPickleFile(f"{folder}-{k}")
         out.append(messages.context.pickleFile(f"{folder}-{k}").coalesce(parts))
         going = out[-1].map(_node).filter(lambda x: x[2] > 1)
         messages = going.map(lambda x: ((x[0], x[1] // ARITY), (x[1] % ARITY, x[2], x[3])))
@@ -172,13 +180,14 @@ def _below(families: RDD, above: RDD, parts: int) -> RDD:
     """(group, index, child, path) of every child: its place and siblings before the path of its parent."""
 
     def send(item: tuple) -> Iterator[tuple]:
-        (group, index), ((n, children), path) = item
+        (group, index), found = item
+        path, (n, children) = sorted(found, key=lambda x: isinstance(x, tuple))
         joined = b"".join(c[0] for c in children)
         for slot, c in enumerate(children):
             own = [] if n == 1 else [(slot, joined[: 32 * slot] + joined[32 * slot + 32 :])]
             yield group, ARITY * index + slot, c, own + path
 
-    return families.map(lambda f: ((f[0], f[1]), (f[2], f[3]))).join(above, parts).coalesce(parts).flatMap(send)
+    return _by_key(families.map(lambda f: ((f[0], f[1]), (f[2], f[3]))).union(above), parts).flatMap(send)
 
 
 def _paths(spark: SparkSession, tree: Tree) -> RDD:
