@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from conftest import FAILS
 
 from tidefold.operators import index_maps
+from tidefold.sources import arrays
 
 MAP = "key string, level int, position long, target long"
 
@@ -73,3 +75,87 @@ def test_index_rows_name_what_they_lack(spark):
     assert sorted(map(tuple, got.select("key", "item", "base_index", "label").collect())) == [("a", 0, 9, "y"), ("a", 1, 4, "x")]
     with pytest.raises(FAILS, match="no features for"):
         index_maps.index_rows(maps, items.where("label = 'x'"), ["key"]).collect()
+
+
+def saved(path, x):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    np.save(path, x)
+
+
+@pytest.mark.parametrize("kind", ["f2", "f4", "f8", "i1", "i2", "i4", "i8", "u1", "u2", "u4", "b1", ">f8", ">i4"])
+def test_arrays_of_every_kind(spark, tmp_path, kind):
+    x = np.arange(30).reshape(5, 2, 3).astype(kind)
+    saved(tmp_path / "a.npy", x)
+    got = sorted((r.row, r.values) for r in arrays.read_arrays(spark, str(tmp_path)).collect())
+    assert got == list(enumerate(x.reshape(5, 6).tolist()))
+
+
+def test_one_file_is_read_in_parts_whatever_their_size(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(1001, 7)).astype(np.float32)
+    saved(tmp_path / "a.npy", x)
+    saved(tmp_path / "b.npy", x[:3])
+    saved(tmp_path / "c.npy", x[:0])
+    for split in (1 << 20, 5000, 131, 7):
+        df = arrays.read_arrays(spark, f"file://{tmp_path}", split=split)
+        got = sorted((r.file, r.row, r.values) for r in df.collect())
+        assert got == [("a.npy", i, r) for i, r in enumerate(x.tolist())] + [("b.npy", i, r) for i, r in enumerate(x[:3].tolist())]
+        assert split > 5000 or df.rdd.getNumPartitions() > 5
+
+
+def test_rows_asked_for_prune_parts(spark, tmp_path):
+    saved(tmp_path / "x" / "a.npy", np.arange(5000.0).reshape(500, 10))
+    path = str(tmp_path / "x" / "*.npy")
+    some = arrays.read_arrays(spark, path, rows=(100, 103), split=400)
+    assert [(r.row, r.values[0]) for r in some.orderBy("row").collect()] == [(100, 1000.0), (101, 1010.0), (102, 1020.0)]
+    read = arrays.read_arrays(spark, path, split=400)
+    assert some.rdd.getNumPartitions() <= 2 < 100 <= read.rdd.getNumPartitions()
+    assert [r.row for r in read.where("row = 7").collect()] == [7] and read.count() == 500
+    assert arrays.read_arrays(spark, path, rows=(500, 900)).count() == 0
+
+
+def test_a_file_above_two_gigabytes(spark, tmp_path):
+    """A sparse file: only some rows of its end are looked at."""
+    big = np.lib.format.open_memmap(tmp_path / "big.npy", "w+", np.float32, (300_000, 2048))
+    big[299_998] = 5
+    big.flush()
+    assert (tmp_path / "big.npy").stat().st_size > 2_400_000_000
+    assert arrays.read_arrays(spark, str(tmp_path / "big.npy")).rdd.getNumPartitions() >= 18
+    read = arrays.read_arrays(spark, str(tmp_path / "big.npy"), rows=(299_997, 300_000))
+    got = read.selectExpr("row", "values[2047] as v").orderBy("row").collect()
+    assert [(r.row, r.v) for r in got] == [(299_997, 0.0), (299_998, 5.0), (299_999, 0.0)]
+
+
+def test_columns_are_aligned_and_only_those_asked_for_are_opened(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "array(id / 2, -id) as two", "id % 7 = 0 as seventh").repartition(3)
+    path = str(tmp_path / "t")
+    arrays.write_arrays(df, path, size=2000)
+    back = arrays.read_arrays(spark, path)
+    assert dict(back.dtypes) == {"file": "string", "row": "bigint", "id": "bigint", "two": "array<double>", "seventh": "boolean"}
+    assert sorted((r.id, r.two, r.seventh) for r in back.collect()) == [(i, [i / 2, -i], i % 7 == 0) for i in range(1000)]
+    assert len(list((tmp_path / "t" / "id").glob("*.npy"))) > 3
+    with pytest.raises(FAILS, match="has arrays already"):
+        arrays.write_arrays(df, path)
+    for f in (tmp_path / "t" / "two").glob("*.npy"):
+        f.write_bytes(b"broken")
+    assert arrays.read_arrays(spark, path, "id long").agg({"id": "sum"}).first()[0] == 499_500
+    arrays.write_arrays(df.where("id < 10"), path, "overwrite")
+    arrays.write_arrays(df.where("id >= 990"), path, "append")
+    assert sorted(r.id for r in arrays.read_arrays(spark, path, "id long").collect()) == [*range(10), *range(990, 1000)]
+
+
+def test_what_is_no_table_of_rows_is_an_error(spark, tmp_path):
+    for name, x in (("scalar", np.float64(3)), ("fortran", np.asfortranarray(np.ones((3, 4)))), ("text", np.array(["a"]))):
+        saved(tmp_path / name / "a.npy", x)
+        with pytest.raises(FAILS, match="arrays have an axis of rows"):
+            arrays.read_arrays(spark, str(tmp_path / name)).collect()
+    with pytest.raises(FAILS, match="has no column z"):
+        saved(tmp_path / "t" / "a" / "1.npy", np.ones(3))
+        arrays.read_arrays(spark, str(tmp_path / "t"), "z int").collect()
+    saved(tmp_path / "t" / "b" / "1.npy", np.ones(4))
+    with pytest.raises(FAILS, match="a has 3 rows, b has 4"):
+        arrays.read_arrays(spark, str(tmp_path / "t")).collect()
+    with pytest.raises(FAILS, match="nulls"):
+        arrays.write_arrays(spark.createDataFrame([(None,)], "a int"), str(tmp_path / "n"))
+    with pytest.raises(FAILS, match="different lengths"):
+        arrays.write_arrays(spark.createDataFrame([([1],), ([1, 2],)], "a array<int>").coalesce(1), str(tmp_path / "l"))
+    assert not list(tmp_path.glob("[nl]/*/*.npy"))

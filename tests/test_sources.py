@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import json
 
 import numpy as np
@@ -52,15 +51,6 @@ def test_side_tables(spark, tmp_path):
     assert [tuple(r) for r in readers.read_electrode_means(spark, str(tmp_path)).collect()] == [(3, 0, "A1", 0.5)]
 
 
-def test_arrays(spark, tmp_path):
-    x = np.arange(24, dtype=np.float32).reshape(3, 2, 4)
-    data = io.BytesIO()
-    np.save(data, x)
-    (tmp_path / "a.npy").write_bytes(data.getvalue())
-    got = readers.read_arrays(spark, f"{tmp_path}/a.npy", "float").orderBy("row").collect()
-    assert [r["values"] for r in got] == x.reshape(3, -1).tolist()
-
-
 def test_appended_once(spark, tmp_path):
     path = f"{tmp_path}/out"
     rows = lambda *ks: spark.createDataFrame([(k, k * 0.5) for k in ks], "k int, v double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import index_maps
+from ..sources import arrays, writers
 from . import adapters as A
 from .registry import query, r6
 
@@ -42,3 +43,24 @@ UNION ALL SELECT dataset, p3, base, event_id, round(value, 6) FROM s3 WHERE data
 def composed_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of subsets of subsets, five deep or three, each told by its place in the base."""
     return index_maps.index_rows(*_nested(spark, sf_dir), ["dataset"]).select("dataset", "item", "base_index", "event_id", r6("value", "value"))
+
+
+# Arrays in files
+
+
+@query("SELECT vec_id, label::BIGINT AS label, k::INT AS k, round(x, 6) AS value FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) e")
+def rows_of_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and their numbers saved as aligned arrays and read back by their columns."""
+    path = writers.scratch(spark, "arrays")
+    arrays.write_arrays(A.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").alias("samples")), path)
+    read = arrays.read_arrays(spark, path, "vec_id long, label long, samples array<float>")
+    return read.select("vec_id", "label", F.posexplode("samples").alias("k", "v")).select("vec_id", "label", "k", r6(F.col("v").cast("double"), "value"))
+
+
+@query("SELECT label::INT AS label, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM embeddings WHERE vec_id % 3 = 0 GROUP BY label")
+def some_columns_of_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain numbers beside vectors: the files of the vectors are not opened."""
+    path = writers.scratch(spark, "arrays")
+    arrays.write_arrays(A.table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select("vec_id", "label", "embedding"), path, size=4096)
+    read = arrays.read_arrays(spark, path, "label int, vec_id long", split=2048)
+    return read.groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,12 +131,3 @@ def digests_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in A.table(spark, sf_dir, "lineitem").select("l_returnflag").distinct().toLocalIterator():
         writers.write_text(spark, f"{path}/{r[0]}.txt", f"text of {r[0]}\n")
     return readers.file_digests(spark, path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "bytes", "sha256")
-
-
-@query("""SELECT row::BIGINT AS row, k::INT AS k, (row * 6 + k)::DOUBLE AS value FROM (SELECT unnest(range(5)) AS row) a, (SELECT unnest(range(6)) AS k) b""")
-def rows_of_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A saved array of 5 x 2 x 3 numbers, by rows of its first axis."""
-    path, data = writers.scratch(spark, "arrays"), io.BytesIO()
-    np.save(data, np.arange(30, dtype=np.float64).reshape(5, 2, 3))
-    writers.write_bytes(spark, f"{path}/a.npy", data.getvalue())
-    return readers.read_arrays(spark, path).select("row", F.posexplode("values").alias("k", "value"))

@@ -1,12 +1,9 @@
-"""Tables of a decoding study from its files: results, indexes, leaderboards, side tables, manifests, arrays."""
+"""Tables of a decoding study from its files: results, indexes, leaderboards, side tables, manifests."""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,22 +102,3 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and sha256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def read_arrays(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
-    """path, row and values (flattened) of the first axis of .npy files; files are read on the executors.
-
-    A file is one binary value, so 2 GB at most; larger arrays come as Parquet.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.load(io.BytesIO(data), allow_pickle=False)
-                x = x.reshape(len(x), -1)
-                for i in range(0, len(x), 1024):
-                    part = x[i : i + 1024]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i, i + len(part)), pa.int64()), pa.array(part.tolist(), pa.list_({"double": pa.float64(), "float": pa.float32(), "int": pa.int32(), "bigint": pa.int64()}[kind]))], ["path", "row", "values"])
-
-    return files.mapInArrow(run, f"path string, row long, values array<{kind}>")
