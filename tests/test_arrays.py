@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 from conftest import FAILS
+from pyspark.sql import functions as F
 
-from tidefold.operators import index_maps
+from tidefold.operators import features, index_maps
 from tidefold.sources import arrays
 
 MAP = "key string, level int, position long, target long"
@@ -159,3 +160,35 @@ def test_what_is_no_table_of_rows_is_an_error(spark, tmp_path):
     with pytest.raises(FAILS, match="different lengths"):
         arrays.write_arrays(spark.createDataFrame([([1],), ([1, 2],)], "a array<int>").coalesce(1), str(tmp_path / "l"))
     assert not list(tmp_path.glob("[nl]/*/*.npy"))
+
+
+def test_chunks_of_an_array(spark, tmp_path):
+    x = np.arange(1003, dtype=np.int32)
+    saved(tmp_path / "a.npy", x)
+    for split in (1 << 20, 700):
+        got = sorted((r.row, r["values"]) for r in arrays.read_arrays(spark, str(tmp_path), chunk=10, split=split).collect())
+        assert got == [(i, x[i : i + 10].tolist()) for i in range(0, 1003, 10)]
+    saved(tmp_path / "b" / "y.npy", np.arange(24.0).reshape(6, 4))
+    assert [(r.row, r["values"]) for r in arrays.read_arrays(spark, str(tmp_path / "b"), chunk=4).orderBy("row").collect()] == [(0, [float(i) for i in range(16)]), (4, [float(i) for i in range(16, 24)])]
+
+
+@pytest.mark.parametrize(("length", "bins"), [(1, 5), (7, 16), (50, 1 << 16), (1000, 64)])
+def test_windows_of_chunks_equal_slices(spark, length, bins):
+    rng = np.random.default_rng(length)
+    traces = {(s, e): rng.normal(size=130 + 10 * s).tolist() for s in (1, 2) for e in ("A", "B")}
+    starts = [(s, w) for s in (1, 2) for w in (0, 3, 16, 64, 90, 90)] + [(9, 0)]
+    df = spark.createDataFrame([(*k, v) for k, v in traces.items()], "s int, e string, trace array<double>")
+    chunks = features.chunked(df, length).orderBy(F.rand(1))
+    got = features.gather_chunks(chunks, spark.createDataFrame(starts, "s int, window_from long"), ["s"], ["e"], 40, bin_samples=bins)
+    assert {(r.s, r.e, r.window_from): r.samples for r in got.collect()} == {(s, e, w): traces[s, e][w : w + 40] for s, w in starts if s < 9 for e in "AB"}
+
+
+@pytest.mark.parametrize("bad", ["before", "behind", "far", "hole", "twice"])
+def test_windows_that_chunks_do_not_cover(spark, bad):
+    rows = [(1, i, [float(i)] * 10) for i in range(0, 100, 10) if bad != "hole" or i != 50] + ([(1, 45, [0.0] * 10)] if bad == "twice" else []) + [(1, 100, []), (1, 100, None)]
+    start = {"before": -1, "behind": 81, "far": 5000}.get(bad, 40)
+    chunks = spark.createDataFrame(rows, "s int, chunk_from long, trace array<double>")
+    at = lambda w: features.gather_chunks(chunks, spark.createDataFrame([(1, w)], "s int, window_from long"), ["s"], n=20, bin_samples=16)
+    with pytest.raises(FAILS, match="a window leaves its trace, or chunks overlap"):
+        at(start).collect()
+    assert len(at(10).first().samples) == 20

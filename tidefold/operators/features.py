@@ -104,6 +104,47 @@ def gather(traces: DataFrame, starts: DataFrame, keys: Sequence[str], n: int = W
     return every.withColumn("samples", refuse(short, "a window leaves its trace", cut)).drop(trace)
 
 
+#: Samples of a bin in which chunks and windows meet.
+BIN = 1 << 16
+
+
+def chunked(traces: DataFrame, length: int, trace: str = "trace", at: str = "chunk_from") -> DataFrame:
+    """Traces cut into chunks of a length, the last one shorter, each with the place of its first sample; none of an empty trace."""
+    places = F.when(F.size(trace) > 0, F.sequence(F.lit(0).cast("long"), F.size(trace).cast("long") - 1, F.lit(length).cast("long")))
+    every = traces.withColumn(at, F.explode(places))
+    return every.withColumn(trace, F.slice(trace, (F.col(at) + 1).cast("int"), F.lit(length)))
+
+
+def gather_chunks(
+    chunks: DataFrame, starts: DataFrame, keys: Sequence[str], channels: Sequence[str] = (), n: int = WINDOW_SAMPLES, trace: str = "trace", at: str = "chunk_from", bin_samples: int = BIN,
+) -> DataFrame:
+    """keys, channels, window_from and samples: gather() from recordings kept in chunks of any length, in any order.
+
+    Each chunk has some samples from the place `at`. Chunks and windows meet in bins of `bin_samples`: a chunk is cut at the
+    borders of bins, a window looks into the bins it covers, and what it finds there is put together in order; so a row
+    holds a chunk or a window, never a recording. Starts that are there twice count once; keys without chunks have no windows. A
+    window that its channel's chunks don't cover, or cover twice, is an error.
+    """
+    keys, channels = list(keys), list(channels)
+    wide = lambda c: F.expr(f"{c} div {bin_samples}")
+    held = chunks.where(F.size(trace) > 0).select(*keys, *channels, F.col(at).cast("long").alias("_at"), F.col(trace).alias("_x"))
+    binned = held.withColumn("_bin", F.explode(F.sequence(wide("_at"), wide("(_at + size(_x) - 1)"))))
+    lo, hi = F.greatest("_at", F.col("_bin") * bin_samples), F.least(F.col("_at") + F.size("_x"), (F.col("_bin") + 1) * bin_samples)
+    pieces = binned.select(*keys, *channels, "_bin", lo.alias("_lo"), hi.alias("_hi"), F.slice("_x", (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int")).alias("_x"))
+    windows = starts.select(*keys, F.col("window_from").cast("long").alias("window_from")).distinct()
+    looked = windows.withColumn("_bin", F.explode(F.sequence(wide("window_from"), wide(f"(window_from + {n - 1})"))))
+    met = pieces.join(looked, [*keys, "_bin"])
+    lo, hi = F.greatest("_lo", "window_from"), F.least(F.col("_hi"), F.col("window_from") + n)
+    piece = F.struct(lo.alias("lo"), hi.alias("hi"), F.slice("_x", (lo - F.col("_lo") + 1).cast("int"), (hi - lo).cast("int")).alias("x"))
+    found = met.where(lo < hi).select(*keys, *channels, "window_from", piece.alias("_piece"))
+    # a row without a piece for each window of each channel, so that none goes unnoticed
+    wanted = windows.join(held.select(*keys, *channels).distinct(), keys).select(*keys, *channels, "window_from", F.lit(None).cast(found.schema["_piece"].dataType).alias("_piece"))
+    whole = found.unionByName(wanted).groupBy(*keys, *channels, "window_from").agg(F.array_sort(F.collect_list("_piece")).alias("_all"))
+    ends, begins = F.concat(F.array("window_from"), F.transform("_all", lambda p: p["hi"])), F.concat(F.transform("_all", lambda p: p["lo"]), F.array(F.col("window_from") + n))
+    samples = refuse(ends != begins, "a window leaves its trace, or chunks overlap", F.flatten(F.transform("_all", lambda p: p["x"])))
+    return whole.select(*keys, *channels, "window_from", samples.alias("samples"))
+
+
 def lookup_all(rows: DataFrame, features: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows with the features of their key; a row whose key has none raises an error that names it, none is dropped.
 
@@ -123,15 +164,20 @@ def undefined_counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFr
 
 def extract(
     traces: DataFrame, starts: DataFrame, keys: Sequence[str], scales: Sequence[int], q: Sequence[float] = Q_ALL, n: int = WINDOW_SAMPLES, trace: str = "trace", fs: float = FS,
-    window: int = STFT["window"], max_hz: float = STFT["max_hz"],
+    window: int = STFT["window"], max_hz: float = STFT["max_hz"], at: str | None = None, bin_samples: int = BIN,
 ) -> DataFrame:
     """traces' columns but the trace, window_from, log_var, hq, run and spec of each window of each electrode.
 
-    A start of a session (keys) is cut from the trace of each of its electrodes. Where a window has no variance, log_var
+    A start of a session (keys) is cut from the trace of each of its electrodes: a row's whole trace or, where `at` names
+    the column of the first sample's place, chunks of it. Where a window has no variance, log_var
     and hq are NaN (undefined_counts() tells how many), and its run is the whole window. Windows are gathered by a join;
     all else stays in their row.
     """
-    windows = gather(traces, starts, keys, n, trace)
+    if at is None:
+        windows = gather(traces, starts, keys, n, trace)
+    else:
+        channels = [c for c in traces.columns if c not in (*keys, trace, at)]
+        windows = gather_chunks(traces, starts, keys, channels, n, trace, at, bin_samples)
     rows = fluctuation.flat_run(windows.withColumn("log_var", log_variance("samples", "nan")))
     rows = fluctuation.hq_of_order(rows, scales, q, 1)
     constant = F.isnan("log_var")

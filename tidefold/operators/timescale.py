@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -72,56 +74,55 @@ def finite_bins(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grid.groupBy(*keys).agg(F.count("*").alias("grid_seconds"), F.count_if(is_finite("value")).alias("finite_seconds"))
 
 
-def lag_sums(v: np.ndarray, lags: int, chunk: int = 1 << 13) -> np.ndarray:
-    """(3, 3, lags + 1): for each lag, sums over pairs of (1, x, x^2) at the earlier place times (1, y, y^2) at the later.
+def lag_sums(x: np.ndarray, own: int, lags: int) -> np.ndarray:
+    """(6, lags) for lags from 1: pairs, and the sums of x, x^2, y, y^2 and xy over them; x is at one of the first `own`
+    places and y a lag later, and NaN is no value. One product of matrices for all lags at once."""
+    known = np.isfinite(x)
+    v = np.where(known, x, 0.0)
+    powers = np.stack([known.astype(float), v, v * v])
+    later = np.lib.stride_tricks.sliding_window_view(np.pad(powers, ((0, 0), (0, lags))), lags + 1, axis=1)[:, :own, 1:]
+    s = np.einsum("ai,bil->abl", powers[:, :own], later, optimize=True)
+    return np.stack([s[0, 0], s[1, 0], s[2, 0], s[0, 1], s[0, 2], s[1, 1]])
 
-    A place without a value gives 0 to all of them, so the sums are over pairs with both. One product of matrices for
-    all lags at once, in chunks of places.
-    """
-    known = np.isfinite(v)
-    x = np.where(known, v - v[known].mean() if known.any() else 0.0, 0.0)
-    powers = np.stack([known.astype(float), x, x * x])
-    later = np.lib.stride_tricks.sliding_window_view(np.pad(powers, ((0, 0), (0, lags))), lags + 1, axis=1)
-    sums = np.zeros((3, 3, lags + 1))
-    for at in range(0, len(v), chunk):
-        sums += np.einsum("ai,bil->abl", powers[:, at : at + chunk], later[:, at : at + chunk], optimize=True)
-    return sums
 
+#: Bins of a part of a recording.
+PART = 1 << 13
+_SUMS = ("n", "x", "xx", "y", "yy", "xy")
 
-def first_crossing(v: np.ndarray, cap: int = LAG_CAP, least: int = LEAST_PAIRS) -> float:
-    """The first lag where values that far apart correlate under 1/e; NaN if too few pairs or a constant side come first.
 
-    A side is constant if its variance is under a 10^-12th of its mean square.
-    """
-    lags = min(cap, len(v) - 2)
-    if lags < 1:
-        return float(cap)
-    s = lag_sums(v, lags)[:, :, 1:]
-    n, squares = s[0, 0], np.stack([s[2, 0], s[0, 2]])
-    variances = n * squares - np.stack([s[1, 0], s[0, 1]]) ** 2
-    defined = (n >= least) & (variances > 1e-12 * n * squares).all(axis=0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        r = (n * s[1, 1] - s[1, 0] * s[0, 1]) / np.sqrt(variances.prod(axis=0))
-    end = np.flatnonzero(~defined | (r < math.exp(-1)))
-    if not len(end):
-        return float(cap)
-    return float(end[0] + 1) if defined[end[0]] else math.nan
-
-
-def acf_timescale(grid: DataFrame, keys: Sequence[str], cap: int = LAG_CAP, least: int = LEAST_PAIRS) -> DataFrame:
+def acf_timescale(grid: DataFrame, keys: Sequence[str], cap: int = LAG_CAP, least: int = LEAST_PAIRS, part: int = PART) -> DataFrame:
     """tau by key: the first lag where bins that far apart correlate under 1/e; null if too few pairs come first.
 
-    Pairs need values on both sides; under `least` of them, or a side that doesn't vary, give null if they come before
-    the crossing. Without a crossing up to cap (or the grid's length - 2) tau is cap. A key's grid is one recording,
-    a number a second: a day of it is 1.4 MB, and is looked at whole by one task; keys run in parallel.
+    Pairs need values on both sides; under `least` of them, or a side whose variance is under a 10^-12th of its mean
+    square, give null if they come before the crossing. Without a crossing up to cap (or the grid's length - 2) tau is
+    cap. A recording is cut into parts of `part` bins, each with the `cap` bins that follow it; the parts' sums add up,
+    so a recording of any length is spread over tasks. Values are taken around their key's mean first.
     """
-    keys = list(keys)
+    keys, part = list(keys), max(part, cap)
     kinds = ", ".join(f"`{k}` {grid.schema[k].dataType.simpleString()}" for k in keys)
+    value = F.when(is_finite("value"), F.col("value").cast("double"))
+    spans = grid.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"), F.avg(value).alias("_mean"))
+    same = lambda a, b: reduce(and_, [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys])
+    known = grid.select(*keys, "bin", value.alias("_v")).where("_v is not null").join(spans, same("", "_"))
+    place = (F.col("bin") - F.col("_lo")).cast("long")
+    where = F.expr(f"_at div {part}")
+    both = F.when((F.col("_at") % part < cap) & (where > 0), F.array(where, where - 1)).otherwise(F.array(where))
+    parts = known.select(*keys, place.alias("_at"), (F.col("_v") - F.col("_mean")).alias("_v")).select(*keys, "_at", "_v", F.explode(both).alias("_part"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        at = g["bin"].to_numpy(np.int64)
-        v = np.full(at.max() - at.min() + 1, np.nan)
-        v[at - at.min()] = g["value"].to_numpy(float)
-        return pd.DataFrame({k: [x] for k, x in zip(keys, key, strict=True)} | {"tau": [first_crossing(v, cap, least)]})
-
-    return grid.select(*keys, "bin", "value").groupBy(*keys).applyInPandas(run, f"{kinds}, tau double")
+        x = np.full(part + cap, np.nan)
+        x[g["_at"].to_numpy(np.int64) - int(key[-1]) * part] = g["_v"].to_numpy(float)
+        s = lag_sums(x, part, cap)
+        return pd.DataFrame({k: [v] * cap for k, v in zip(keys, key, strict=False)} | {"lag": np.arange(1, cap + 1)} | dict(zip(_SUMS, s, strict=True)))
+
+    sums = parts.groupBy(*keys, "_part").applyInPandas(run, f"{kinds}, lag int, {', '.join(f'{c} double' for c in _SUMS)}")
+    total = sums.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    spread = {c: F.col("n") * F.col(f"{c}{c}") - F.col(c) * F.col(c) for c in ("x", "y")}
+    defined = (F.col("n") >= least) & (spread["x"] > 1e-12 * F.col("n") * F.col("xx")) & (spread["y"] > 1e-12 * F.col("n") * F.col("yy"))
+    r = F.when(defined, (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread["x"] * spread["y"]))
+    lags = F.least(F.lit(cap).cast("long"), F.col("_hi") - F.col("_lo") - 1)
+    joined = spans.join(total.withColumn("_defined", defined).withColumn("_r", r), same("_", ""), "left")
+    stop = F.when((F.col("lag") <= lags) & (~F.col("_defined") | (F.col("_r") < math.exp(-1))), F.col("lag"))
+    ends = joined.groupBy(*[F.col(f"_{k}").alias(k) for k in keys]).agg(F.first(lags).alias("_lags"), F.count("lag").alias("_any"), F.min_by("_defined", stop).alias("_whole"), F.min(stop).alias("_stop"))
+    tau = F.when(F.col("_lags") < 1, float(cap)).when((F.col("_any") == 0) | ~F.col("_whole"), None).otherwise(F.coalesce(F.col("_stop").cast("double"), F.lit(float(cap))))
+    return ends.select(*keys, tau.cast("double").alias("tau"))

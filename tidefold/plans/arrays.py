@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import index_maps
+from ..operators import features, index_maps
 from ..sources import arrays, writers
 from . import adapters as A
-from .registry import query, r6
+from .registry import ORACLE_SQL, query, r6
+from .sql import EM
+from .study import GA, _traces
 
 # Nested subsets: each user's events, of which some are kept, sorted by value, thinned, kept by kind, and thinned again
 
@@ -64,3 +66,37 @@ def some_columns_of_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays.write_arrays(A.table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select("vec_id", "label", "embedding"), path, size=4096)
     read = arrays.read_arrays(spark, path, "label int, vec_id long", split=2048)
     return read.groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+
+
+# Recordings in chunks
+
+
+@query(ORACLE_SQL["gathered_windows"])
+def windows_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of traces that are kept in chunks of 7 samples; chunks and windows meet in bins of 20."""
+    traces, starts = _traces(spark, sf_dir)
+    rows = features.gather_chunks(features.chunked(traces, 7), starts, ["vec_id"], n=48, bin_samples=20)
+    return rows.select("vec_id", "window_from", F.posexplode("samples").alias("i", "v")).select("vec_id", F.col("window_from").cast("int"), "i", r6("v", "x"))
+
+
+@query(ORACLE_SQL["extracted_features"])
+def features_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of every window of traces in chunks."""
+    traces, starts = _traces(spark, sf_dir)
+    rows = features.extract(features.chunked(traces, 7), starts, ["vec_id"], (8, 9, 10, 12), (1.0, 2.0), 48, fs=48.0, window=16, max_hz=24.0, at="chunk_from", bin_samples=20)
+    return rows.select("vec_id", F.col("window_from").cast("int"), r6("log_var", "log_var"), r6(F.col("hq")[1], "h2"), "run", F.size("spec").alias("frames"), r6(F.col("spec")[6][0], "middle"))
+
+
+@query(f"WITH {EM}, {GA} SELECT vec_id, window_from::INT AS window_from, round(sum(x), 6) AS total, round(sum(x * i), 6) AS moment FROM ga GROUP BY ALL")
+def windows_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all vectors in long arrays in files, one vector after the other: they are read in chunks of 100 samples and found by place."""
+    path, (traces, starts) = writers.scratch(spark, "recordings"), _traces(spark, sf_dir)
+    samples = traces.repartition(8, "vec_id").sortWithinPartitions("vec_id").select("vec_id", F.posexplode("trace").alias("i", "x"))
+    arrays.write_arrays(samples.select(F.col("vec_id").cast("long"), F.col("x").cast("double")), path)
+    # a file's samples are a recording; where each vector begins in it is in the numbers beside them
+    begins = arrays.read_arrays(spark, path, "file string, row long, vec_id long").groupBy("file", "vec_id").agg(F.min("row").alias("begin"))
+    placed = starts.join(begins, "vec_id").select("file", "vec_id", F.col("window_from").alias("own"), (F.col("window_from") + F.col("begin")).alias("window_from"))
+    recordings = arrays.read_arrays(spark, path, "file string, row long, x array<double>", chunk=100)
+    rows = features.gather_chunks(recordings, placed, ["file"], n=48, trace="x", at="row", bin_samples=256).join(placed.distinct(), ["file", "window_from"])
+    total, moment = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), F.aggregate(F.transform("samples", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("vec_id", F.col("own").cast("int").alias("window_from"), r6(total, "total"), r6(moment, "moment"))

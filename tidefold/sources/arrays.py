@@ -87,8 +87,8 @@ class Split(InputPartition):
 
 
 class ArrayReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, split: int, first: int, end: int | None):
-        self.path, self.schema, self.split, self.first, self.end = path, schema, split, first, end
+    def __init__(self, path: str, schema: T.StructType, split: int, first: int, end: int | None, chunk: int):
+        self.path, self.schema, self.split, self.first, self.end, self.chunk = path, schema, split, first, end, chunk
         self.columns = [c for c in schema.names if c not in ("file", "row")]
 
     def _at(self, files: fs.FileSystem, path: str, column: str, name: str) -> str:
@@ -97,7 +97,7 @@ class ArrayReader(DataSourceReader):
         return f"{re.sub(_PATTERN, '', path)}/{name}" if _listed(files, path) else f"{path}/{column}/{name}"
 
     def _inside(self, rows: int, k: int, n: int) -> tuple[int, int]:
-        first, end = rows * k // n, rows * (k + 1) // n
+        first, end = rows * k // n // self.chunk * self.chunk, rows if k + 1 == n else rows * (k + 1) // n // self.chunk * self.chunk
         return max(first, self.first), end if self.end is None else min(end, self.end)
 
     def partitions(self) -> list[Split]:
@@ -137,10 +137,11 @@ class ArrayReader(DataSourceReader):
             if h.shape[0] != rows:
                 raise ValueError(f"{partition.name}: {columns[0]} has {rows} rows, {c} has {h.shape[0]}")
         at, end = self._inside(rows, partition.k, partition.n)
-        step = max(1, BATCH // max(1, *(h.width * h.kind.itemsize for h in heads)))
+        step = max(1, BATCH // max(1, *(h.width * h.kind.itemsize for h in heads)) // self.chunk) * self.chunk
         for a in range(at, end, step):
             n = min(step, end - a)
-            found = {"file": pa.array([partition.name] * n), "row": pa.array(np.arange(a, a + n))}
+            first = np.arange(a, a + n, self.chunk)
+            found = {"file": pa.array([partition.name] * len(first)), "row": pa.array(first)}
             for s, h, c in zip(sources, heads, columns, strict=True):
                 if c in self.columns:
                     found[c] = self._part(s, h, a, n, self.schema[c].dataType)
@@ -153,11 +154,12 @@ class ArrayReader(DataSourceReader):
         if len(data) != n * size:
             raise ValueError(f"a file ends before row {at + n} of {head.shape[0]}")
         listed = isinstance(kind, T.ArrayType)
-        if not listed and len(head.shape) > 1:
-            raise ValueError(f"rows of shape {head.shape[1:]} aren't single numbers")
+        if not listed and (len(head.shape) > 1 or self.chunk > 1):
+            raise ValueError(f"{self.chunk} rows of shape {head.shape[1:]} aren't single numbers")
         x = np.frombuffer(data, head.kind).astype(np.float32 if head.kind.str[1:] == "f2" else head.kind.newbyteorder("="), copy=False)
         x = pa.array(x).cast(_OF[(kind.elementType if listed else kind).typeName()])
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(head.width)), x) if listed else x
+        ends = np.append(np.arange(0, n, self.chunk), n).astype(np.int32) * np.int32(head.width)
+        return pa.ListArray.from_arrays(pa.array(ends), x) if listed else x
 
 
 @dataclass
@@ -243,7 +245,7 @@ def _numbers(column: pa.Array, name: str) -> np.ndarray:
 
 
 class ArraySource(DataSource):
-    """Options: path; splitBytes (of files to a task), firstRow and endRow (of each file); fileBytes (of a written file).
+    """Options: path; splitBytes (of files to a task), firstRow and endRow (of each file), chunkRows (to a row); fileBytes (of a written file).
 
     Rows are chosen by options rather than by conditions that Spark hands on: Spark 4.1 keeps a Python source that took
     conditions with the table it belongs to, so that its next query would lack rows.
@@ -262,12 +264,12 @@ class ArraySource(DataSource):
                 with files.open_input_file(found[0].path) as source:
                     head = _header(source, found[0].path)
                 one = KINDS[head.kind.str[1:]][0]
-                out.add(c, one if len(head.shape) == 1 and c != "values" else T.ArrayType(one))
+                out.add(c, one if len(head.shape) == 1 and c != "values" and int(self.options.get("chunkRows", 1)) == 1 else T.ArrayType(one))
         return out
 
     def reader(self, schema: T.StructType) -> ArrayReader:
         end = self.options.get("endRow")
-        return ArrayReader(self.options["path"], schema, int(self.options.get("splitBytes", SPLIT)), int(self.options.get("firstRow", 0)), None if end is None else int(end))
+        return ArrayReader(self.options["path"], schema, int(self.options.get("splitBytes", SPLIT)), int(self.options.get("firstRow", 0)), None if end is None else int(end), int(self.options.get("chunkRows", 1)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArrayWriter:
         return ArrayWriter(self.options["path"], schema, int(self.options.get("fileBytes", FILE)), overwrite, self.options.get("onlyEmpty", "false") == "true")
@@ -278,13 +280,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArraySource)
 
 
-def read_arrays(spark: SparkSession, path: str, schema: str | T.StructType | None = None, rows: tuple[int, int] | None = None, split: int = SPLIT) -> DataFrame:
+def read_arrays(spark: SparkSession, path: str, schema: str | T.StructType | None = None, rows: tuple[int, int] | None = None, chunk: int = 1, split: int = SPLIT) -> DataFrame:
     """file, row and the arrays' columns, or those of `schema` alone: the files of other columns aren't opened.
 
     rows: the first row of each file that is read, and the one to end before; parts of files without such rows get no task.
+    chunk: so many rows of the array are joined to one, whose `row` is the first's: a recording saved as one long array
+    comes as chunks of samples.
     """
     register(spark)
-    read = spark.read.format("npy").option("splitBytes", split)
+    read = spark.read.format("npy").option("splitBytes", split).option("chunkRows", chunk)
     if rows:
         read = read.option("firstRow", rows[0]).option("endRow", rows[1])
     return (read.schema(schema) if schema is not None else read).load(path)
