@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -9,9 +10,13 @@ from conftest import FAILS
 from pyspark.sql import functions as F
 
 from tidefold.functions import columns, ranks
-from tidefold.operators import decoding, features, fluctuation, fold_audit, inference, selection
+from tidefold.operators import decoding, features, fluctuation, fold_audit, inference, selection, timescale
+from tidefold.plans import adapters as A
+from tidefold.plans import study
 from tidefold.sources import readers, writers
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_every_key_has_features(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "k int, v string")
@@ -141,3 +146,45 @@ def test_csv_files_of_one_folder_may_differ(spark, tmp_path):
     (tmp_path / "L3.csv").write_text("task,test_auroc\n")
     got = readers.read_decoded(spark, str(tmp_path)).orderBy("task").collect()
     assert [(r.task, r.test_auroc, r.n_excluded_plateau) for r in got] == [("x", 0.5, 2), ("y", 0.75, None)]
+
+
+def brute_interval(name, rows, resamples=10_000):
+    """Subjects drawn with replacement, then as many sessions of each; rows are (subject, trial, difference)."""
+    by = {}
+    for s, _, d in sorted(rows):
+        by.setdefault(s, []).append(d)
+    rng, subjects, means = np.random.default_rng(zlib.crc32(name.encode())), sorted(by), []
+    for _ in range(resamples):
+        drawn = []
+        for k in rng.integers(0, len(subjects), len(subjects)):
+            own = by[subjects[k]]
+            drawn += [own[i] for i in rng.integers(0, len(own), len(own))]
+        means.append(sum(drawn) / len(drawn))
+    return np.quantile(means, [0.025, 0.975])
+
+
+def test_intervals_of_comparisons_equal_plain_resampling(spark):
+    got = {r.comparison: r for r in study.comparison_intervals(spark, SF).collect()}
+    cells = {(r.model, r.subject, r.trial, r.task): r.auroc for r in A.cells(spark, SF).collect()}
+    assert len(got) == 1 + 7 + 3 and {f"fig_A_N_{t}" for t in range(1, 8)} | {"A-N", "D4_A", "D4_N", "D4_R"} == set(got)
+    for task in ("1", "6"):
+        rows = [(s, t, x - cells["N", s, t, k]) for (m, s, t, k), x in cells.items() if m == "A" and k == task and ("N", s, t, k) in cells]
+        lo, hi = brute_interval(f"fig_A_N_{task}", rows)
+        r = got[f"fig_A_N_{task}"]
+        assert r.n_sessions == len(rows) and abs(r.ci_lo - lo) < 1e-9 and abs(r.ci_hi - hi) < 1e-9 and abs(r["mean"] - np.mean([x[2] for x in rows])) < 1e-9
+
+
+def test_a_word_without_pitch_is_an_error(spark):
+    names = [*timescale.DIRECT.values(), "is_onset", "face_num", "idx_in_sentence", "bin_head"]
+    words = spark.createDataFrame([(1, 1, i, "x", i / 3, i / 3 + 0.1, "VERB") for i in range(3)], "subject int, trial int, est_idx int, sentence string, start double, end double, pos string").withColumns({c: F.lit(1.0) for c in names})
+    pitch = spark.createDataFrame([("0.00000", 5.0), ("0.33333", None), ("0.66667", 7.0)], "key string, pitch double")
+    rows = timescale.word_variables(words, pitch).where("task = 'pitch'").orderBy("est_idx").collect()
+    assert [r.value for r in rows] == [5.0, None, 7.0]
+    with pytest.raises(FAILS, match="no pitch for .*0.66667"):
+        timescale.word_variables(words, pitch.where("pitch is null or pitch < 6")).collect()
+
+
+def test_scales_of_a_column(spark):
+    lengths = [64, 100, 200, 256, 999, 1024, 2048, 5000]
+    got = spark.createDataFrame([(n,) for n in lengths], "n int").select("n", columns.scales_of("n").alias("s")).collect()
+    assert {r.n: r.s for r in got} == {n: columns.geometric_scales(n) for n in lengths}

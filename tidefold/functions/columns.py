@@ -68,6 +68,14 @@ def geometric_scales(n: int, smallest: int = 8, count: int = 12, largest: int |
     return sorted({smallest, top, *map(round, inner)})
 
 
+def scales_of(n: str | Column, smallest: int = 8, count: int = 12) -> Column:
+    """geometric_scales() of a column of lengths, as an array of longs."""
+    top = F.greatest(F.lit(2 * smallest), F.floor(col(n) / 8)).cast("double")
+    inner = lambda k: half_even(smallest * F.exp(k * F.ln(top / smallest) / (count - 1)))
+    every = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.when(k == 0, float(smallest)).when(k == count - 1, top).otherwise(inner(k)).cast("long"))
+    return F.array_sort(F.array_distinct(every))
+
+
 def lookup(mapping: Column, key: str | Column, default) -> Column:
     """What a map has for a key, or the default if it has nothing there."""
     return F.coalesce(F.try_element_at(mapping, col(key)), F.lit(default))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import float_key, is_finite
+from ..functions.columns import float_key, is_finite, refuse
 from ..model import LAG_CAP, LEAST_PAIRS
 
 # Task variables that are a column of the word table, and its name there
@@ -26,7 +26,8 @@ def word_variables(words: DataFrame, pitch: DataFrame | None = None, session: Se
     """session, start, est_idx, task, value: every task's variable of every word.
 
     Direct columns, five indicators, the gap to the word before in the same sentence (null for the first), presence of
-    speech, and pitch from a side table (movie key, key, pitch) joined on the start time's text where it's given.
+    speech, and pitch from a side table (movie key, key, pitch) joined on the start time's text where it's given: a word
+    without a row there is an error.
     """
     prior = Window.partitionBy(*session).orderBy(order)
     same = F.lag("sentence").over(prior) == F.col("sentence")
@@ -38,8 +39,9 @@ def word_variables(words: DataFrame, pitch: DataFrame | None = None, session: Se
         "word_gap": F.when(same, F.col("start") - F.lag("end").over(prior)), "speech": F.lit(1.0),
     }
     if pitch is not None:
-        words = words.withColumn("key", float_key("start")).join(pitch.select(*[c for c in pitch.columns if c in (*session, "key", "pitch")]), [*[c for c in session if c in pitch.columns], "key"], "left")
-        values["pitch"] = F.col("pitch").cast("double")
+        on = [*[c for c in session if c in pitch.columns], "key"]
+        words = words.withColumn("key", float_key("start")).join(pitch.select(*on, F.struct("pitch").alias("_pitch")), on, "left")
+        values["pitch"] = refuse(F.col("_pitch").isNull(), F.concat(F.lit("no pitch for "), F.to_json(F.struct(*on))), F.col("_pitch.pitch").cast("double"))
     wide = words.select(*session, "start", order, *[v.alias(t) for t, v in values.items()])
     return wide.unpivot([*session, "start", order], list(values), "task", "value")
 

@@ -40,11 +40,11 @@ def cells_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_cells(spark, path).select("model", *SESSION, "task", r6("auroc", "auroc"))
 
 
-@query(f"WITH {LI} SELECT subject, trial, model AS electrode, round(avg(x), 6) AS mean_auroc FROM dec WHERE subject < 2 GROUP BY ALL")
+@query(f"WITH {LI} SELECT subject, trial, model AS electrode, round(avg(x), 6) AS mean_auroc FROM dec GROUP BY ALL")
 def electrodes_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of electrodes in a file for each session, which the file's name tells; sessions are some dozen."""
     path = writers.scratch(spark, "electrodes")
-    means = A.decoded(spark, sf_dir).where("test_subject < 2").groupBy(F.col("test_subject").alias("subject"), F.col("test_trial").alias("trial"), F.col("rung").alias("electrode")).agg(F.avg("test_auroc").alias("m"))
+    means = A.decoded(spark, sf_dir).groupBy(F.col("test_subject").alias("subject"), F.col("test_trial").alias("trial"), F.col("rung").alias("electrode")).agg(F.avg("test_auroc").alias("m"))
     files = means.groupBy(columns.session_tag("subject", "trial").alias("tag")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "electrode", "m"))), "\n").alias("lines"))
     for r in files.toLocalIterator():
         writers.write_text(spark, f"{path}/electrode_mean_{r['tag']}.csv", f"electrode,mean_auroc\n{r['lines']}\n")
@@ -64,12 +64,12 @@ def leaderboard_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_leaderboard(spark, f"{path}/*.json", "m", "within").withColumn("auroc", F.round("auroc", 6))
 
 
-@query(f"WITH {PA}, o AS (SELECT stem, electrode, row_number() OVER (PARTITION BY stem ORDER BY num) AS pos, dense_rank() OVER (ORDER BY stem) AS k FROM na) SELECT (k % 100)::INT AS subject, (k // 100)::INT AS trial, pos::INT AS pos, electrode FROM o WHERE k <= 40")
+@query(f"WITH {PA}, o AS (SELECT stem, electrode, row_number() OVER (PARTITION BY stem ORDER BY num) AS pos, dense_rank() OVER (ORDER BY stem) AS k FROM na) SELECT (k % 100)::INT AS subject, (k // 100)::INT AS trial, pos::INT AS pos, electrode FROM o")
 def subsets_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of electrodes by session as one JSON object."""
     path = writers.scratch(spark, "subsets")
     names = selection.parse_names(A.electrodes(spark, sf_dir)).groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("num", "electrode"))).alias("s"))
-    lists = names.withColumn("k", F.dense_rank().over(Window.orderBy("stem"))).where("k <= 40")
+    lists = names.withColumn("k", F.dense_rank().over(Window.orderBy("stem")))
     tag = F.format_string("s%d_t%d", (F.col("k") % 100).cast("int"), F.floor(F.col("k") / 100).cast("int"))
     document = lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(tag, F.transform("s", lambda x: x["electrode"]))))).alias("d")).first()["d"]
     writers.write_text(spark, path, document)

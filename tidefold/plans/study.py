@@ -27,9 +27,12 @@ def window_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_audit.distinct_windows(A.events(spark, sf_dir))
 
 
-@query(f"WITH {FI} SELECT DISTINCT {C4}, role, test_subject AS src_subject, test_trial AS src_trial FROM fi WHERE role <> 'val'")
+@query(f"WITH {FI} SELECT DISTINCT {C4}, role, CASE WHEN role = 'train' THEN (test_subject + 1) % 6 ELSE test_subject END AS src_subject, CASE WHEN role = 'train' THEN 1 - test_trial ELSE test_trial END AS src_trial FROM fi WHERE role <> 'val'")
 def fold_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = A.fold_index(spark, sf_dir).withColumn("src_subject", F.col("test_subject")).withColumn("src_trial", F.col("test_trial"))
+    """Train rows come from the next subject's other session, test rows from their own; validation rows from all over."""
+    train = F.col("role") == "train"
+    subject = F.when(F.col("role") == "val", F.col("base_index") % 6).when(train, (F.col("test_subject") + 1) % 6).otherwise(F.col("test_subject"))
+    index = A.fold_index(spark, sf_dir).withColumn("src_subject", subject.cast("int")).withColumn("src_trial", F.when(train, 1 - F.col("test_trial")).otherwise(F.col("test_trial")))
     return fold_audit.single_source(index)
 
 
@@ -60,11 +63,11 @@ def amplitude_and_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode(both).alias("place", "v")).select("vec_id", "place", r6("v", "value"))
 
 
-@query(f"""WITH {EM}, ch AS (SELECT vec_id // 4 AS "window", vec_id % 4 AS c, i, x FROM em WHERE i < 8)
+@query(f"""WITH {EM}, ch AS (SELECT vec_id // 4 AS "window", vec_id % 4 AS c, i, x FROM em)
 SELECT "window", (row_number() OVER (PARTITION BY "window" ORDER BY c DESC, i) - 1)::INT AS place, round(x, 6) AS value FROM ch""")
 def flattened_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four vectors a window as its channels, the last first."""
-    rows = A.windows(spark, sf_dir).select(F.floor(F.col("vec_id") / 4).alias("window"), (-(F.col("vec_id") % 4)).alias("c"), F.slice("samples", 1, 8).alias("x"))
+    rows = A.windows(spark, sf_dir).select(F.floor(F.col("vec_id") / 4).alias("window"), (-(F.col("vec_id") % 4)).alias("c"), F.col("samples").alias("x"))
     flat = features.flatten_channels(rows, ["window"], "c", "x")
     return flat.select("window", F.posexplode("features").alias("place", "v")).select("window", "place", r6("v", "value"))
 
@@ -165,25 +168,27 @@ def averaged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Words and time
 
-WORDS = """wd AS (SELECT l_suppkey % 3 AS session, l_orderkey * 10 + l_linenumber AS est_idx, l_linenumber, l_orderkey, l_quantity, l_discount, l_tax, l_extendedprice FROM lineitem)"""
+WORDS = """wd AS (SELECT l_suppkey % 3 AS session, l_orderkey * 10 + l_linenumber AS est_idx, l_linenumber, l_orderkey, l_quantity, l_discount, l_tax, l_extendedprice, l_linestatus, l_returnflag FROM lineitem)"""
 
 
-@query(f"""WITH {WORDS}, v AS (SELECT session, est_idx, l_quantity AS volume, l_discount / 3 AS delta_volume, l_tax AS gpt2_surprisal,
+@query(f"""WITH {WORDS}, v AS (SELECT session, est_idx, l_quantity AS volume, l_discount / 3 AS delta_volume, l_tax AS gpt2_surprisal, l_extendedprice / 7 AS frame_brightness, l_extendedprice / 11 AS global_flow, l_extendedprice * l_tax AS local_flow, length(l_linestatus || l_returnflag)::DOUBLE AS word_length,
   (l_linenumber = 1)::INT::DOUBLE AS onset, (l_linenumber > 2)::INT::DOUBLE AS face_num, (l_linenumber = 1)::INT::DOUBLE AS word_index, (l_quantity::INT % 2 = 0)::INT::DOUBLE AS word_head_pos, (l_quantity > 25)::INT::DOUBLE AS word_part_speech,
-  CASE WHEN lag(l_orderkey) OVER w = l_orderkey THEN est_idx::DOUBLE - (lag(est_idx) OVER w + 0.5) END AS word_gap, 1.0::DOUBLE AS speech FROM wd WINDOW w AS (PARTITION BY session ORDER BY est_idx))
-SELECT task, count(*) AS n, count(value) AS known, round(avg(value), 6) AS mean FROM (UNPIVOT v ON volume, delta_volume, gpt2_surprisal, onset, face_num, word_index, word_head_pos, word_part_speech, word_gap, speech INTO NAME task VALUE value) u GROUP BY task
+  CASE WHEN lag(l_orderkey) OVER w = l_orderkey THEN est_idx::DOUBLE - (lag(est_idx) OVER w + 0.5) END AS word_gap, 1.0::DOUBLE AS speech, pitch FROM wd JOIN (SELECT est_idx, max(l_quantity * l_linenumber) AS pitch FROM wd GROUP BY est_idx) pp USING (est_idx) WINDOW w AS (PARTITION BY session ORDER BY est_idx))
+SELECT task, count(*) AS n, count(value) AS known, round(avg(value), 6) AS mean FROM (UNPIVOT v ON volume, delta_volume, gpt2_surprisal, frame_brightness, global_flow, local_flow, word_length, pitch, onset, face_num, word_index, word_head_pos, word_part_speech, word_gap, speech INTO NAME task VALUE value) u GROUP BY task
 UNION ALL SELECT 'word_gap_missing', count(*), 0, NULL FROM v WHERE word_gap IS NULL""")
 def task_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variables of words made of order lines: how many words have each, and its mean."""
+    """All variables of words made of order lines, pitch from a side table: how many words have each, and its mean."""
     x, c = A.table(spark, sf_dir, "lineitem"), F.col
     at = (c("l_orderkey") * 10 + c("l_linenumber")).cast("double")
     words = x.select(
         (c("l_suppkey") % 3).alias("session"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("est_idx"), c("l_orderkey").alias("sentence"), at.alias("start"), (at + 0.5).alias("end"),
         c("l_quantity").alias("rms"), (c("l_discount") / 3).alias("delta_rms"), c("l_tax").alias("gpt2_surprisal"), F.when(c("l_linenumber") == 1, 1).otherwise(0).alias("is_onset"),
         F.when(c("l_linenumber") > 2, 1).otherwise(0).alias("face_num"), (c("l_linenumber") - 1).alias("idx_in_sentence"), (c("l_quantity").cast("int") % 2).alias("bin_head"),
-        F.when(c("l_quantity") > 25, "VERB").otherwise("NOUN").alias("pos"), *[F.lit(None).cast("double").alias(n) for n in ("mean_pixel_brightness", "max_global_magnitude", "max_vector_magnitude", "word_length")],
+        F.when(c("l_quantity") > 25, "VERB").otherwise("NOUN").alias("pos"), (c("l_extendedprice") / 7).alias("mean_pixel_brightness"), (c("l_extendedprice") / 11).alias("max_global_magnitude"),
+        (c("l_extendedprice") * c("l_tax")).alias("max_vector_magnitude"), F.length(F.concat("l_linestatus", "l_returnflag")).alias("word_length"),
     )
-    rows = timescale.word_variables(words, session=("session",)).where("task not in ('frame_brightness', 'global_flow', 'local_flow', 'word_length')")
+    pitch = x.groupBy(columns.float_key(at).alias("key")).agg(F.max(c("l_quantity") * c("l_linenumber")).alias("pitch"))
+    rows = timescale.word_variables(words, pitch, session=("session",))
     known = rows.where("value is not null").groupBy("task").agg(F.count("*").alias("n"), F.count("value").alias("known"), r6(F.avg("value"), "mean"))
     gaps = rows.where("task = 'word_gap' and value is null").agg(F.lit("word_gap_missing").alias("task"), F.count("*").alias("n"), F.lit(0).cast("long").alias("known"), F.lit(None).cast("double").alias("mean"))
     return known.unionByName(gaps)
@@ -209,7 +214,7 @@ def suffix_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM ho a JOIN ho b USING (model, subject, trial) WHERE a.fold = 0 AND b.fold = 1 GROUP BY a.model""")
 def converged_minus_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.decoded(spark, sf_dir)
-    out = inference.converged_minus_default(_half(d, 0), _half(d, 1), TASKS, resamples=100)
+    out = inference.converged_minus_default(_half(d, 0), _half(d, 1), TASKS)
     return out.select("model", "n_sessions", *[r6(c, c) for c in ("mean", "default", "converged")])
 
 
@@ -231,11 +236,21 @@ SELECT task, count(*) AS n_sessions, round(avg(d), 6) AS mean, round(max(t.tau),
 def paired_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = A.cells(spark, sf_dir)
     tau = cells.where("model = 'R' and task <> '3'").groupBy("task").agg(F.avg("auroc").alias("tau"))
-    out = inference.compare_tasks(cells, "A", "N", tau, resamples=500)
+    out = inference.compare_tasks(cells, "A", "N", tau)
     inside = (F.col("ci_lo") <= F.col("mean")) & (F.col("mean") <= F.col("ci_hi"))
     return out.select("task", "n_sessions", r6("mean", "mean"), r6("tau", "tau"), inside.alias("inside"))
 
 
+@query()
+def comparison_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and whole intervals of the comparisons above, of models, of tasks and of tolerances; tested against plain resampling."""
+    d, cells = A.decoded(spark, sf_dir), A.cells(spark, sf_dir)
+    models = inference.compare(_thinned(cells), "A", "N", TASKS).select("comparison", "n_sessions", F.col("mean_diff").alias("mean"), "ci_lo", "ci_hi")
+    tasks = inference.compare_tasks(cells, "A", "N").select(F.concat(F.lit("fig_A_N_"), "task").alias("comparison"), "n_sessions", "mean", "ci_lo", "ci_hi")
+    late = inference.converged_minus_default(_half(d, 0), _half(d, 1), TASKS).select(F.concat(F.lit("D4_"), "model").alias("comparison"), "n_sessions", "mean", "ci_lo", "ci_hi")
+    return models.unionByName(tasks).unionByName(late)
+
+
 @query(f"""WITH {LI}, t AS (SELECT task, round(avg(auroc) FILTER (WHERE model = 'R'), 3) AS tau, avg(auroc) FILTER (WHERE model = 'A') AS mean FROM cells GROUP BY task)
 SELECT task, (row_number() OVER (ORDER BY tau, mean))::INT AS place FROM t""")
 def task_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +318,9 @@ def halves_to_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rounded", columns.half_even("x").cast("double"))
 
 
-@query("""SELECT DISTINCT n, round_even(8 * exp(k * ln(greatest(16, n // 8) / 8.0::DOUBLE) / 11), 0)::BIGINT AS scale FROM (SELECT unnest([256, 512, 1024, 2048]) AS n) a, (SELECT unnest(range(12)) AS k) b""")
+@query("""WITH w AS (SELECT DISTINCT p_size * 40 + 200 AS n FROM part)
+SELECT DISTINCT n, round_even(8 * exp(k * ln(greatest(16, n // 8) / 8.0::DOUBLE) / 11), 0)::BIGINT AS scale FROM w, (SELECT unnest(range(12)) AS k) b""")
 def default_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The geometric scales of windows of some lengths."""
-    return spark.createDataFrame([(n, s) for n in (256, 512, 1024, 2048) for s in columns.geometric_scales(n)], "n int, scale long")
+    """The geometric scales of windows whose lengths are a column."""
+    lengths = A.table(spark, sf_dir, "part").select((F.col("p_size") * 40 + 200).alias("n")).distinct()
+    return lengths.select("n", F.explode(columns.scales_of("n")).alias("scale"))

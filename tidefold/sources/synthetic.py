@@ -30,6 +30,11 @@ def replicates(spark: SparkSession, hursts: Sequence[float] = (0.3, 0.5, 0.7, 0.
         .withColumn("exponent", F.explode(array([float(h) for h in hursts])))
         .withColumn("n", F.explode(array(list(lengths))))
     )
+    return noise(cells.repartition(spark.sparkContext.defaultParallelism))
+
+
+def noise(cells: DataFrame) -> DataFrame:
+    """Rows of family (fgn or fbm), exponent, n and rep with seed, truth and samples: a signal for each, made where its row is."""
     brownian = (F.col("family") == "fbm").cast("int")
     cells = cells.withColumn("seed", brownian * 1_000_000 + F.floor(F.round(F.col("exponent") * 10)).cast("int") * 10_000 + F.col("n") * 10 + F.col("rep")).withColumn("truth", F.col("exponent") + brownian)
 
@@ -38,4 +43,4 @@ def replicates(spark: SparkSession, hursts: Sequence[float] = (0.3, 0.5, 0.7, 0.
             steps = [fgn(int(n), float(h), int(s)) for n, h, s in zip(some["n"], some["exponent"], some["seed"], strict=True)]
             yield some.assign(samples=[np.cumsum(x) if f == "fbm" else x for x, f in zip(steps, some["family"], strict=True)])
 
-    return cells.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, cells.select("*", F.lit(None).cast("array<double>").alias("samples")).schema)
+    return cells.mapInPandas(run, cells.select("*", F.lit(None).cast("array<double>").alias("samples")).schema)
