@@ -79,3 +79,24 @@ def test_items_of_any_type_and_null_ids(spark):
         for most in (1, 1_000_000):
             got = {r.doc_id: (r.n_hit, list(r.item_ids)) for r in decontaminate.scan(docs, bench, most_words=most).collect()}
             assert got == {1: (11, ids), 2: (0, [])}
+
+
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_many_blocks_take_one_python_node_a_pass(spark, remove):
+    """Each block is a job of its own, and what is removed doesn't depend on the blocks."""
+    rng = random.Random(1)
+    items = [(i, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randint(0, 9)) for _ in range(12))) for i in range(20)]
+    docs = [(i, f"start {items[i % 20][1]} middle {items[(i * 7 + 1) % 20][1]} end", "of") for i in range(60)] + [(99, "clean text", "row"), (100, None, "spans")]
+    benchmark, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "of long, text string, spans string")
+    one, many = (decontaminate.decontaminate(table, benchmark, remove, most_words=n) for n in (1000, 12))
+    assert many.columns == table.columns and sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == (remove == "spans")
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(10))
+    text = "word " * 1_000_000 + item + " tail" * 1_000_000
+    docs = spark.createDataFrame([(1, text), (2, "x" * 5_000_000)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.scan(docs, benchmark).collect()}
+    assert got == {1: (2_000_010, 10, [7]), 2: (1, 0, [])}

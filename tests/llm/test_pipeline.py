@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidefold.llm import decontaminate, langid, simhash
-from tidefold.llm.common import crc32_mod, made
+from tidefold.llm.common import crc32_mod, cut, made
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +113,30 @@ def test_stages_delete_what_the_ones_before_left(spark):
     before = set(made(spark))
     corpus_pipeline.run(spark, SF).count()
     assert len(set(made(spark)) - before) == 2  # the stages' results and the token files
+
+
+def test_operators_beside_a_stage_keep_their_tables(spark):
+    """A stage runs while another operator of the session makes a table, in its thread between stages and in another one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.language_id(spark, docs, SF)
+    beside = cut(docs.select("doc_id"), "beside")
+    made_by_other = []
+    started, end = threading.Event(), threading.Event()
+
+    def other():
+        started.wait(60)
+        made_by_other.append(cut(docs.select("text"), "other"))
+        end.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+
+    def slow(*args):
+        started.set()
+        end.wait(60)
+        return args[1]
+
+    corpus_pipeline._stage(slow)(spark, docs, SF)
+    thread.join()
+    corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert beside.count() == made_by_other[0].count() == docs.count()

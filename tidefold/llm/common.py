@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,18 @@ def crc32_mod(column: str, n: int) -> Column:
 
 _local: dict[str, tempfile.TemporaryDirectory] = {}
 _made: dict[str, list[str]] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def folders() -> Iterator[list[str]]:
+    """The folders that are made within this block, by this thread: not those of operators that run beside it."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
         root = _local.setdefault(app, tempfile.TemporaryDirectory(prefix="tidefold-", ignore_cleanup_errors=True)).name
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     _made.setdefault(app, []).append(path)
+    if (own := _scope.get()) is not None:
+        own.append(path)
     return path
 
 

@@ -17,6 +17,8 @@ from .common import cut, slices
 WINDOW = 10
 #: Benchmark words that one hash set may hold, some 200 MB in a worker; more items are scanned for in further blocks.
 MOST_WORDS = 1_000_000
+#: Digests of texts with hits that are broadcast at most, some 50 MB; more are joined by a shuffle.
+MOST_HITS = 500_000
 #: Bytes of words stay, A-Z are lowered, all else parts words: 0-9, a-z and all of characters beyond ASCII.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD_IN_TEXT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -183,24 +185,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """The documents without those that hold a benchmark window, or (remove="spans") without the words inside windows.
 
     All columns stay as they are, whatever their names; with spans, texts with hits are changed, others never. Texts
-    that are null or without words stay. Rules and bounds are those of scan(), block after block.
+    that are null or without words stay. Rules and bounds are those of scan(), and so are the windows that are found,
+    however the benchmark is cut into blocks: with several, each is scanned for in a pass of its own, and rows are joined
+    with the texts that have hits, by a digest of the text.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
     spark, at = docs.sparkSession, docs.columns.index(text)
-    for block in _blocks(benchmark, item_id, item_text, most_words):
+    blocks = _blocks(benchmark, item_id, item_text, most_words)
+    block = next(blocks)
+    if next(blocks, None) is None:
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ngrams = ngrams_of(shared.value, window)
             for batch in slices(batches):
-                texts = batch.column(at).to_pylist()
-                found = [runs(ngrams.scan(words(t))[0]) for t in texts]
-                if remove == "documents":
-                    yield batch.filter(pa.array([not s for s in found]))
-                else:
-                    new = pa.array([without(t, s) if s else t for t, s in zip(texts, found, strict=True)], batch.schema.field(at).type)
-                    yield pa.RecordBatch.from_arrays([new if k == at else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                found = [runs(ngrams.scan(words(t.as_py()))[0]) for t in batch.column(at)]
+                yield batch.filter(pa.array([not s for s in found])) if remove == "documents" else _cleaned(batch, at, found)
+
+        return docs.mapInArrow(run, docs.schema)
+    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    scanned = scan(docs.select(digest.alias("of"), F.col(f"`{text}`").alias("text")), benchmark, window, "of", "text", item_id, item_text, most_words)
+    hits = cut(scanned.where("n_hit > 0").select(F.col("doc_id").alias("of"), "spans").dropDuplicates(["of"]), "texts")
+    hits = F.broadcast(hits) if remove == "documents" and hits.count() <= MOST_HITS else hits
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("of"))
+    if remove == "documents":
+        return rows.join(hits.select("of"), "of", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    wide = rows.join(hits, "of", "left").select("spans", "row")
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [[(s["first"], s["last"]) for s in x.as_py() or ()] for x in batch.column(0)]
+            yield _cleaned(pa.RecordBatch.from_struct_array(batch.column(1)), at, found)
+
+    return wide.mapInArrow(cleaned, docs.schema)
+
+
+def _cleaned(batch: pa.RecordBatch, at: int, found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """A batch whose texts lack some runs of words."""
+    texts = batch.column(at).to_pylist()
+    new = pa.array([without(t, s) if s else t for t, s in zip(texts, found, strict=True)], batch.schema.field(at).type)
+    return pa.RecordBatch.from_arrays([new if k == at else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, replacing, shared_dir, slices
+from .common import cut, filesystem, replacing, shared_dir, slices
 from .tokens import encoder, vocabulary
 
 #: Tokens a block holds. A block is a task's unit: files of any size are scanned in parallel.
@@ -56,7 +56,7 @@ def count_tokens(files: DataFrame, end_id: int = 49407, width: int = 2, block: i
     Files are read in blocks, in any order and on any executor. A block finds its end ids with one vectorised
     comparison and returns the lengths they part, the first from its own start. Running sums of ends number the
     documents; the running maximum of the last end's place tells what earlier blocks hold of a block's first document,
-    however many blocks it crosses. Tokens behind a file's last end are no document. Empty files have no documents.
+    however many blocks it crosses. Just these numbers of a file's blocks meet in a task; lengths stay with their block. Tokens behind a file's last end are no document. Empty files have no documents.
     """
     blocks = files.where("tokens > 0").select("path", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block).cast("long"))).alias("at"))
 
@@ -75,13 +75,11 @@ def count_tokens(files: DataFrame, end_id: int = 49407, width: int = 2, block: i
                 )
 
     n = max(1, files.sparkSession.sparkContext.defaultParallelism * 4)
-    scanned = blocks.repartition(n, "path", "at").mapInArrow(run, "path string, at long, ends long, last long, lengths array<bigint>")
+    scanned = cut(blocks.repartition(n, "path", "at").mapInArrow(run, "path string, at long, ends long, last long, lengths array<bigint>"), "blocks")
     earlier = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = (
-        scanned.withColumn("first", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
-        .withColumn("open", F.col("at") - F.coalesce(F.max("last").over(earlier), F.lit(-1)) - 1)
-        .select("path", "first", "open", F.posexplode("lengths").alias("k", "length"))
-    )
+    # a file's blocks meet without their lengths: some numbers for each
+    before = scanned.select("path", "at", F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("first"), (F.col("at") - F.coalesce(F.max("last").over(earlier), F.lit(-1)) - 1).alias("open"))
+    stitched = scanned.select("path", "at", "lengths").join(before.hint("merge"), ["path", "at"]).select("path", "first", "open", F.posexplode("lengths").alias("k", "length"))
     return stitched.select("path", (F.col("first") + F.col("k")).alias("nth"), (F.col("length") + F.when(F.col("k") == 0, F.col("open")).otherwise(0)).alias("n_tokens"))
 
 
