@@ -96,7 +96,7 @@ def brute(rows):
         classes = {}
         for t, v in counts.items():
             n = sum(x > 0 for x in v)
-            if n >= max(html.LEAST_PAGES, *((html.ARTICLE_PAGES, len(once) * html.ARTICLE_SHARE) if kinds[t] == html.ARTICLE_TEXT_KIND else (len(once) * html.LEAST_SHARE,))):
+            if n >= max(html.LEAST_PAGES, len(once) * html.LEAST_SHARE):
                 classes.setdefault(tuple(v), []).append(t)
         elements = lambda c: [t for t in c if kinds[t] < html.TEXT]
         valid = [c for c in classes.values() if len(c) >= html.LEAST_TOKENS and len({mean(places, t) for t in elements(c)}) == len(elements(c))]
@@ -106,13 +106,13 @@ def brute(rows):
             if len({of.get(parents[t]) for t in elements(c)} - {k}) > 1:
                 continue
             n = sum(x > 0 for x in counts[c[0]])
-            held, within = (sum(mean(shares, t) for t in c if kinds[t] in some) for some in ((html.TEXT, html.ARTICLE_TEXT_KIND), (html.ARTICLE_TEXT_KIND,)))
+            held = sum(mean(shares, t) for t in c if kinds[t] == html.TEXT)
             for t in c:
                 if kinds[t] < html.TEXT:
                     template.add(t)
                     single |= {t} if sum(counts[t]) == n and kinds[t] in (html.HOLDER, html.WRAPPER) else set()
                     wrappers |= {t} if kinds[t] == html.WRAPPER else set()
-                elif held <= html.MOST_TEXT and (n >= html.LEAST_TEXT_PAGES if kinds[t] == html.TEXT else within <= html.ARTICLE_TEXT):
+                elif held <= html.MOST_TEXT and n >= html.LEAST_TEXT_PAGES:
                     template.add(t)
         sums, whole = {}, 0
         for page in [html.Page(h) for _, o, h in pages if o == host]:
@@ -170,11 +170,56 @@ def test_brute_force_on_named_layouts(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_what_all_of_many_articles_repeat_is_template(spark):
+@pytest.mark.parametrize("n", [1, 7, 8, 12])
+def test_what_articles_repeat_stays_whatever_their_number(spark, n):
     page = "<html><head></head><body><article><h1>Title {0}</h1><p>{1}</p><p>Share this story</p></article><footer>f</footer></body></html>"
-    rows = [(i, "http://h.example/x", page.format(i, f"story number {i} goes on")) for i in range(12)]
-    assert run(spark, rows) == {i: f"Title {i} story number {i} goes on" for i in range(12)}
-    assert run(spark, rows[:5]) == {i: f"Title {i} story number {i} goes on Share this story" for i in range(5)}  # too little evidence
+    rows = [(i, "http://h.example/x", page.format(i, f"story number {i} goes on")) for i in range(n)]
+    assert run(spark, rows) == {i: f"Title {i} story number {i} goes on Share this story" for i in range(n)}
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>a</p><script src=/ads/1/>track(1);</script><p>b</p>", "a b"),
+    ("<p>a</p><style media=x/>p { }</style ><p>b</p><textarea/>c</textarea\n/><p>d", "a b d"),
+    ("<p>a</p><svg><g><svg x='>'><text>in</text></svg><text>label</text></g></svg><p>b</p>", "a b"),
+    ("<p>a</p><svg/><p>b</p><object><object>x</object>y</object><p>c</p>", "a b c"),
+    ("<article><p>a</p><div class='gdpr-banner-x'>We use cookies</div><p>b</p></article>", "a b"),
+])
+def test_raw_elements_end_where_they_end(spark, page, text):
+    assert run(spark, [(1, None, page)]) == {1: text}
+
+
+def story(i):
+    lines = [f"Paragraph {k} of story {i} that goes on for some time and says this and that" for k in range(8)]
+    return "".join(f"<p>{x}</p>" for x in lines), " ".join(lines)
+
+
+STORY, PLAIN = story(0)
+
+
+def test_discussions_by_structure(spark):
+    """Hosts of one page and of nine, named in several ways; without <article> nothing tells the menu of a single page."""
+    one = "<div class='k'><b class='w'>Reader {0}</b><i>on Monday</i><p>I agree with number {0} and more</p></div>"
+    rows, want = [], {}
+    for name in ("fb-comments", "commentlist", "discussion", "qzx"):
+        for outer, pages in (("article", 1), ("article", 9), ("div", 1), ("div", 9)):
+            for i in range(pages):
+                key, (html_, plain) = len(rows), story(i)
+                said = "".join(one.format(f"{i}{k}") for k in range(2 + i % 3))
+                rows.append((key, f"http://{name}.{outer}{pages}/x", f"<html><body><div class='m'>Menu</div><{outer} class='z'><h1>Title {i}</h1>{html_}<div class='{name}'><h3>What readers say</h3>{said}</div></{outer}></body></html>"))
+                want[key] = f"{'Menu ' * (outer == 'div' and pages == 1)}Title {i} {plain}"
+    assert run(spark, rows) == want
+
+
+@pytest.mark.parametrize("end", [
+    "<ul>" + "<li class='x'><b>Term</b><p>what it means</p></li>" * 3 + "</ul>",  # no class tells who speaks
+    "<div class='f'>" + "<div class='q'><h3 class='y'>Question</h3><p>Answer</p><p class='u'>More</p></div>" * 3 + "</div>",
+    "<table class='t'>" + "<tr class='r'><td class='a'>1</td><td class='b'>2</td></tr>" * 3 + "</table>",
+    "<div class='g'>" + "<figure class='i'><b class='n'>Name</b><i>caption</i></figure>" * 3 + "</div>",
+    "<div class='c'>" + "<div class='k'><b class='w'>Who</b><i>when</i><p>what</p></div>" * 3 + "</div><p>The end</p>",  # not at the end
+])
+def test_what_is_no_discussion_stays(end):
+    told = f"{PLAIN} {re.sub('<[^>]*>', ' ', end)}"
+    assert html.Page(f"<article>{STORY}{end}</article>").main_text(frozenset()).replace(" ", "") == told.replace(" ", "")
 
 
 @pytest.mark.parametrize(("page", "text"), [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -22,8 +22,9 @@ LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 2, 0.5
 #: Its texts are, if they also occur on so many pages and leave the slots of its pages a share of the text: copies and
 #: near copies of a page, or two pages with a common passage, make classes too, whose texts are articles.
 LEAST_TEXT_PAGES, MOST_TEXT = 3, 0.9
-#: Texts in <article> are template only on this evidence: near every one of many pages has them, and they're the lesser part.
-ARTICLE_PAGES, ARTICLE_SHARE, ARTICLE_TEXT = 8, 0.9, 0.5
+#: A discussion: so many like records of so many elements each at the end of the article, less than half of its text. An
+#: element around them belongs to it if what it has besides is less than a quarter of them, as a heading is.
+LEAST_RECORDS, LEAST_PARTS, MOST_DISCUSSION, MOST_BESIDE = 2, 2, 0.5, 0.25
 #: The slot of the article is the innermost template element that holds over half of its host's slot text.
 DOMINANT = 0.5
 #: Template tokens of all hosts that are broadcast, some 100 MB; beyond, templates are joined by host and salt.
@@ -33,8 +34,8 @@ SALTS = 64
 DEEPEST = 512
 #: Bits of what a block lies in: an element that can hold an article, <article>, <main>, one named so, <h1>.
 BOX, ARTICLE, MAIN, NAMED, TITLE = 1, 2, 4, 8, 16
-#: Kinds of tokens: elements, those that can hold an article, those that hold one, texts, texts in <article>.
-ELEMENT, HOLDER, WRAPPER, TEXT, ARTICLE_TEXT_KIND = 0, 1, 2, 3, 4
+#: Kinds of tokens: elements, those that can hold an article, those that hold one, texts.
+ELEMENT, HOLDER, WRAPPER, TEXT = 0, 1, 2, 3
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -46,6 +47,11 @@ _BLOCK = frozenset(
     "thead tr ul".split()
 )
 _BUT_P = _BLOCK - {"p"}
+#: Raw elements that may hold others of their name, and those that a slash ends.
+_NESTING, _SLASHED = frozenset("svg canvas object template".split()), frozenset(("svg", "math"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are no record of a discussion, whatever repeats in them, and those that tell who spoke and when.
+_NO_RECORDS, _STAMPS = frozenset("p figure table tbody tr td th dl dt dd pre".split()), frozenset("time cite address".split())
 _BOXES = frozenset("article body center div main section td".split())
 #: What the start of an element ends, if open and not behind one of the second set.
 _ENDS = {
@@ -53,7 +59,7 @@ _ENDS = {
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
 }
 #: Elements, roles and words of class and id names that mark what isn't the article. A name marks if all its words are
-#: of these or neutral: "ad-box" does, "ad-free" and "related-work" don't.
+#: of these or neutral, or two are of these: "ad-box" and "gdpr-banner-x" do, "ad-free" and "related-work" don't.
 _OTHER_TAGS = frozenset("nav aside footer form button select option input label dialog menu".split()) | _RAW
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _COMMENT_WORDS = frozenset("comment comments commentary disqus respond reply replies response responses teaser teasers".split())
@@ -85,7 +91,7 @@ def _kind(name: str, attrs: str) -> tuple[str, str, int]:
     token = name + "".join(f"{sign}{'.'.join(sorted(re.sub('[0-9]+', '0', w) for w in found[a].split()))}" for a, sign in (("id", "#"), ("class", ".")) if found.get(a))
     role = found.get("role", "").lower()
     names = [_words(w) for a in ("class", "id") for w in found.get(a, "").split()]
-    marked = lambda of: any(w & of and w <= of | _NEUTRAL_WORDS for w in names)
+    marked = lambda of: any(w & of and (w <= of | _NEUTRAL_WORDS or len(w & of) > 1) for w in names)
     if name in ("html", "body"):
         return token, "", 0
     if name == "article":
@@ -124,10 +130,23 @@ def _hash(parent: int, token: str) -> int:
     return xxhash.xxh64_intdigest(f"{parent}/{token}") >> 1
 
 
+def _end_of(name: str, html: str, at: int) -> int:
+    """Where a raw element ends: behind its end tag, or that of the outermost where they nest; at the page's end without one."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>", re.I).finditer(html, at):
+        if m[1]:
+            depth -= 1
+        elif name in _NESTING and not (name in _SLASHED and m[0].endswith("/>")):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(html)
+
+
 class Page:
     """A page read once, in time in proportion to its length: elements by path, and blocks of text in page order.
 
-    elements: path -> [parent path, times, place of the first, bit].
+    elements: path -> [parent path, times, place of the first, bit, name, whether it has a class or id].
     """
 
     def __init__(self, html: str | None) -> None:
@@ -222,13 +241,13 @@ class Page:
             top = stack[-1]
             path, bit = _hash(top.path, token), bit | (BOX if name in _BOXES else 0)
             if (known := self.elements.get(path)) is None:
-                self.elements[path] = [top.path, 1, len(self.elements), bit]
+                self.elements[path] = [top.path, 1, len(self.elements), bit, name, token != name]
             else:
                 known[1] += 1
-            if name in _RAW and not m["attrs"].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            elif name not in _VOID and len(stack) < DEEPEST and not (m["attrs"].endswith("/") and name not in _BLOCK):
+            slash = m["attrs"].endswith("/")  # it ends foreign elements; HTML ignores it, but pages write it on inline ones
+            if name in _RAW:
+                at = at if slash and name in _SLASHED else _end_of(name, html, at)
+            elif name not in _VOID and len(stack) < DEEPEST and not (slash and name not in _BLOCK):
                 marked = mark == "other" or (mark == "header" and not top.bits & (ARTICLE | MAIN | NAMED))
                 stack.append(Open(name, path, top.bits | bit, (*top.marks, path) if marked else top.marks))
                 opened[name] = opened.get(name, 0) + 1
@@ -239,7 +258,7 @@ class Page:
     def around_article(self) -> set[int]:
         """Paths of elements that hold <article> or <main>, whatever they are named."""
         out: set[int] = set()
-        for parent, _, _, bit in self.elements.values():
+        for parent, _, _, bit, *_ in self.elements.values():
             if bit & (ARTICLE | MAIN):
                 while parent and parent not in out:
                     out.add(parent)
@@ -294,13 +313,57 @@ class Page:
             chosen = [b for b in slots if b.path in there]
             if chosen and 2 * sum(len(b.text) for b in chosen) >= whole:
                 titles = [b for b in slots if b.bits & TITLE]
-                return " ".join(b.text for b in slots if b.path in there or (len(titles) == 1 and b is titles[0]))
+                return self.told([b for b in slots if b.path in there or (len(titles) == 1 and b is titles[0])])
         for bit in (ARTICLE, MAIN, NAMED):
-            chosen = [b.text for b in slots if b.bits & bit]
-            part = sum(map(len, chosen))
+            chosen = [b for b in slots if b.bits & bit]
+            part = sum(len(b.text) for b in chosen)
             if chosen and (2 * part >= whole or (bit == ARTICLE and not (doubt or template) and 3 * part >= whole)):
-                return " ".join(chosen)
-        return " ".join(b.text for b in slots)
+                return self.told(chosen)
+        return self.told(slots)
+
+    def told(self, blocks: list[Block]) -> str:
+        """The text of some blocks, without the discussion at their end."""
+        return " ".join(b.text for b in blocks[: len(blocks) - self.discussion(blocks)])
+
+    def discussion(self, blocks: list[Block]) -> int:
+        """How many of the last blocks are a discussion, by structure and whatever it is named.
+
+        It's made of records: an element with a class or id that is there LEAST_RECORDS times or more, with at least
+        LEAST_PARTS elements that each record has once, one of them with a class or id or such that it tells who and when, two
+        blocks of text or more, and no heading. The records' parent holds the last blocks and no others, and less than
+        MOST_DISCUSSION of all text; so do elements around it that have hardly anything besides (MOST_BESIDE).
+        """
+        e = self.elements
+        if not any(x[1] >= LEAST_RECORDS and (x[5] or x[4] == "article") for x in e.values()):
+            return 0
+        count, chars, first = Counter(), Counter(), {}
+        for k, b in enumerate(blocks):
+            count[b.path], chars[b.path] = count[b.path] + 1, chars[b.path] + len(b.text)
+            first.setdefault(b.path, k)
+        heads, top, parts, stamps = set(), {}, Counter(), Counter()
+        for path, x in reversed(e.items()):  # what an element holds comes behind it
+            parent = x[0]
+            count[parent], chars[parent] = count[parent] + count[path], chars[parent] + chars[path]
+            if path in first:
+                first[parent] = min(first[path], first.get(parent, first[path]))
+            if x[4] in _HEADINGS or path in heads:
+                heads.add(parent)
+        for path, x in e.items():
+            top[path] = top[x[0]] if x[0] in e and e[x[0]][1] == x[1] else path
+            if top[path] != path:
+                parts[top[path]] += 1
+                stamps[top[path]] += x[5] or x[4] in _STAMPS
+        last = lambda p: count[p] and first[p] + count[p] == len(blocks) and chars[p] < MOST_DISCUSSION * chars[0]
+        found = 0
+        for path, x in e.items():
+            record = x[1] >= LEAST_RECORDS and (x[5] or x[4] == "article") and x[4] not in _NO_RECORDS and path not in heads
+            if record and parts[path] >= LEAST_PARTS and stamps[path] and count[path] >= 2 * x[1] and last(at := x[0]):
+                records = chars[path]
+                while at in e and last(e[at][0]) and chars[e[at][0]] - records < MOST_BESIDE * records:
+                    at = e[at][0]
+                if chars[at] - records < MOST_BESIDE * records:
+                    found = max(found, count[at])
+        return found
 
 
 def host_of(url: Column) -> Column:
@@ -354,7 +417,9 @@ def tokens_of(page: Page) -> tuple[list[list], list[tuple[int, Block]]]:
     found = {p: [p, e[0], WRAPPER if p in around else HOLDER if e[3] & BOX else ELEMENT, e[1], e[2], 0.0] for p, e in page.elements.items()}
     parts = [(b.token, b) for b in page.blocks]
     for t, b in parts:
-        one = found.setdefault(t, [t, b.path, ARTICLE_TEXT_KIND if b.bits & ARTICLE else TEXT, 0, len(page.elements), 0.0])
+        if b.bits & ARTICLE:  # no template's, however many articles repeat it
+            continue
+        one = found.setdefault(t, [t, b.path, TEXT, 0, len(page.elements), 0.0])
         one[3] += 1
         one[5] += len(b.text) / size
     return list(found.values()), parts
@@ -370,7 +435,7 @@ def templates(pages: DataFrame) -> DataFrame:
     together) and nested: what their elements lie in, where it isn't of the class itself, is one other class. The
     template of a host is all its valid classes, each nested in the one that holds its parents; once are the elements
     that each of their pages has once and that can hold an article. Texts of a class are left out of it without evidence of slots that vary beside
-    them: see LEAST_TEXT_PAGES and ARTICLE_PAGES.
+    them (LEAST_TEXT_PAGES); texts in <article> are of no class.
     """
     once = pages.select("host", "page", "found").dropDuplicates(["host", "page"])
     found = once.select("host", "page", F.inline("found")).withColumn("mark", F.xxhash64("page", "n"))
@@ -380,13 +445,12 @@ def templates(pages: DataFrame) -> DataFrame:
         F.avg("place").alias("place"), F.avg("share").alias("share"),
     )
     sizes = pages.groupBy("host").agg(F.countDistinct("page").alias("of"))
-    least = F.when(F.col("kind") == ARTICLE_TEXT_KIND, F.greatest(F.lit(float(ARTICLE_PAGES)), F.col("of") * ARTICLE_SHARE)).otherwise(F.col("of") * LEAST_SHARE)
-    often = vectors.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= least)
-    is_text = F.col("kind") >= TEXT
+    often = vectors.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= F.col("of") * LEAST_SHARE)
+    is_text = F.col("kind") == TEXT
     member = F.struct("token", "parent", "kind", (F.col("n") == F.col("pages")).alias("single"))
     classes = often.groupBy("host", "pages", "v", "w").agg(
         F.collect_list(member).alias("t"), F.min("token").alias("class"), F.count_if(~is_text).alias("elements"), F.countDistinct(F.when(~is_text, F.col("place"))).alias("places"),
-        F.sum(F.when(is_text, F.col("share"))).alias("held"), F.sum(F.when(F.col("kind") == ARTICLE_TEXT_KIND, F.col("share"))).alias("in_article"),
+        F.sum(F.when(is_text, F.col("share"))).alias("held"),
     )
     ordered = cut(classes.where((F.size("t") >= LEAST_TOKENS) & (F.col("places") == F.col("elements"))).drop("v", "w"), "classes")
     members = ordered.select("host", "class", F.inline("t"))
@@ -395,12 +459,7 @@ def templates(pages: DataFrame) -> DataFrame:
     up = elements.join(above, ["host", "parent"], "left").where(~F.col("class").eqNullSafe(F.col("up")))
     nests = up.groupBy("host", "class").agg(F.countDistinct(F.coalesce("up", F.lit(-1))).alias("ups"))
     valid = ordered.join(nests, ["host", "class"], "left").where(F.coalesce("ups", F.lit(0)) <= 1)
-    known = F.filter(
-        "t",
-        lambda m: F.when(m["kind"] < TEXT, True)
-        .when(m["kind"] == TEXT, (F.col("pages") >= LEAST_TEXT_PAGES) & (F.col("held") <= MOST_TEXT))
-        .otherwise((F.col("held") <= MOST_TEXT) & (F.col("in_article") <= ARTICLE_TEXT)),
-    )
+    known = F.filter("t", lambda m: (m["kind"] < TEXT) | ((F.col("pages") >= LEAST_TEXT_PAGES) & (F.col("held") <= MOST_TEXT)))
     tokens = lambda of: F.transform(of, lambda m: m["token"])
     kept = valid.select("host", known.alias("t"))
     return kept.groupBy("host").agg(
@@ -410,12 +469,19 @@ def templates(pages: DataFrame) -> DataFrame:
     )
 
 
-def _with_template(rows: DataFrame, found: DataFrame, size: int, salt: Column) -> DataFrame:
+def _with_templates(rows: DataFrame, found: DataFrame, size: int, salt: Column, parts: tuple[str, ...]) -> tuple[DataFrame, Callable]:
+    """Rows, and how a task gets the template's parts of a row's host: (batch, row, host) -> parts, or None without a template.
+
+    Workers get the templates once while they have MOST_BROADCAST tokens together or fewer; else they come with the rows.
+    """
     if size <= MOST_BROADCAST:
-        return rows.join(F.broadcast(found), "host", "left")
+        shared = rows.sparkSession.sparkContext.broadcast({r["host"]: r[1:] for r in found.select("host", *parts).collect()})
+        return rows, lambda batch, k, host: shared.value.get(host)
     # a host can hold a third of all pages: its template is repeated for each salt
-    salted = found.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+    salted = found.select("host", *parts).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    joined = rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select(*rows.columns, *parts)
+    at = len(rows.columns)
+    return joined, lambda batch, k, host: None if batch.column(at)[k].as_py() is None else tuple(batch.column(at + i)[k].as_py() for i in range(len(parts)))
 
 
 def slot_text(elements: dict[int, int], blocks: list[tuple], tokens: frozenset[int], once: frozenset[int], wrappers: frozenset[int]) -> Counter:
@@ -441,19 +507,20 @@ def article_slots(pages: DataFrame, found: DataFrame, size: int) -> DataFrame:
     Over half of a host's slot text is in at most one of two elements that lie apart, so such elements lie in each
     other, and the innermost is the one with the least text.
     """
-    joined = _with_template(pages.select("host", "page", "found", "blocks"), found, size, F.col("page")).where("tokens is not null")
-    rows = joined.select("host", F.transform(F.filter("found", lambda t: t["kind"] < TEXT), lambda t: F.struct(t["token"], t["parent"])).alias("e"), "blocks", "tokens", "once", "wrappers")
+    rows = pages.select("host", F.transform(F.filter("found", lambda t: t["kind"] < TEXT), lambda t: F.struct(t["token"], t["parent"])).alias("e"), "blocks", "page")
+    rows, template = _with_templates(rows, found, size, F.col("page"), ("tokens", "once", "wrappers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            known: dict[str, list[frozenset]] = {}
+            known: dict[str, list[frozenset] | None] = {}
             sums: dict[str, Counter] = {}
             elements, blocks = (list(_rows(batch.column(c))) for c in (1, 2))
             for k, host in enumerate(batch.column(0).to_pylist()):
                 if host not in known:
-                    known[host] = [frozenset(batch.column(c)[k].as_py()) for c in (3, 4, 5)]
-                    sums[host] = Counter()
-                sums[host] += slot_text(dict(elements[k]), list(blocks[k]), *known[host])
+                    parts = template(batch, k, host)
+                    known[host] = parts and [frozenset(p) for p in parts]
+                if known[host]:
+                    sums.setdefault(host, Counter()).update(slot_text(dict(elements[k]), list(blocks[k]), *known[host]))
             out = [(h, p, d, n) for h, c in sums.items() for (p, d), n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int32(), pa.int64())], ["host", "path", "depth", "chars"])
 
@@ -471,8 +538,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     the article is where most of the host's slot text lies (article_slots()), or the <article> around that. Names check
     the slots: parts that elements or names mark as menus, headers, footers, sidebars, notices, adverts, forms or
     comments are left out, unless they hold the article on the host's pages; without a template, as for hosts of one
-    page, they and the containers decide alone (Page.main_text()). Texts in <article> that all pages of a host repeat stay without
-    strong evidence (ARTICLE_PAGES). Character references are decoded, white space in a block is one space, scripts,
+    page, they and the containers decide alone (Page.main_text()). Discussions at the end of an article are also told by their structure
+    (Page.discussion()). Texts in <article> stay, even if all pages of a host repeat them. Character references are decoded, white space in a block is one space, scripts,
     styles and comments are no text. Null and empty pages have empty text; a null or odd url is a host of its own name,
     ''. Repeated rows get equal results, and count once in a template, an empty table gives none, extra columns are not read.
     """
@@ -482,7 +549,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     slots = cut(article_slots(known, found, size), "slots")
     found = found.join(slots, "host", "left").select("host", "tokens", "wrappers", "article")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    joined = _with_template(rows, found, size, F.xxhash64("page_id", "url")).select("page_id", "url", "html", "host", "tokens", "wrappers", "article")
+    rows, template = _with_templates(rows, found, size, F.xxhash64("page_id", "url"), ("tokens", "wrappers", "article"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts: dict[str, tuple] = {}
@@ -492,9 +559,9 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                 if host not in hosts:
                     if len(hosts) > 1000:
                         hosts.clear()
-                    tokens, wrappers, article = (batch.column(c)[k].as_py() for c in (4, 5, 6))
-                    hosts[host] = frozenset(tokens or ()), frozenset(wrappers or ()), article
+                    tokens, wrappers, article = template(batch, k, host) or ((), (), None)
+                    hosts[host] = frozenset(tokens), frozenset(wrappers), article
                 texts.append(Page(batch.column(2)[k].as_py()).main_text(*hosts[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
