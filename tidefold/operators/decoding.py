@@ -99,6 +99,39 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, tol: float = 1e-8
     return beta[:-1], float(beta[-1]), max_iter
 
 
+def fit_many(x: np.ndarray, y: np.ndarray, used: np.ndarray, c: float = 1.0, tol: float = 1e-8, max_iter: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """fit_logistic() of many models at once: x is models x rows x features, y and used (1, or 0 for padding) models x rows.
+
+    All models take their Newton steps together, each with its own step size, and drop out as they converge.
+    """
+    k, _, d = x.shape
+    a = np.concatenate([x, np.ones((*x.shape[:2], 1))], axis=2)
+    ridge = np.append(np.full(d, 1.0 / c), 0.0)
+    beta, steps, open_ = np.zeros((k, d + 1)), np.zeros(k, int), np.arange(k)
+    n = np.maximum(1, used.sum(axis=1))
+
+    def loss(at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return (used[at] * np.logaddexp(0, -(2 * y[at] - 1) * np.einsum("knd,kd->kn", a[at], v))).sum(axis=1) + 0.5 * (ridge * v * v).sum(axis=1)
+
+    for step in range(max_iter + 1):
+        p = 1 / (1 + np.exp(-np.clip(np.einsum("knd,kd->kn", a[open_], beta[open_]), -500, 500)))
+        gradient = np.einsum("knd,kn->kd", a[open_], used[open_] * (p - y[open_])) + ridge * beta[open_]
+        go = (np.abs(gradient).max(axis=1, initial=0) >= tol * n[open_]) & (step < max_iter)
+        steps[open_] = step
+        open_, p, gradient = open_[go], p[go], gradient[go]
+        if not len(open_):
+            break
+        weight = used[open_] * p * (1 - p)
+        h = np.matmul(a[open_].transpose(0, 2, 1) * weight[:, None, :], a[open_]) + np.diag(ridge + 1e-12)
+        move = np.linalg.solve(h, gradient[:, :, None])[:, :, 0]
+        slope, now, size = (gradient * move).sum(axis=1), loss(open_, beta[open_]), np.ones(len(open_))
+        tried = np.arange(len(open_))
+        while len(tried := tried[(size[tried] > 1e-6) & (loss(open_[tried], beta[open_[tried]] - size[tried, None] * move[tried]) > now[tried] - 1e-4 * size[tried] * slope[tried])]):
+            size[tried] /= 2
+        beta[open_] -= size[:, None] * move
+    return beta[:, :-1], beta[:, -1], steps
+
+
 def rank_auroc(score: np.ndarray, y: np.ndarray) -> float:
     pos, neg = int((y == 1).sum()), int((y != 1).sum())
     if not pos or not neg:
@@ -148,6 +181,65 @@ def decode_cells(rows: DataFrame, keys: Sequence[str] = CELL, features: str = "f
     return used.groupBy(*keys).applyInPandas(run, f"{kinds}, {RESULT}")
 
 
+#: Rows of cells that are fitted in one call, about, and numbers of padded rows that are solved together.
+RACK, STACK = 50_000, 1 << 22
+
+
+def decode_many(rows: DataFrame, keys: Sequence[str] = CELL, features: str = "features", tol: float = 1e-8, c: float = 1.0, rack: int = RACK) -> DataFrame:
+    """decode_cells() for very many small cells: some hundreds come to a task together and are solved as one stack.
+
+    Cells are dealt to racks by a hash of their keys, as many racks as all rows take. Within a rack cells of like size
+    are padded to one shape, so that a Newton step of all of them is one product and one solution of stacked matrices.
+    Rows, rules, errors and results are those of decode_cells().
+    """
+    keys = list(keys)
+    used = rows.where(F.col("role").isin("train", "test")).select(*keys, "role", "item", "label", F.col(features).alias("_x"))
+    racks = max(1, -(-used.count() // rack))
+    kinds = ", ".join(f"`{k}` {used.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([*keys, "item"], kind="stable")
+        x, y, train = np.stack(g["_x"].to_numpy()).astype(float), g["label"].to_numpy(), (g["role"] == "train").to_numpy()
+        cell = g.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        cuts = np.flatnonzero(np.diff(cell, prepend=-1, append=-1))
+        models, out = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = g.iloc[a][keys].to_dict()
+            for name, part in (("train", x[a:b][train[a:b]]), ("test", x[a:b][~train[a:b]])):
+                if not len(part):
+                    raise ValueError(f"cell {tuple(own.values())}: no {name} rows")
+                if bad := int((~np.isfinite(part)).sum()):
+                    raise ValueError(f"cell {tuple(own.values())}: {bad} non-finite {name} feature values")
+            t = x[a:b][train[a:b]]
+            sd = t.std(axis=0)
+            x[a:b] = (x[a:b] - t.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
+            classes = np.unique(y[a:b][train[a:b]])
+            out.append((own, a, b, np.isin(y[a:b], classes), []))
+            models += [(len(out) - 1, k) for k in (classes[1:] if len(classes) == 2 else classes)]
+        d = x.shape[1]
+        sizes = [1 << int(train[out[i][1] : out[i][2]].sum() - 1).bit_length() for i, _ in models]
+        for n in sorted(set(sizes)):
+            some = [m for m, size in zip(models, sizes, strict=True) if size == n]
+            for at in range(0, len(some), step := max(1, STACK // (n * (d + 1)))):
+                stack = some[at : at + step]
+                xs, ys, us = np.zeros((len(stack), n, d)), np.zeros((len(stack), n)), np.zeros((len(stack), n))
+                for j, (i, k) in enumerate(stack):
+                    _, a, b, *_ = out[i]
+                    m = train[a:b].sum()
+                    xs[j, :m], ys[j, :m], us[j, :m] = x[a:b][train[a:b]], y[a:b][train[a:b]] == k, 1
+                for (i, k), w, b0, steps in zip(stack, *fit_many(xs, ys, us, c, tol), strict=True):
+                    _, a, b, known, found = out[i]
+                    score, hit = x[a:b] @ w + b0, (y[a:b] == k).astype(int)
+                    found.append((steps, *(rank_auroc(score[part], hit[part]) for part in (known & ~train[a:b], known & train[a:b]))))
+        return pd.DataFrame([
+            own | {"n_train": int(train[a:b].sum()), "n_test": int((~train[a:b] & known).sum()), "n_features": d, "test_auroc": np.mean([f[1] for f in found]), "train_auroc": np.mean([f[2] for f in found]), "n_iter": int(max(f[0] for f in found))}
+            for own, a, b, known, found in out
+        ])
+
+    dealt = used.withColumn("_rack", F.pmod(F.xxhash64(*keys), F.lit(racks)))
+    return dealt.groupBy("_rack").applyInPandas(lambda g: run(g), f"{kinds}, {RESULT}")
+
+
 def _added(rows: DataFrame, cells: Sequence[int], part: Callable) -> dict[int, np.ndarray]:
     """Vectors by cell, added up over all rows: part(x, label, train) gives a vector for each cell of a batch."""
 
@@ -168,12 +260,17 @@ def _added(rows: DataFrame, cells: Sequence[int], part: Callable) -> dict[int, n
     return {k: np.array(v) for k, v in out.items()}
 
 
-def decode_labels(rows: DataFrame, features: str = "features", tol: float = 1e-8, c: float = 1.0, max_iter: int = 200, block: int = 64) -> DataFrame:
+#: Features from which Hessians, of their square, no longer come to the driver; and the steps that L-BFGS remembers.
+WIDE, MEMORY = 512, 10
+
+
+def decode_labels(rows: DataFrame, features: str = "features", tol: float = 1e-8, c: float = 1.0, max_iter: int = 200, block: int = 64, wide: int = WIDE) -> DataFrame:
     """task (long) and RESULT for each label present, told from all others: what decode_cells() gives for such cells.
 
     rows: role, label, features (array<double>, of one length). No cell is gathered: each Newton step of all labels of a
-    block adds up losses, gradients and Hessians of batches, scores are made in place and ranked by auroc(). Rows
-    without a label are left out. Features that aren't finite raise an error with their count; so do tables without
+    block adds up losses, gradients and Hessians of batches, scores are made in place and ranked by auroc(). From `wide`
+    features on the steps are those of L-BFGS, which takes gradients alone: a few vectors of that many numbers are on the driver for each label
+    of a block. Rows without a label are left out. Features that aren't finite raise an error with their count; so do tables without
     train or test rows. AUROC is NaN where a label lacks rows on either side.
     """
     used = rows.where(F.col("role").isin("train", "test") & F.col("label").isNotNull())
@@ -198,16 +295,43 @@ def decode_labels(rows: DataFrame, features: str = "features", tol: float = 1e-8
         mean = sums[2:] / n_train
         sd = np.sqrt(_added(used, [0], lambda x, y, train: ((x[train] - mean) ** 2).sum(axis=0)[None])[0] / n_train)
         sd = np.where(sd > 0, sd, 1.0)
+        block = max(1, min(block, (1 << 18) // max(1, len(mean))))
         for i in range(0, len(counts), block):
-            some = _decode_block(used, counts[i : i + block], n_train, n_test, mean, sd, tol, c, max_iter)
+            some = _decode_block(used, counts[i : i + block], n_train, n_test, mean, sd, tol, c, max_iter, len(mean) >= wide)
             out = some if out is None else out.unionByName(some)
     return spark.createDataFrame([], f"task long, {RESULT}") if out is None else out
 
 
-def _decode_block(used: DataFrame, counts: list, n_train: int, n_test: int, mean: np.ndarray, sd: np.ndarray, tol: float, c: float, max_iter: int) -> DataFrame:
+class _Past:
+    """What L-BFGS remembers of one model: its last steps and how the gradient changed over each."""
+
+    def __init__(self) -> None:
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.at: tuple[np.ndarray, np.ndarray] | None = None
+
+    def move(self, beta: np.ndarray, gradient: np.ndarray, n: int) -> np.ndarray:
+        """The gradient times what the pairs say of the inverse Hessian; a step is against it."""
+        if self.at is not None:
+            s, g = beta - self.at[0], gradient - self.at[1]
+            if s @ g > 1e-12 * (g @ g):
+                self.pairs = [*self.pairs[1 - MEMORY :], (s, g)]
+        self.at = beta.copy(), gradient
+        q, shares = gradient.copy(), []
+        for s, g in reversed(self.pairs):
+            shares.append((s @ q) / (s @ g))
+            q -= shares[-1] * g
+        # at first the Hessian is taken to be a quarter of the rows: no logistic curvature of scaled features is larger on average
+        q *= (self.pairs[-1][0] @ self.pairs[-1][1]) / (self.pairs[-1][1] @ self.pairs[-1][1]) if self.pairs else 4.0 / max(1, n)
+        for (s, g), share in zip(self.pairs, reversed(shares), strict=True):
+            q += (share - (g @ q) / (s @ g)) * s
+        return q
+
+
+def _decode_block(used: DataFrame, counts: list, n_train: int, n_test: int, mean: np.ndarray, sd: np.ndarray, tol: float, c: float, max_iter: int, wide: bool) -> DataFrame:
     d = len(mean)
     ridge = np.append(np.full(d, 1.0 / c), 0.0)
-    upper = np.triu_indices(d + 1)
+    upper = np.triu_indices(0 if wide else d + 1)
+    past: dict[int, _Past] = {r["label"]: _Past() for r in counts}
     # with one class in train rows the model tells that class from nothing, as in decode_cells()
     single = {r["label"]: r["a"] in (0, n_train) for r in counts}
     negative = {r["label"]: r["a"] == 0 for r in counts}
@@ -229,11 +353,12 @@ def _decode_block(used: DataFrame, counts: list, n_train: int, n_test: int, mean
                 p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                 got[i, 0] = np.logaddexp(0, -(2 * y - 1) * z).sum()
                 got[i, 1 : d + 2] = a.T @ (p - y)
-                got[i, d + 2 :] = ((a.T * (p * (1 - p))) @ a)[upper]
+                if not wide:
+                    got[i, d + 2 :] = ((a.T * (p * (1 - p))) @ a)[upper]
             return got
 
         for k, v in _added(used, cells, part).items():
-            loss, gradient, h = v[0] + 0.5 * (ridge * trial[k] ** 2).sum(), v[1 : d + 2] + ridge * trial[k], np.zeros((d + 1, d + 1))
+            loss, gradient = v[0] + 0.5 * (ridge * trial[k] ** 2).sum(), v[1 : d + 2] + ridge * trial[k]
             if open_[k] is not None:
                 move, size, slope = open_[k]
                 if size > 1e-6 and loss > state[k] - 1e-4 * size * slope:
@@ -246,9 +371,12 @@ def _decode_block(used: DataFrame, counts: list, n_train: int, n_test: int, mean
             if np.abs(gradient).max(initial=0) < tol * max(1, n_train) or steps[k] == max_iter:
                 del open_[k]
                 continue
-            h[upper] = v[d + 2 :]
-            h = h + np.triu(h, 1).T + np.diag(ridge + 1e-12)
-            move = np.linalg.solve(h, gradient)
+            if wide:
+                move = past[k].move(beta[k], gradient, n_train)
+            else:
+                h = np.zeros((d + 1, d + 1))
+                h[upper] = v[d + 2 :]
+                move = np.linalg.solve(h + np.triu(h, 1).T + np.diag(ridge + 1e-12), gradient)
             open_[k] = move, 1.0, gradient @ move
             trial[k] = beta[k] - move
     tasks = list(beta)
@@ -278,10 +406,10 @@ def decode_channels(windows: DataFrame, folds: DataFrame, session: Sequence[str]
     a fold that isn't there for each electrode of its session raises an error.
     """
     rows = lookup_all(folds.join(windows.select(*session, "electrode").distinct(), list(session)), windows, [*session, "electrode", "window_from"]).withColumnRenamed(samples, "features")
-    return decode_cells(rows, [*session, "electrode", *keys])
+    return decode_many(rows, [*session, "electrode", *keys])
 
 
 def convergence(rows: DataFrame, keys: Sequence[str] = CELL, loose: float = 1e-3, tight: float = 1e-6) -> DataFrame:
     """Cells decoded at two tolerances: loose and tight AUROC, iterations of each, and their difference."""
-    a, b = (decode_cells(rows, keys, tol=t).select(*keys, F.col("test_auroc").alias(f"auroc_{n}"), F.col("n_iter").alias(f"iter_{n}")) for n, t in (("loose", loose), ("tight", tight)))
+    a, b = (decode_many(rows, keys, tol=t).select(*keys, F.col("test_auroc").alias(f"auroc_{n}"), F.col("n_iter").alias(f"iter_{n}")) for n, t in (("loose", loose), ("tight", tight)))
     return a.join(b, list(keys)).withColumn("diff", F.col("auroc_tight") - F.col("auroc_loose"))

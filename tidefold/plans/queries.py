@@ -284,6 +284,38 @@ def logistic_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.decode_labels(cells).withColumn("task", F.col("task").cast("int"))
 
 
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the fold index with what their windows' times tell: the day, the time of day as a place on a circle, and the number's remainder."""
+    day = F.col("window_from") / F.lit(2048.0 * 86400)
+    turn = day * (2 * 3.141592653589793)
+    features_ = F.array(day, F.sin(turn), F.cos(turn), (F.col("base_index") % 7).cast("double"))
+    return A.stored_index(spark, sf_dir).select(*CELL, "role", F.col("base_index").alias("item"), "label", features_.alias("features"))
+
+
+@query()
+def small_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each cell of the fold index, hundreds solved together; tested against a plain solver cell by cell."""
+    return decoding.decode_many(_timed(spark, sf_dir)).select(*CELL, "n_train", "n_test", "n_features", r6("test_auroc", "test_auroc"), r6("train_auroc", "train_auroc"))
+
+
+@query()
+def two_tolerances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell's scores at a loose and a tight tolerance, and the steps that each took."""
+    found = decoding.convergence(_timed(spark, sf_dir))
+    return found.select(*CELL, r6("auroc_loose", "auroc_loose"), r6("auroc_tight", "auroc_tight"), "iter_loose", "iter_tight", r6("diff", "diff"))
+
+
+@query()
+def single_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels decoded alone: vectors of one remainder by 8 are the windows of a channel, told apart by whether their label is even."""
+    v = A.windows(spark, sf_dir).select(F.lit(1).alias("session"), (F.col("vec_id") % 8).cast("string").alias("electrode"), F.floor(F.col("vec_id") / 8).alias("window_from"), "samples", "label")
+    whole = v.groupBy("window_from").agg(F.count("*").alias("n"), F.min("label").alias("label")).where("n = 8")  # windows that all channels have
+    folds = whole.select(F.lit(1).alias("session"), F.explode(F.array(F.lit(0), F.lit(1))).alias("fold"), F.col("window_from"), (F.col("label") % 2).alias("label"))
+    folds = folds.withColumn("role", F.when(F.col("window_from") % 2 == F.col("fold"), "test").otherwise("train")).withColumn("item", F.col("window_from"))
+    found = decoding.decode_channels(v.drop("label"), folds, ["session"], ["fold"])
+    return found.select("electrode", "fold", "n_train", "n_test", "n_features", r6("test_auroc", "test_auroc"), r6("train_auroc", "train_auroc"))
+
+
 # Signals
 
 
