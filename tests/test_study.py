@@ -110,23 +110,45 @@ def test_whole_comparison(spark):
     assert [(r.model, r.n_sessions) for r in again] == [("a", 6), ("b", 5)] and all(r["mean"] == pytest.approx(0.125) == pytest.approx(r.converged - r.default) for r in again)
 
 
-@pytest.mark.parametrize("slices", [1, 5, 256])
-def test_quantiles_and_numbers_equal_numpy(spark, slices):
-    rng = random.Random(slices)
+@pytest.mark.parametrize("accuracy", [10, 100, 10_000])
+def test_quantiles_and_numbers_equal_numpy(spark, accuracy):
+    rng = random.Random(accuracy)
     rows = [(rng.choice("ab"), rng.choice([rng.gauss(0, 1), 0.0, 1e9 * rng.random(), float("nan"), None, -3.0]), i) for i in range(400)] + [("one", 2.5, 0), ("none", None, 0)]
     df = spark.createDataFrame(rows, "k string, v double, i int")
-    got = {r.k: r for r in ranks.quantiles(df.repartition(5), ["k"], F.col("v"), {"m": 0.5, "p": 0.95, "z": 0.0}, slices).collect()}
+    got = {r.k: r for r in ranks.quantiles(df.repartition(5), ["k"], F.col("v"), {"m": 0.5, "p": 0.95, "z": 0.0}, accuracy).collect()}
     for k in "ab":
         some = [v for g, v, _ in rows if g == k and v is not None and not math.isnan(v)]
         assert (got[k].m, got[k].p, got[k].z) == pytest.approx(tuple(np.quantile(some, [0.5, 0.95, 0.0])))
     assert got["one"].m == got["one"].p == 2.5 and got["none"].m is None
     finite = df.where("not isnan(v) or v is null")
-    numbers = ranks.numbered(finite, ["k"], ("v", "i"), "n", slices).collect()
+    numbers = ranks.numbered(finite, ["k"], ("v", "i"), "n").collect()
     for k in "ab":
         mine = sorted((r for r in numbers if r.k == k), key=lambda r: (r.v is not None, r.v or 0, r.i))
         assert [r.n for r in mine] == list(range(len(mine)))
 
 
+@pytest.mark.parametrize("n", [*range(1, 12), 99, 20_000])
+def test_quantiles_of_every_size(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    at = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = ranks.quantiles(spark.createDataFrame([(float(v),) for v in x], "v double").repartition(4), [], F.col("v"), at).first()
+    assert tuple(got) == pytest.approx(tuple(np.quantile(x, list(at.values()))), abs=1e-12)
+
+
+def test_ranges_are_even_with_outliers_nan_and_ties(spark):
+    v = "case when id = 0 then 1e15 when id % 3 = 1 then double('nan') when id % 3 = 2 then 7.0 else rand(1) end"
+    df = spark.range(40_000).selectExpr("'k' as k", f"{v} as v", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one range
+    try:
+        sizes = [r["count"] for r in ranks.ranged(df, ["k"], ["v", "id"]).groupBy("_range").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 40_000 and len(sizes) > 2 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    numbers = ranks.numbered(df, ["k"], ["v", "id"], "n")
+    assert numbers.agg(F.countDistinct("n"), F.min("n"), F.max("n")).first()[:] == (40_000, 0, 39_999)
+    assert numbers.where("id = 0").first().n == numbers.where("not isnan(v)").count() - 1
+
+
 def test_defaults_of_maps(spark):
     got = spark.sql("select map('a', 1, 'n', cast(null as int)) as m, explode(array('a', 'b', 'n')) as k").select(columns.lookup(F.col("m"), "k", 9).alias("v")).collect()
     assert [r.v for r in got] == [1, 9, 9]

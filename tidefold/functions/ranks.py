@@ -1,4 +1,4 @@
-"""Ranks, numbers and exact quantiles by slices of a key's range of values: a key of any size is spread over many tasks."""
+"""Ranks, numbers and exact quantiles of keys of any size: by cuts that a sketch or a sample finds, never by sorting a key in one task."""
 
 from __future__ import annotations
 
@@ -9,54 +9,82 @@ from pyspark.sql import functions as F
 
 from ..sources.writers import stored
 
-#: Slices of a key's range: each is sorted apart, and counts are carried over from the ones before.
-SLICES = 256
+#: Ranks of the quantile sketch are off by less than a 1 / ACCURACY of a key's values; brackets are twice as wide.
+ACCURACY = 10_000
 
 
-def slice_of(value: str, lo: str, hi: str, slices: int = SLICES) -> Column:
-    """The slice of a value, 0 to slices - 1, ascending with it; a value that isn't finite falls into some slice."""
-    part = F.try_divide(F.col(value) - F.col(lo), F.col(hi) - F.col(lo))
-    return F.greatest(F.lit(0), F.least(F.floor(F.coalesce(F.nanvl(part, F.lit(1.0)), F.lit(0.0)) * slices), F.lit(slices - 1)))
+def ranged(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows written in ranges of (keys, order), their number as _range: even ones, by a sample of the rows themselves.
+
+    So outliers, NaN and rows that share a value don't fill a range, as long as some column of the order tells them apart.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    return stored(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def _before(rows: DataFrame, keys: Sequence[str], count: Column) -> DataFrame:
-    """keys, _slice and _before: what the slices before hold. One row a slice."""
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.groupBy(*keys, "_slice").agg(count.alias("_in")).select(*keys, "_slice", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
+    """keys, _range and _before: what the ranges before hold. One row a key and range."""
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy(*keys, "_range").agg(count.alias("_in")).select(*keys, "_range", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
 
 
-def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, slices: int = SLICES) -> DataFrame:
-    """Rows with their number, from 0, within keys, by a number column and then others; a null comes first.
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows with their number, from 0, within keys in the order of some columns; nulls come first. Rows of a null key are left out.
 
-    The ends of keys and the sizes of slices, a few hundred rows a key, are written first, so the rows' plan isn't repeated.
+    Rows are written once, in ranges; each range is sorted apart, and counts are carried over from the ones before.
     """
-    keys, first = list(keys), order[0]
-    spans = stored(rows.groupBy(*keys).agg(F.min(first).alias("_lo"), F.max(first).alias("_hi")), "spans")
-    placed = rows.withColumn("_v", F.col(first).cast("double")).join(spans, keys).withColumn("_slice", F.when(F.col(first).isNull(), F.lit(-1)).otherwise(slice_of("_v", "_lo", "_hi", slices)))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)) - 1
-    before = stored(_before(placed, keys, F.count("*")), "before")
-    return placed.withColumn("_n", inside).join(before, [*keys, "_slice"]).select(*rows.columns, (F.col("_before") + F.col("_n")).cast("int").alias(name))
+    keys = list(keys)
+    placed = ranged(rows.dropna(subset=keys) if keys else rows.withColumn("_all", F.lit(1)), keys, order)
+    keys = keys or ["_all"]
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])) - 1
+    found = placed.withColumn("_n", inside).join(_before(placed, keys, F.count("*")), [*keys, "_range"])
+    return found.select(*rows.columns, (F.col("_before") + F.col("_n")).cast("int").alias(name))
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: str, count: str, name: str) -> DataFrame:
+    """Rows with the sum of `count` over the rows of their key that come before them; no two rows of a key share the order."""
+    placed = ranged(rows, keys, [order])
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = placed.withColumn("_n", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(_before(placed, keys, F.sum(count)), [*keys, "_range"])
+    return found.select(*rows.columns, (F.col("_before") + F.col("_n")).alias(name))
 
 
-def quantiles(rows: DataFrame, keys: Sequence[str], value: Column, at: Mapping[str, float], slices: int = SLICES) -> DataFrame:
+def quantiles(rows: DataFrame, keys: Sequence[str], value: Column, at: Mapping[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """keys and exact quantiles, interpolated between neighbours, by name; null where a key has no value.
 
-    Values are counted first, and each slice of the range is sorted apart. NaN and null values don't count.
+    A mergeable sketch brackets each quantile first. A second look at the rows counts those below a bracket, and in it counts
+    each value, so just some ten-thousandths of a key's distinct values are sorted. NaN and null values don't count; rows of a
+    null key are left out.
     """
     keys = list(keys)
     all_keys = keys or ["_all"]
-    known = rows.select(*([F.lit(1).alias("_all")] if not keys else keys), value.cast("double").alias("_v"))
-    counts = known.groupBy(*all_keys, "_v").agg(F.count_if(F.col("_v").isNotNull() & ~F.isnan("_v")).alias("_c"))
-    seen = F.when(F.col("_c") > 0, F.col("_v"))
-    spans = counts.groupBy(*all_keys).agg(F.min(seen).alias("_lo"), F.max(seen).alias("_hi"), F.sum("_c").alias("_n"))
-    placed = counts.join(spans, all_keys).withColumn("_slice", slice_of("_v", "_lo", "_hi", slices))
-    inside = Window.partitionBy(*all_keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("_upto", F.sum("_c").over(inside)).join(_before(placed, all_keys, F.sum("_c")), [*all_keys, "_slice"])
-    end = F.col("_before") + F.col("_upto")
-    holds = lambda j: (F.col("_c") > 0) & (end - F.col("_c") <= j) & (j < end)
+    v = value.cast("double")
+    known = rows.select(*([F.lit(1).alias("_all")] if not keys else keys), F.when(~F.isnan(v), v).alias("_v")).dropna(subset=all_keys)
+    wide = 2.0 / accuracy
+    ends = [x for p in at.values() for x in (max(0.0, p - wide), min(1.0, p + wide))]
+    bounds = known.groupBy(*all_keys).agg(F.percentile_approx("_v", ends, accuracy).alias("_ends"), F.count("_v").alias("_n"))
+    bounds = stored(bounds, "brackets")
+    lo, hi = [F.get("_ends", F.lit(2 * j)) for j in range(len(at))], [F.get("_ends", F.lit(2 * j + 1)) for j in range(len(at))]
+    inside = [(F.col("_v") >= a) & (F.col("_v") <= b) for a, b in zip(lo, hi, strict=True)]
+    within = inside[0]
+    for i in inside[1:]:
+        within = within | i
+    below = [F.count_if(F.col("_v") < a).alias(f"_below{j}") for j, a in enumerate(lo)]
+    # few values: a sketch of them is exact, but its places may be one off those of an interpolated quantile
+    after = [F.min(F.when(F.col("_v") > b, F.col("_v"))).alias(f"_after{j}") for j, b in enumerate(hi)]
+    after += [F.max(F.when(F.col("_v") < a, F.col("_v"))).alias(f"_ahead{j}") for j, a in enumerate(lo)]
+    counts = known.join(bounds, all_keys).groupBy(*all_keys, F.when(within, F.col("_v")).alias("_w")).agg(F.count("_v").alias("_c"), F.first("_ends").alias("_ends"), F.first("_n").alias("_n"), *below, *after)
+    # the rest of a key is one row; what it has below a bracket, and next to it, goes to each value
+    every, upto = Window.partitionBy(*all_keys), Window.partitionBy(*all_keys).orderBy(F.col("_w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     sums = []
-    for name, p in at.items():
+    for j, (name, p) in enumerate(at.items()):
+        own = F.when((F.col("_w") >= lo[j]) & (F.col("_w") <= hi[j]), F.col("_c")).otherwise(0)
+        counts = counts.withColumn(f"_end{j}", F.sum(F.col(f"_below{j}")).over(every) + F.sum(own).over(upto)).withColumn(f"_own{j}", own)
         place = (F.col("_n") - 1) * F.lit(float(p))
-        sums += [F.max(F.when(holds(F.floor(place)), F.col("_v"))).alias(f"_a_{name}"), F.max(F.when(holds(F.ceil(place)), F.col("_v"))).alias(f"_b_{name}"), F.max(place - F.floor(place)).alias(f"_w_{name}")]
-    got = placed.groupBy(*all_keys).agg(*sums)
-    return got.select(*keys, *[(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_w_{n}")).alias(n) for n in at])
+        holds = lambda k, j=j: (F.col(f"_own{j}") > 0) & (F.col(f"_end{j}") - F.col(f"_own{j}") <= k) & (k < F.col(f"_end{j}"))
+        next_ = F.coalesce(F.min(F.when(holds(F.ceil(place)), F.col("_w"))), F.min(f"_after{j}"))
+        first = F.coalesce(F.min(F.when(holds(F.floor(place)), F.col("_w"))), F.max(f"_ahead{j}"))
+        sums += [first.alias(f"_a_{name}"), next_.alias(f"_b_{name}"), F.max(place - F.floor(place)).alias(f"_p_{name}")]
+    got = counts.groupBy(*all_keys).agg(*sums)
+    between = lambda n: F.when(F.col(f"_p_{n}") > 0, F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_p_{n}")).otherwise(F.col(f"_a_{n}"))
+    return got.select(*keys, *[between(n).alias(n) for n in at])

@@ -7,34 +7,27 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite, refuse, seconds
-from ..functions.ranks import SLICES, slice_of
+from ..functions.ranks import running
 from ..model import CELL, FS
 from .features import lookup_all
 
 
-def auroc(scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", slices: int = SLICES) -> DataFrame:
+def auroc(scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
     """auroc by key: the share of (1, 0) pairs ordered right, ties half. Null where a key lacks a class.
 
     Rows with another label or none are left out; a score that isn't finite raises an error. Scores are counted by value
-    first; each key's range is cut into slices that are sorted apart, so a key of any size is spread over many tasks.
+    first, so ties are one row; then they are cut into even ranges that are sorted apart, so a key of any size is spread over many tasks.
     """
     keys = list(keys)
     known = scores.where(F.col(label).isin(0, 1)).select(*keys, F.coalesce(F.col(score).cast("double"), F.lit(float("nan"))).alias("_s"), F.col(label).alias("_l"))
     counts = known.groupBy(*keys, "_s").agg(F.count_if(F.col("_l") == 1).alias("_p"), F.count_if(F.col("_l") == 0).alias("_n"))
-    spans = counts.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_neg"), F.max(~is_finite("_s")).alias("_bad"))
-    placed = counts.join(spans, keys).withColumn("_slice", slice_of("_s", "_lo", "_hi", slices))
-    by_slice = placed.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_slice.select(*keys, "_slice", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
-    lower = Window.partitionBy(*keys, "_slice").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = placed.withColumn("_under", F.sum("_n").over(lower)).join(before, [*keys, "_slice"])
-    pairs = pairs.withColumn("_w", F.col("_p") * (2 * (F.col("_before") + F.coalesce("_under", F.lit(0))) + F.col("_n")))
-    area = F.try_divide(F.sum("_w").cast("double"), F.nullif(F.lit(2.0) * F.max("_pos") * F.max("_neg"), F.lit(0.0)))
-    areas = pairs.groupBy(*keys).agg(area.alias("_area"), F.max("_bad").alias("_bad"))  # one place raises, in the last stage
+    pairs = running(counts, keys, "_s", "_n", "_under").withColumn("_w", F.col("_p") * (2 * F.col("_under") + F.col("_n")))
+    area = F.try_divide(F.sum("_w").cast("double"), F.nullif(F.lit(2.0) * F.sum("_p") * F.sum("_n"), F.lit(0.0)))
+    areas = pairs.groupBy(*keys).agg(area.alias("_area"), F.max(~is_finite("_s")).alias("_bad"))  # one place raises, in the last stage
     return areas.select(*keys, refuse(F.col("_bad"), "a score is not finite", F.col("_area")).alias("auroc"))
 
 

@@ -89,7 +89,7 @@ def train_test_adjacency(
 
 
 def median_cut(rows: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """Rows with the exact interpolated median of a column within their keys; values are counted and sorted in slices.
+    """Rows with the exact interpolated median of a column within their keys; a sketch brackets it first.
 
     The medians, one row a key, are written first, so the rows' plan isn't repeated in what follows.
     """

@@ -15,6 +15,7 @@ from .readers import _exists
 
 
 _local: dict[str, tempfile.TemporaryDirectory] = {}
+_made: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,7 +25,17 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _local.setdefault(spark.sparkContext.applicationId, tempfile.TemporaryDirectory(prefix="tidefold-", ignore_cleanup_errors=True)).name
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this session wrote below scratch(); tables that still read from there are then lost."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
