@@ -3,8 +3,11 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import threading
 
 import numpy as np
+import pytest
+from conftest import FAILS
 
 from tidefold.operators import fluctuation, inference
 from tidefold.sources import readers, synthetic, writers
@@ -57,9 +60,39 @@ def test_appended_once(spark, tmp_path):
     writers.append_new(rows(1, 2), path, ["k"])
     writers.append_new(rows(2, 3, 3), path, ["k"])
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    assert sorted(map(tuple, writers.read_appended(spark, path, ["k"]).collect())) == [(1, 0.5), (2, 1.0), (3, 1.5)]
     assert [r.k for r in writers.todo(rows(3, 4), path, ["k"]).collect()] == [4]
 
 
+def test_two_writers_at_once_leave_each_key_once(spark, tmp_path, monkeypatch):
+    """Both have looked for what is there before either has added anything; a third fails and leaves nothing to be seen."""
+    path, met, todo = f"{tmp_path}/out", threading.Barrier(2), writers.todo
+
+    def meeting(*args):
+        out = todo(*args)
+        met.wait(60)
+        return out
+
+    monkeypatch.setattr(writers, "todo", meeting)
+    frames = [spark.range(a, a + 60).selectExpr("id as k", f"'{name}' as by") for name, a in (("x", 0), ("y", 30))]
+    threads = [threading.Thread(target=writers.append_new, args=(f, path, ["k"])) for f in frames]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    monkeypatch.undo()
+    with pytest.raises(FAILS):
+        writers.append_new(spark.range(95, 99).selectExpr("id as k", "cast(raise_error('lost') as string) as by"), path, ["k"])
+    assert spark.read.parquet(path).count() == 120  # the keys of both are there twice
+    got = {r.k: r.by for r in writers.read_appended(spark, path, ["k"]).collect()}
+    assert sorted(got) == list(range(90)) and len({got[k] for k in range(30, 60)}) == 1 and got[0] == "x" and got[89] == "y"
+    writers.append_new(spark.range(80, 95).selectExpr("id as k", "'z' as by"), path, ["k"])
+    want = got | dict.fromkeys(range(90, 95), "z")
+    assert {r.k: r.by for r in writers.read_appended(spark, path, ["k"]).collect()} == want
+    writers.compact(spark, path, ["k"])
+    assert spark.read.parquet(path).count() == 95 and {r.k: r.by for r in writers.read_appended(spark, path, ["k"]).collect()} == want
+
+
 def test_documents(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, None), ("b", 2, 0.5)], "name string, n int, v double")
     writers.write_document(df, f"{tmp_path}/d", "name")

@@ -104,7 +104,7 @@ def appended_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, cells, on = writers.scratch(spark, "appended"), A.cells(spark, sf_dir), ["model", *SESSION, "task"]
     writers.append_new(cells.where("subject < 4"), path, on)
     writers.append_new(cells.where("subject > 1"), path, on)
-    return spark.read.parquet(path).select(*on, r6("auroc", "auroc"))
+    return writers.read_appended(spark, path, on).select(*on, r6("auroc", "auroc"))
 
 
 @query(f"WITH {LI} SELECT model, subject, trial, task FROM cells WHERE NOT (model = 'A' AND subject < 3)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -65,12 +66,43 @@ def write_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
 def todo(keys: DataFrame, path: str, on: Sequence[str]) -> DataFrame:
     """Keys without a result under a path yet."""
     spark = keys.sparkSession
-    return keys.join(spark.read.parquet(path).select(*on), list(on), "left_anti") if _exists(spark, f"{path}/*.parquet") else keys
+    there = any(_exists(spark, f"{path}/{some}") for some in ("*.parquet", "append=*/*.parquet"))
+    return keys.join(spark.read.parquet(path).select(*on), list(on), "left_anti") if there else keys
 
 
 def append_new(results: DataFrame, path: str, on: Sequence[str]) -> None:
-    """Adds the results whose keys aren't there; one that is run again adds nothing twice."""
-    todo(results.dropDuplicates(list(on)), path, on).write.mode("append").parquet(path)
+    """Adds the results whose keys aren't there; one that is run again adds nothing twice.
+
+    An append is a folder of its own that appears when it is whole. Of writers that run at once none waits for another:
+    keys that two of them add are there twice, and read_appended() takes them from the earlier append.
+    """
+    spark, name = results.sparkSession, f"{time.time_ns():020}-{uuid.uuid4().hex}"
+    hidden = f"{path}/_writing-{name}"
+    todo(results.dropDuplicates(list(on)), path, on).write.parquet(hidden)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    if not at(hidden).getFileSystem(spark._jsc.hadoopConfiguration()).rename(at(hidden), at(f"{path}/append={name}")):
+        raise RuntimeError(f"{hidden} could not be renamed")
+
+
+def read_appended(spark: SparkSession, path: str, on: Sequence[str]) -> DataFrame:
+    """What append_new() added, each key once; of a key that overlapping writers added the row of the earliest append."""
+    rows = spark.read.parquet(path)
+    if "append" not in rows.columns:
+        return rows
+    kept = [c for c in rows.columns if c != "append"]
+    return rows.groupBy(*on).agg(F.min_by(F.struct(*kept), "append").alias("_row")).select("_row.*")
+
+
+def compact(spark: SparkSession, path: str, on: Sequence[str]) -> None:
+    """Writes read_appended() as one append in place of all there are; only while nobody appends."""
+    at, name = spark._jvm.org.apache.hadoop.fs.Path, f"{time.time_ns():020}-{uuid.uuid4().hex}"
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in files.globStatus(at(f"{path}/append=*")) or []]
+    read_appended(spark, path, on).write.parquet(f"{path}/_writing-{name}")
+    # the new one is later than those it holds: if it stops here, readers take the old rows or, as they go, the same from it
+    files.rename(at(f"{path}/_writing-{name}"), at(f"{path}/append={name}"))
+    for f in old:
+        files.delete(f, True)
 
 
 def to_document(results: DataFrame, key: str | Sequence[str]) -> DataFrame:
