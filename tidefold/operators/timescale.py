@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -97,34 +95,42 @@ def acf_timescale(grid: DataFrame, keys: Sequence[str], cap: int = LAG_CAP, leas
 
     Pairs need values on both sides; under `least` of them, or a side whose variance is under a 10^-12th of its mean
     square, give null if they come before the crossing. Without a crossing up to cap (or the grid's length - 2) tau is
-    cap. A recording is cut into parts of `part` bins, each with the `cap` bins that follow it; the parts' sums add up,
-    so a recording of any length is spread over tasks. Values are taken around their key's mean first.
+    cap. A recording is cut into parts of `part` bins, each with the `cap` bins that follow it; the parts' sums, taken
+    around the part's mean and then moved to one mean for all, add up. So a recording of any length is spread over tasks,
+    and the grid is read once.
     """
     keys, part = list(keys), max(part, cap)
     kinds = ", ".join(f"`{k}` {grid.schema[k].dataType.simpleString()}" for k in keys)
-    value = F.when(is_finite("value"), F.col("value").cast("double"))
-    spans = grid.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"), F.avg(value).alias("_mean"))
-    same = lambda a, b: reduce(and_, [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys])
-    known = grid.select(*keys, "bin", value.alias("_v")).where("_v is not null").join(spans, same("", "_"))
-    place = (F.col("bin") - F.col("_lo")).cast("long")
-    where = F.expr(f"_at div {part}")
-    both = F.when((F.col("_at") % part < cap) & (where > 0), F.array(where, where - 1)).otherwise(F.array(where))
-    parts = known.select(*keys, place.alias("_at"), (F.col("_v") - F.col("_mean")).alias("_v")).select(*keys, "_at", "_v", F.explode(both).alias("_part"))
+    whole = F.expr(f"floor(bin / {part})")
+    rows = grid.select(*keys, F.col("bin").cast("long").alias("bin"), F.when(is_finite("value"), F.col("value").cast("double")).alias("value"))
+    both = F.when(F.col("bin") - whole * part < cap, F.array(whole, whole - 1)).otherwise(F.array(whole))
+    parts = rows.withColumn("_part", F.explode(both))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        at, v = g["bin"].to_numpy(np.int64) - int(key[-1]) * part, g["value"].to_numpy(float)
+        own, known = at[at < part], np.isfinite(v)
+        mean = v[known].mean() if known.any() else 0.0
         x = np.full(part + cap, np.nan)
-        x[g["_at"].to_numpy(np.int64) - int(key[-1]) * part] = g["_v"].to_numpy(float)
-        s = lag_sums(x, part, cap)
-        return pd.DataFrame({k: [v] * cap for k, v in zip(keys, key, strict=False)} | {"lag": np.arange(1, cap + 1)} | dict(zip(_SUMS, s, strict=True)))
-
-    sums = parts.groupBy(*keys, "_part").applyInPandas(run, f"{kinds}, lag int, {', '.join(f'{c} double' for c in _SUMS)}")
-    total = sums.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in _SUMS])
+        x[at] = v - mean
+        end = int(at.max()) + 1
+        s = lag_sums(x[:end], min(part, end), cap)
+        ends = {"mean": mean, "lo": own.min(initial=1 << 62) + int(key[-1]) * part, "hi": own.max(initial=0) + int(key[-1]) * part}
+        out = pd.DataFrame({k: [v] * cap for k, v in zip(keys, key, strict=False)} | {"lag": np.arange(1, cap + 1)} | dict(zip(_SUMS, s, strict=True)) | ends)
+        return out if len(own) else out[:0]  # none of what just follows a part without rows
+
+    sums = parts.groupBy(*keys, "_part").applyInPandas(run, f"{kinds}, lag int, {', '.join(f'{c} double' for c in _SUMS)}, mean double, lo long, hi long")
+    by_lag = Window.partitionBy(*keys, "lag")
+    moved = F.col("mean") - F.avg("mean").over(by_lag)
+    shift = {"n": F.col("n")} | {c: F.col(c) + F.col("n") * F.col("_d") for c in ("x", "y")}
+    shift |= {f"{c}{c}": F.col(f"{c}{c}") + 2 * F.col("_d") * F.col(c) + F.col("n") * F.col("_d") * F.col("_d") for c in ("x", "y")}
+    shift["xy"] = F.col("xy") + F.col("_d") * (F.col("x") + F.col("y")) + F.col("n") * F.col("_d") * F.col("_d")
+    total = sums.withColumn("_d", moved).groupBy(*keys, "lag").agg(*[F.sum(shift[c]).alias(c) for c in _SUMS], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     spread = {c: F.col("n") * F.col(f"{c}{c}") - F.col(c) * F.col(c) for c in ("x", "y")}
     defined = (F.col("n") >= least) & (spread["x"] > 1e-12 * F.col("n") * F.col("xx")) & (spread["y"] > 1e-12 * F.col("n") * F.col("yy"))
     r = F.when(defined, (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread["x"] * spread["y"]))
-    lags = F.least(F.lit(cap).cast("long"), F.col("_hi") - F.col("_lo") - 1)
-    joined = spans.join(total.withColumn("_defined", defined).withColumn("_r", r), same("_", ""), "left")
-    stop = F.when((F.col("lag") <= lags) & (~F.col("_defined") | (F.col("_r") < math.exp(-1))), F.col("lag"))
-    ends = joined.groupBy(*[F.col(f"_{k}").alias(k) for k in keys]).agg(F.first(lags).alias("_lags"), F.count("lag").alias("_any"), F.min_by("_defined", stop).alias("_whole"), F.min(stop).alias("_stop"))
-    tau = F.when(F.col("_lags") < 1, float(cap)).when((F.col("_any") == 0) | ~F.col("_whole"), None).otherwise(F.coalesce(F.col("_stop").cast("double"), F.lit(float(cap))))
+    lags = F.least(F.lit(cap).cast("long"), F.col("hi") - F.col("lo") - 1)
+    ends = total.select(*keys, "lag", lags.alias("_lags"), defined.alias("_defined"), r.alias("_r"))
+    stop = F.when((F.col("lag") <= F.col("_lags")) & (~F.col("_defined") | (F.col("_r") < math.exp(-1))), F.col("lag"))
+    ends = ends.groupBy(*keys).agg(F.first("_lags").alias("_lags"), F.min_by("_defined", stop).alias("_whole"), F.min(stop).alias("_stop"))
+    tau = F.when(F.col("_lags") < 1, float(cap)).when(~F.col("_whole"), None).otherwise(F.coalesce(F.col("_stop").cast("double"), F.lit(float(cap))))
     return ends.select(*keys, tau.cast("double").alias("tau"))
