@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidefold.functions.columns import geometric_scales, longest_run
 from tidefold.model import Q_ALL
 from tidefold.operators import features, fluctuation
+from tidefold.plans import arrays
 from tidefold.sources.synthetic import fgn
 
 SCALES = [8, 11, 15, 21, 28, 39, 53, 64]
@@ -122,3 +123,44 @@ def test_spectrum_of_a_tone(spark):
     x = np.sin(2 * np.pi * 64 * np.arange(2048) / 2048)
     got = np.array(features.spectrogram(frame(spark, [x])).first().spec)
     assert got.shape == (17, 38) and (got[3:-3].argmax(axis=1) == 16).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_signals_in_chunks_equal_whole_ones(spark, order):
+    """Chunks of any length, in any order, shorter and longer than segments."""
+    rng = np.random.default_rng(order)
+    scales, q = [8, 13, 40, 128, 333, 5000], (-5.0, 0.0, 1.0, 2.0, 3.0)
+    signals = {"noise": fgn(2000, 0.7, 1), "walk": 1e3 + np.cumsum(fgn(1500, 0.3, 2)), "flat": np.repeat(fgn(20, 0.5, 3), 50), "short": fgn(9, 0.5, 4), "tiny": fgn(3, 0.5, 4)}
+    rows = []
+    for k, x in signals.items():
+        cuts = np.unique(np.r_[0, rng.integers(1, len(x), 12), len(x)])
+        rows += [(k, int(a), x[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [(k, len(x), [])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(k, int(a), list(map(float, x))) for k, a, x in rows], "k string, chunk_from long, trace array<double>").repartition(5)
+    got = {r.k: r for r in fluctuation.mfdfa_chunks(df, ["k"], scales, q, order=order).collect()}
+    whole = spark.createDataFrame([(k, x.tolist()) for k, x in signals.items()], "k string, samples array<double>")
+    want = {r.k: r for r in fluctuation.mfdfa(whole, scales, q, order=order).collect()}
+    assert got.keys() == want.keys()
+    near = lambda a, b, rel=1e-9: (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=rel, abs=rel))
+    for k, w in want.items():
+        g = got[k]
+        if k == "flat":  # most segments of plateaus leave nothing but rounding, which low powers show
+            assert all(near(x, y, 1e-6) for x, y in zip([*g.fluct, g.hurst], [*w.fluct, w.hurst], strict=True))
+        else:
+            assert all(near(x, y) for x, y in zip([*g.fluct, *sum(g.fluct_q, []), *g.hq, g.hurst], [*w.fluct, *sum(w.fluct_q, []), *w.hq, w.hurst], strict=True)), k
+
+
+def test_chunks_that_are_no_signal(spark):
+    for rows, what in (([(0, [1.0] * 10), (11, [2.0] * 9)], "follow each other"), ([(0, [1.0] * 10), (5, [2.0] * 9)], "follow each other"), ([(3, [1.0] * 10)], "follow each other"), ([(0, [1.0, float("nan")] * 10)], "non-finite values")):
+        df = spark.createDataFrame(rows, "chunk_from long, trace array<double>")
+        with pytest.raises(FAILS, match=what):
+            fluctuation.mfdfa_chunks(df, [], [4, 8]).collect()
+    assert fluctuation.mfdfa_chunks(spark.createDataFrame([("k", 0, None)], "k string, chunk_from long, trace array<double>"), ["k"], [8]).count() == 0
+
+
+def test_recordings_of_a_query_equal_whole_signals(spark):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    for r in arrays.exponents_of_recordings(spark, "/root/testdata/sf0.001").collect():
+        x = np.concatenate([np.asarray(e.embedding, float) for e in v if e.label == r.label])
+        h = fluctuation.exponents(x[None], [8, 16, 32, 64, 128, 256], (-3.0, 0.0, 2.0, 3.0), 2)[0]
+        assert r.hq == pytest.approx(h, abs=2e-6) and r.hurst == pytest.approx(h[2], abs=2e-6)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import features, index_maps
+from ..functions import ranks
+from ..operators import features, fluctuation, index_maps
 from ..sources import arrays, writers
 from . import adapters as A
 from .registry import ORACLE_SQL, query, r6
 from .sql import EM
+from .queries import Q, SCALES
 from .study import GA, _traces
 
 # Nested subsets: each user's events, of which some are kept, sorted by value, thinned, kept by kind, and thinned again
@@ -100,3 +102,22 @@ def windows_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.gather_chunks(recordings, placed, ["file"], n=48, trace="x", at="row", bin_samples=256).join(placed.distinct(), ["file", "window_from"])
     total, moment = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), F.aggregate(F.transform("samples", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
     return rows.select("vec_id", F.col("own").cast("int").alias("window_from"), r6(total, "total"), r6(moment, "moment"))
+
+
+@query(ORACLE_SQL["mfdfa_hq"])
+def exponents_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exponents of signals in chunks of 7 samples, which segments of 8 to 16 reach across."""
+    signals = features.chunked(A.windows(spark, sf_dir).select("vec_id", "samples"), 7, "samples")
+    hq = fluctuation.mfdfa_chunks(signals, ["vec_id"], SCALES, Q, "samples")
+    rows = hq.select("vec_id", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in Q]).alias("q"), F.col("hq").alias("h"))).alias("z"))
+    return rows.select("vec_id", "z.q", r6("z.h", "h"))
+
+
+@query()
+def exponents_of_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exponents of one long signal a label, its vectors one after the other; tested against windows held whole."""
+    v = A.windows(spark, sf_dir)
+    numbered = ranks.numbered(v, ["label"], ["vec_id"], "k")
+    chunks = numbered.select("label", (F.col("k").cast("long") * 64).alias("chunk_from"), F.col("samples").alias("trace"))
+    found = fluctuation.mfdfa_chunks(chunks, ["label"], (8, 16, 32, 64, 128, 256), (-3.0, 0.0, 2.0, 3.0), order=2)
+    return found.select("label", r6("hurst", "hurst"), F.transform("hq", lambda h: F.round(h, 6)).alias("hq"))
