@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns
 from ..model import CELL, SESSION
-from ..operators import decoding, features, fluctuation, fold_audit, inference, selection, timescale
+from ..operators import decoding, features, fluctuation, fold_audit, inference, selection, summaries, timescale
+from ..sources import writers
 from . import adapters as A
 from .queries import HALVES, SCALES, TASKS, _half, _thinned
 from .registry import query, r6
@@ -324,3 +325,23 @@ def default_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The geometric scales of windows whose lengths are a column."""
     lengths = A.table(spark, sf_dir, "part").select((F.col("p_size") * 40 + 200).alias("n")).distinct()
     return lengths.select("n", F.explode(columns.scales_of("n")).alias("scale"))
+
+
+@query("""WITH e AS (SELECT event_type, user_id, value, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day FROM events)
+SELECT event_type, count(*) AS n, count(DISTINCT day) AS days, true AS median_within, true AS p95_within, true AS users_within FROM e GROUP BY event_type""")
+def summaries_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored sketches of values and users by kind and day, merged over days, held against the exact ranks and counts: within the stated errors?"""
+    e = A.table(spark, sf_dir, "events").select("event_type", "user_id", "value", F.floor(A.micros() / 86400e6).cast("long").alias("day"))
+    path = writers.scratch(spark, "summaries")
+    summaries.add_days(e.where("day % 2 = 0"), path, ["event_type"], "day", "value", "user_id")
+    summaries.add_days(e, path, ["event_type"], "day", "value", "user_id")
+    days = writers.read_appended(spark, path, ["event_type", "day"]).groupBy("event_type").agg(F.count("*").alias("days"))
+    found = summaries.estimates(summaries.over_days(e, path, ["event_type"], "day"), ["event_type"], {"median": 0.5, "p95": 0.95}).join(days, "event_type")
+    ranks = e.join(found.select("event_type", "median", "p95"), "event_type").groupBy("event_type").agg(
+        F.avg((F.col("value") < F.col("median")).cast("int")).alias("m0"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("m1"),
+        F.avg((F.col("value") < F.col("p95")).cast("int")).alias("p0"), F.avg((F.col("value") <= F.col("p95")).cast("int")).alias("p1"), F.countDistinct("user_id").alias("users"),
+    )
+    off = 3 * summaries.RANK_ERROR
+    within = lambda a, b, p: (F.col(a) <= p + off) & (F.col(b) >= p - off)
+    near = F.abs(F.col("n_distinct") / F.col("users") - 1) <= summaries.DISTINCT_ERROR
+    return found.join(ranks, "event_type").select("event_type", "n", "days", within("m0", "m1", 0.5).alias("median_within"), within("p0", "p1", 0.95).alias("p95_within"), near.alias("users_within"))
