@@ -37,7 +37,7 @@ def test_grams_equal_brute_force(monkeypatch, text, block):
     assert sorted(toxicity.grams(text).tolist()) == brute_grams(text)
 
 
-def brute_train(rows, y, alpha=2.0, beta=1.0, l1=4.0, epochs=4):
+def brute_train(rows, y, alpha=2.0, beta=1.0, l1=8.0, epochs=4):
     """FTRL-proximal coordinate by coordinate, in dictionaries."""
     z, n = {}, {}
     bias, bias_n = np.log(np.mean(y) / (1 - np.mean(y))), 0.0
@@ -95,8 +95,8 @@ def test_model_ignores_held_out_labels_and_is_sparse(spark):
 
 
 def test_long_texts_with_one_word_and_clean_long_texts(spark):
-    clean = [f"common words {i} are here and there" for i in range(60)]
-    rows = [(i, t, 0) for i, t in enumerate(clean)] + [(100 + i, f"{t} vile", 1) for i, t in enumerate(clean)]
+    clean = [f"common words {i} are here and there for some time".split() for i in range(150)]
+    rows = [(i, " ".join(t), 0) for i, t in enumerate(clean)] + [(1000 + i, " ".join([*t[: i % 10], "vile", *t[i % 10 :]]), 1) for i, t in enumerate(clean)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(df, df.select("doc_id", "toxic"), F.lit(True))
     long = " ".join(f"word{i}" for i in range(400_000))

@@ -96,12 +96,12 @@ def _places(known: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.where(np.append(known, 0)[at] == row, at, -1) if len(known) else np.full(len(row), -1)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 4) -> Model:
+def train(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 4) -> Model:
     """Goes through the rows (distinct buckets each) in their order, some times over.
 
     z sums gradients, less what keeps the weights so far where they are, and n squared gradients; a weight is zero until
-    |z| exceeds l1. A gram of one row can't get there in l1 epochs or less (a gradient is 1 at most), so those are left
-    out from the start. The intercept starts at the share of label 1 and has no l1. Rows of one label give that
+    |z| exceeds l1. A gram of few rows can't get there, as a gradient is below 1: those of l1 / epochs rows or fewer are
+    left out from the start. The intercept starts at the share of label 1 and has no l1. Rows of one label give that
     intercept alone.
     """
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
@@ -109,7 +109,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float
     if len(np.unique(y)) < 2:
         return Model(start)
     known, times = np.unique(np.concatenate(rows), return_counts=True)
-    known = known[times > (epochs <= l1)]
+    known = known[times * epochs > l1]
     z, n = np.zeros(len(known)), np.zeros(len(known))
     places = [at[at >= 0] for at in (_places(known, row) for row in rows)]
     bias, bias_n = start, 0.0
