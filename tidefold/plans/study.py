@@ -9,9 +9,10 @@ from ..functions import columns
 from ..model import CELL, SESSION
 from ..operators import decoding, features, fluctuation, fold_audit, inference, selection, summaries, timescale
 from ..sources import writers
+from ..streaming import growing
 from . import adapters as A
-from .queries import HALVES, SCALES, TASKS, _half, _thinned
-from .registry import query, r6
+from .queries import HALVES, HORIZONS, SCALES, TASKS, _half, _thinned
+from .registry import ORACLE_SQL, query, r6
 from .sql import C4, EM, EV, FI, LI, PR, PROFILES
 
 # Folds
@@ -345,3 +346,18 @@ def summaries_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     within = lambda a, b, p: (F.col(a) <= p + off) & (F.col(b) >= p - off)
     near = F.abs(F.col("n_distinct") / F.col("users") - 1) <= summaries.DISTINCT_ERROR
     return found.join(ranks, "event_type").select("event_type", "n", "days", within("m0", "m1", 0.5).alias("median_within"), within("p0", "p1", 0.95).alias("p95_within"), near.alias("users_within"))
+
+
+@query(ORACLE_SQL["train_test_adjacency"])
+def growing_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacency over an index that comes in two runs of a stream, the earlier windows first."""
+    path = writers.scratch(spark, "growing")
+    index = A.stored_index(spark, sf_dir)
+    middle = index.agg(F.expr("percentile_approx(window_from, 0.5)")).first()[0]
+    for part in (F.col("window_from") < middle, F.col("window_from") >= middle):
+        index.where(part).write.mode("append").parquet(f"{path}/index")
+        rows = spark.readStream.schema(index.schema).parquet(f"{path}/index")
+        pairs = growing.near_pairs(rows.where("role = 'test'"), rows.where("role = 'train'"), float(max(HORIZONS)), "30 days")
+        growing.follow(pairs, f"{path}/pairs", f"{path}/state").awaitTermination()
+    found = growing.adjacency(spark, f"{path}/pairs", index, HORIZONS)
+    return found.select(*CELL, *[r6(f"within_{w}s", f"within_{w}s") for w in HORIZONS])
