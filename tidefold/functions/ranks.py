@@ -37,16 +37,16 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
     placed = ranged(rows.dropna(subset=keys) if keys else rows.withColumn("_all", F.lit(1)), keys, order)
     keys = keys or ["_all"]
     inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])) - 1
-    found = placed.withColumn("_n", inside).join(_before(placed, keys, F.count("*")), [*keys, "_range"])
-    return found.select(*rows.columns, (F.col("_before") + F.col("_n")).cast("int").alias(name))
+    found = placed.withColumn("_inside", inside).join(_before(placed, keys, F.count("*")), [*keys, "_range"])
+    return found.select(*rows.columns, (F.col("_before") + F.col("_inside")).cast("int").alias(name))
 
 
 def running(rows: DataFrame, keys: Sequence[str], order: str, count: str, name: str) -> DataFrame:
     """Rows with the sum of `count` over the rows of their key that come before them; no two rows of a key share the order."""
     placed = ranged(rows, keys, [order])
     inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    found = placed.withColumn("_n", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(_before(placed, keys, F.sum(count)), [*keys, "_range"])
-    return found.select(*rows.columns, (F.col("_before") + F.col("_n")).alias(name))
+    found = placed.withColumn("_inside", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(_before(placed, keys, F.sum(count)), [*keys, "_range"])
+    return found.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
 
 
 def quantiles(rows: DataFrame, keys: Sequence[str], value: Column, at: Mapping[str, float], accuracy: int = ACCURACY) -> DataFrame:
