@@ -8,6 +8,7 @@ import threading
 import numpy as np
 import pytest
 from conftest import FAILS
+from pyspark.sql import functions as F
 
 from tidefold.operators import fluctuation, inference
 from tidefold.sources import readers, synthetic, writers
@@ -111,3 +112,12 @@ def test_noise_of_known_exponent(spark):
     made = fluctuation.dfa(synthetic.replicates(spark, (0.3, 0.7), (1024,), 12), [8, 11, 15, 21, 28, 39, 53, 73, 99, 128])
     for r in made.groupBy("family", "exponent").agg({"hurst": "avg", "truth": "first"}).collect():
         assert abs(r["avg(hurst)"] - r["first(truth)"]) < 0.08
+
+
+def test_tasks_that_make_signals_grow_with_their_number(spark):
+    """A worker holds some dozen signals, not a share of all of them."""
+    made = synthetic.replicates(spark, (0.3,), (16,), 6000)
+    tasks = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 12 > spark.sparkContext.defaultParallelism and max(r["count"] for r in tasks) <= 1024
+    for r in made.where("rep % 1999 = 7 and family = 'fgn'").collect():
+        assert r.samples == synthetic.fgn(16, 0.3, r.seed).tolist()

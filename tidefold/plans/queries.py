@@ -431,7 +431,7 @@ def known_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = A.table(spark, sf_dir, "supplier").select(
         F.when(key % 2 == 0, "fgn").otherwise("fbm").alias("family"), (0.3 + 0.2 * (F.floor(key / 2) % 4)).alias("exponent"), F.when(F.col("s_nationkey") > 12, 2048).otherwise(1024).alias("n"), key.cast("int").alias("rep"),
     )
-    made = fluctuation.mfdfa(synthetic.noise(cells.repartition(spark.sparkContext.defaultParallelism)), geometric_scales(1024), (1.0, 2.0, 5.0))
+    made = fluctuation.mfdfa(synthetic.noise(synthetic.dealt(cells)), geometric_scales(1024), (1.0, 2.0, 5.0))
     rows = made.select("family", "exponent", "n", "truth", F.col("hq")[1].alias("alpha"), (F.col("hq")[1] - F.col("truth")).alias("e"), (F.col("hq")[0] - F.col("hq")[2]).alias("spread"))
     return inference.replicate_summary(rows.withColumnRenamed("truth", "t"), ("family", "exponent", "n"), "t", "alpha", "e", "spread")
 

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Signals that a task makes, about, and that are in a worker's memory at once.
+TASK, HELD = 1024, 64
+
+
 def fgn(n: int, hurst: float, seed: int) -> np.ndarray:
     """n steps of unit variance: the covariance of a circle of 2n steps is diagonal under the Fourier transform."""
     k = np.arange(n + 1, dtype=float)
@@ -30,7 +34,12 @@ def replicates(spark: SparkSession, hursts: Sequence[float] = (0.3, 0.5, 0.7, 0.
         .withColumn("exponent", F.explode(array([float(h) for h in hursts])))
         .withColumn("n", F.explode(array(list(lengths))))
     )
-    return noise(cells.repartition(spark.sparkContext.defaultParallelism))
+    return noise(dealt(cells))
+
+
+def dealt(cells: DataFrame) -> DataFrame:
+    """Rows dealt evenly to tasks of about TASK rows: what they are made into, some 16 KB a signal, stays small in a worker however many rows there are."""
+    return cells.repartition(max(cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // TASK)))
 
 
 def noise(cells: DataFrame) -> DataFrame:
@@ -40,7 +49,9 @@ def noise(cells: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
-            steps = [fgn(int(n), float(h), int(s)) for n, h, s in zip(some["n"], some["exponent"], some["seed"], strict=True)]
-            yield some.assign(samples=[np.cumsum(x) if f == "fbm" else x for x, f in zip(steps, some["family"], strict=True)])
+            for i in range(0, len(some), HELD):
+                part = some.iloc[i : i + HELD]
+                steps = [fgn(int(n), float(h), int(s)) for n, h, s in zip(part["n"], part["exponent"], part["seed"], strict=True)]
+                yield part.assign(samples=[np.cumsum(x) if f == "fbm" else x for x, f in zip(steps, part["family"], strict=True)])
 
     return cells.mapInPandas(run, cells.select("*", F.lit(None).cast("array<double>").alias("samples")).schema)
