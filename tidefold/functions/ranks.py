@@ -49,6 +49,23 @@ def running(rows: DataFrame, keys: Sequence[str], order: str, count: str, name:
     return found.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
 
 
+def lagged(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """Rows with columns of the row before them in their key, by new names: null for a key's first. A null key is a key too.
+
+    Rows are written once, in ranges. A range starts with a copy of the last row of the key's range before it, which goes again.
+    """
+    keys = list(keys)
+    placed = ranged(rows, keys, order)
+    carried = [*order, *[c for c in columns.values() if c not in order]]
+    by_key = Window.partitionBy(*keys).orderBy("_range")
+    ends = placed.groupBy(*keys, "_range").agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("_end"))
+    # equal rows share a range, so what ends one is before all of the next
+    ends = ends.withColumn("_range", F.lead("_range").over(by_key)).where("_range is not null").select(*keys, "_range", "_end.*", F.lit(True).alias("_copy"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order], F.col("_copy").desc_nulls_last())
+    both = placed.unionByName(ends, allowMissingColumns=True)
+    return both.select("*", *[F.lag(c).over(inside).alias(name) for name, c in columns.items()]).where("_copy is null").drop("_range", "_copy")
+
+
 def quantiles(rows: DataFrame, keys: Sequence[str], value: Column, at: Mapping[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """keys and exact quantiles, interpolated between neighbours, by name; null where a key has no value.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import float_key, is_finite, refuse
+from ..functions.ranks import lagged
 from ..model import LAG_CAP, LEAST_PAIRS
 
 # Task variables that are a column of the word table, and its name there
@@ -25,16 +26,17 @@ def word_variables(words: DataFrame, pitch: DataFrame | None = None, session: Se
 
     Direct columns, five indicators, the gap to the word before in the same sentence (null for the first), presence of
     speech, and pitch from a side table (movie key, key, pitch) joined on the start time's text where it's given: a word
-    without a row there is an error.
+    without a row there is an error. Words are written once, in ranges of a session's order, so a session of any length
+    is spread over tasks.
     """
-    prior = Window.partitionBy(*session).orderBy(order)
-    same = F.lag("sentence").over(prior) == F.col("sentence")
+    words = lagged(words, session, [order], {"_sentence": "sentence", "_end": "end"})
+    same = F.col("_sentence") == F.col("sentence")
     yes = lambda c: c.cast("double")
     values = {t: F.col(c).cast("double") for t, c in DIRECT.items()}
     values |= {
         "onset": yes(F.col("is_onset") == 1), "face_num": yes(F.col("face_num").cast("int") > 0), "word_index": yes(F.col("idx_in_sentence").cast("int") == 0),
         "word_head_pos": yes(F.col("bin_head").cast("int") == 0), "word_part_speech": yes(F.col("pos") == "VERB"),
-        "word_gap": F.when(same, F.col("start") - F.lag("end").over(prior)), "speech": F.lit(1.0),
+        "word_gap": F.when(same, F.col("start") - F.col("_end")), "speech": F.lit(1.0),
     }
     if pitch is not None:
         on = [*[c for c in session if c in pitch.columns], "key"]
