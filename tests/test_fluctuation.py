@@ -181,3 +181,12 @@ def test_chunks_joined_to_blocks_equal_whole_windows(spark, block, order):
         want = fluctuation.exponents(x[None], scales, [*q, 2.0], order)[0]
         assert [np.nan if v is None else v for v in (*got[k].hq, got[k].hurst)] == pytest.approx(want.tolist(), rel=1e-9, nan_ok=True), k
     assert len(got) == len(signals)
+
+
+def test_a_long_recording_is_a_few_blocks(spark):
+    x = fgn(20_000, 0.7, 11)
+    df = spark.createDataFrame([(a, x[a : a + 64].tolist()) for a in range(0, len(x), 64)], "chunk_from long, trace array<double>").repartition(3)
+    assert fluctuation.blocks_of(df, []).count() == 3
+    got = fluctuation.mfdfa_chunks(df, [], (8, 32, 256, 5000), (-3.0, 3.0), order=2).first()
+    want = fluctuation.exponents(x[None], (8, 32, 256, 5000), (-3.0, 3.0, 2.0), 2)[0]
+    assert [*got.hq, got.hurst] == pytest.approx(want.tolist(), rel=1e-9)
